@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenground.llm import simhash
+from evenground.llm import quality, simhash, toxicity
 from evenground.llm.common import documents
+from evenground.runtime import read_table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.toxicity(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.quality(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash_dedup": op6_simhash_dedup}
+    named = (op1_toxicity, op6_simhash_dedup, op7_quality_classifier)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
