@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenground.llm import quality, simhash, toxicity
-from evenground.llm.common import documents
+from evenground.llm import packing, quality, simhash, toxicity
+from evenground.llm.common import documents, tokenizer_path
 from evenground.runtime import read_table
 
 
@@ -25,8 +25,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op6_simhash_dedup, op7_quality_classifier)
+    named = (op1_toxicity, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing)
     return {f.__name__: f for f in named}
 
 
