@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenground.llm import packing, quality, simhash, toxicity
+from evenground.llm import merkle, packing, quality, simhash, toxicity
 from evenground.llm.common import documents, tokenizer_path
 from evenground.runtime import read_table
 
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_fingerprints(documents(spark, sf_dir))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -30,7 +34,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing)
+    named = (op1_toxicity, op3_document_fingerprints, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing)
     return {f.__name__: f for f in named}
 
 
