@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenground.llm import merkle, packing, quality, simhash, toxicity
+from evenground.llm import licenses, merkle, packing, quality, simhash, toxicity
 from evenground.llm.common import documents, tokenizer_path
 from evenground.runtime import read_table
 
@@ -33,8 +33,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op3_document_fingerprints, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing)
+    named = (op1_toxicity, op3_document_fingerprints, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scan)
     return {f.__name__: f for f in named}
 
 
