@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evenground.llm import licenses, merkle, packing, quality, simhash, toxicity
-from evenground.llm.common import documents, tokenizer_path
+from evenground.llm import chat, licenses, merkle, packing, quality, simhash, topk, toxicity
+from evenground.llm.common import documents, tokenizer_path, whole_texts
 from evenground.runtime import read_table
 
 
@@ -20,6 +21,18 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_fingerprints(documents(spark, sf_dir))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.whole_vectors(read_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows.where("vec_id % 50 = 0"), rows, 5)
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("</s>[INST] ok [/INST]"))
+    return chat.read_back(chat.format_chats(turns.union(both)))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -38,7 +51,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op3_document_fingerprints, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scan)
+    named = (op1_toxicity, op3_document_fingerprints, op4_exact_topk, op5_chat_format, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scan)
     return {f.__name__: f for f in named}
 
 
