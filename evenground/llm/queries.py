@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenground.llm import chat, licenses, merkle, packing, quality, simhash, topk, toxicity
+from evenground.llm import chat, licenses, merkle, packing, pieces, quality, simhash, topk, toxicity
 from evenground.llm.common import documents, tokenizer_path, whole_texts
 from evenground.runtime import read_table
 
@@ -50,8 +50,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op3_document_fingerprints, op4_exact_topk, op5_chat_format, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scan)
+    named = (op1_toxicity, op3_document_fingerprints, op4_exact_topk, op5_chat_format, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scan, op10_sentencepiece)
     return {f.__name__: f for f in named}
 
 
