@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenground.llm import chat, licenses, merkle, packing, pieces, quality, simhash, topk, toxicity
+from evenground.llm import chat, licenses, merkle, packing, pieces, quality, simhash, topk, toxicity, wrappers
 from evenground.llm.common import documents, tokenizer_path, whole_texts
 from evenground.runtime import read_table
 
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_fingerprints(documents(spark, sf_dir))
 
@@ -55,7 +59,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op3_document_fingerprints, op4_exact_topk, op5_chat_format, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scan, op10_sentencepiece)
+    named = (op1_toxicity, op2_html_extraction, op3_document_fingerprints, op4_exact_topk, op5_chat_format, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scan, op10_sentencepiece)
     return {f.__name__: f for f in named}
 
 
