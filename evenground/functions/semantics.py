@@ -45,17 +45,15 @@ def log(column: Column) -> Column:
     return F.when(column > 0, F.ln(column)).when(column == 0, F.lit(float("-inf"))).when(column < 0, F.lit(float("nan")))
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Join condition on equally named keys; missing equals missing."""
-    return reduce(lambda x, y: x & y, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def natural_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys``, missing equal to missing, with each key once (from the side that has the row)."""
-    joined = left.join(right, same(left, right, keys), how)
-    from_both = how in ("full", "outer", "fullouter", "full_outer", "right")
-    shown = [F.coalesce(left[k], right[k]).alias(k) if from_both else left[k] for k in keys]
-    return joined.select(*shown, *[left[c] for c in left.columns if c not in keys], *[right[c] for c in right.columns if c not in keys])
+    """Join on ``keys``, missing equal to missing, with each key once (from the side that has the row), ``left``'s columns first."""
+    theirs = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(theirs)
+    match = reduce(lambda x, y: x & y, [F.col(f"`{k}`").eqNullSafe(F.col(r)) for k, r in theirs.items()])
+    joined = left.join(right, match, how)
+    from_both = how in ("full", "right")
+    shown = [F.coalesce(F.col(f"`{c}`"), F.col(theirs[c])).alias(c) if from_both and c in theirs else F.col(f"`{c}`") for c in left.columns]
+    return joined.select(*shown, *[f"`{c}`" for c in right.columns if c not in theirs.values()])
 
 
 def annual_rate(change: Column, years: float) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from evenground.operators.geometry.shapes import TYPE, edges
 
@@ -70,7 +71,7 @@ def dissolve(df: DataFrame, by: list[str]) -> DataFrame:
     forward = F.expr("(e.x1, e.y1) < (e.x2, e.y2)")
     ends = [F.when(forward, F.struct("e.x1", "e.y1", "e.x2", "e.y2")).otherwise(F.expr("struct(e.x2 as x1, e.y2 as y1, e.x1 as x2, e.y1 as y2)")).alias("k")]
     net = parts.select(*by, "srid", *ends, F.when(forward, 1).otherwise(-1).alias("way")).groupBy(*by, "k").agg(F.max("srid").alias("srid"), F.sum("way").alias("way")).where("way <> 0 or k.x1 is null")
-    schema = df.select(*by).schema.add("geometry", TYPE)
+    schema = df.select(*by).schema.add("geometry", DataType.fromDDL(TYPE))
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
         x1, y1, x2, y2 = [], [], [], []
