@@ -57,21 +57,21 @@ FAMILIES = [
     ("ipl", "ibm public", ["1.0"], "ipl"),
     ("watcom", "sybase open watcom public", ["1.0"], "watcom"),
 ]
-# Sentences and marks that name a license by themselves (label, words, weight).
+# Sentences and marks that name a license by themselves (label, keyword, words, weight).
 SENTENCES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 0.95),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 0.95),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", 0.95),
-    ("unlicense", "this is free and unencumbered software released into the public domain", 0.95),
-    ("zlib", "this software is provided as is without any express or implied warranty", 0.8),
-    ("gpl", "this program is free software you can redistribute it and or modify it", 0.9),
-    ("public-domain", "released into the public domain", 0.8),
-    ("public-domain", "dedicated to the public domain", 0.8),
-    ("warranty", "without warranty of any kind", 0.6),
-    ("warranty", "without warranties or conditions of any kind", 0.6),
-    ("copyright", "copyright c", 0.5),
-    ("copyright", "all rights reserved worldwide", 0.6),
-    ("cc0", "cc0 1 0 universal", 0.95),
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 0.95),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 0.95),
+    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 0.95),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 0.95),
+    ("zlib", "warrant", "this software is provided as is without any express or implied warranty", 0.8),
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it", 0.9),
+    ("public-domain", "domain", "released into the public domain", 0.8),
+    ("public-domain", "domain", "dedicated to the public domain", 0.8),
+    ("warranty", "warrant", "without warranty of any kind", 0.6),
+    ("warranty", "warrant", "without warranties or conditions of any kind", 0.6),
+    ("copyright", "copyright", "copyright c", 0.5),
+    ("copyright", "reserved", "all rights reserved worldwide", 0.6),
+    ("cc0", "cc0", "cc0 1 0 universal", 0.95),
 ]
 _CC = ["by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"]
 _CC_TITLE = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?derivatives|no ?derivs"}
@@ -92,11 +92,22 @@ def _version(version: str) -> str:
     return f"(?:{GAP}licen[cs]e)?(?:{GAP}(?:version|v))?{GAP}v?{number}"
 
 
+def gate() -> tuple[list[str], str, str]:
+    """(texts, regex before a digit, regex after "cc"): lower-case texts that none of the three is found in match no rule.
+
+    Every rule has a keyword of the first kind, or a license's name or a title's last word before a number, or "cc" before "by".
+    """
+    names = sorted({short for *_, short in FAMILIES} | {title.split()[-1] for _, title, *_ in FAMILIES})
+    gap = r"[^0-9a-z\x80-\x{10FFFF}]"
+    named = f"(?:{'|'.join(_words(n) for n in names)}){gap}*(?:licen[cs]e{gap}+)?(?:version{gap}+|v{gap}*)?[0-9]"
+    return ["licen", "spdx", "creative", *sorted({k for _, k, *_ in SENTENCES})], f"{_EDGE[0]}{named}", f"{_EDGE[0]}cc{gap}+by"
+
+
 def rules() -> list[Rule]:
     """All rules, hundreds; the same list each time."""
     made: list[Rule] = []
     for stem, title, versions, short in FAMILIES:
-        name, key = _words(title), title.split()[-1] if title.split()[-1] not in ("public", "software", "free") else title.split()[0]
+        name, key = _words(title), max(title.split(), key=len)
         for version in versions:
             label = f"{stem}-{version}"
             made.append(Rule(label, "spdx", _whole(f"spdx{GAP}license{GAP}identifier{GAP}{_words(short)}{GAP}{_words(version)}(?:{GAP}(?:only|or{GAP}later))?"), 0, 1.0))
@@ -115,5 +126,5 @@ def rules() -> list[Rule]:
             made.append(Rule(f"cc-{kind}-{version}", "creativecommons", _whole(address), 0, 1.0))
         made.append(Rule(f"cc-{kind}", "cc", _whole(f"cc{GAP}{_words(kind)}"), 7, 0.8))
         made.append(Rule(f"cc-{kind}", "creative", _whole(f"creative{GAP}commons{GAP}{title}"), 7, 0.8))
-    made += [Rule(label, words.split()[0], _whole(_words(words)), 8, weight) for label, words, weight in SENTENCES]
+    made += [Rule(label, keyword, _whole(_words(words)), 8, weight) for label, keyword, words, weight in SENTENCES]
     return made

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenground.llm.common import text_or_empty
-from evenground.llm.license_rules import Rule, rules
+from evenground.llm.license_rules import Rule, gate, rules
 
 #: Phrases that are always looked for, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -29,7 +29,7 @@ def count_words(text: Column) -> Column:
 
 
 def _phrase(words: str) -> str:
-    return f"(?i)(?<!{_CHAR}){_GAP.join(words.split())}(?!{_CHAR})"
+    return f"(?<!{_CHAR}){_GAP.join(words.split())}(?!{_CHAR})"
 
 
 def _literal(rule: Rule, number: int) -> Column:
@@ -71,10 +71,14 @@ def detections(text: Column, known: list[Rule] | None = None) -> Column:
     return F.aggregate(sorted_, start, step, lambda state: state["kept"])
 
 
-def keyword_gate(text: Column, known: list[Rule]) -> Column:
-    """True if any keyword of the rules, or the last word of a base phrase, occurs in any case."""
-    words = sorted({r.keyword for r in known} | {w.split()[-1] for w in BASE if w != "cc by"} | {"cc"})
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+def may_match(low: Column) -> Column:
+    """False for lower-case texts that hold no rule's keyword, which most texts are; the base phrases are covered by the same keywords.
+
+    The costlier regexes are tried only where a digit, or a "cc", occurs at all.
+    """
+    words, named, cc = gate()
+    strong = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    return strong | (F.contains(low, F.lit("cc")) & F.rlike(low, F.lit(cc))) | (F.rlike(low, F.lit("[0-9]")) & F.rlike(low, F.lit(named)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -87,8 +91,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     known = rules()
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("n_words", count_words(F.col("text")))
-    texts = texts.withColumn("lower", F.lower("text")).withColumn("gated", F.when(keyword_gate(F.col("lower"), known), F.col("text")))
-    texts = texts.withColumn("low", F.translate("gated", _UPPER, _LOWER))
+    texts = texts.withColumn("low", F.translate("text", _UPPER, _LOWER)).withColumn("gated", F.when(may_match(F.col("low")), F.col("low")))
     counts, firsts, lasts, labels = [], [], [], []
     for number, (words, label) in enumerate(BASE.items()):
         parts = f"_parts{number}"
@@ -99,7 +102,7 @@ def scan(docs: DataFrame) -> DataFrame:
         firsts.append(F.when(n > 0, count_words(F.get(parts, F.lit(0)))))
         lasts.append(F.when(n > 0, F.col("n_words") - count_words(F.get(parts, n)) - len(words.split())))
         labels.append(F.when(n > 0, F.lit(label)))
-    texts = texts.withColumn("found", F.when(F.col("gated").isNotNull(), detections(F.col("low"), known)))
+    texts = texts.withColumn("found", F.when(F.col("gated").isNotNull(), detections(F.col("gated"), known)))
     base = F.array_sort(F.array_compact(F.array(*labels)))
     method = F.coalesce(F.transform("found", lambda x: x["label"]), F.array().cast("array<string>"))
     weight = F.coalesce(F.array_max(F.transform("found", lambda x: x["weight"])), F.lit(0.0))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from evenground.llm.common import whole_texts
 from evenground.llm.labelled import held_out, training_rows
+from evenground.runtime import materialize
 
 BUCKET_BITS = 20
 SIZES = (4, 5, 6)
@@ -76,62 +77,92 @@ class NaiveBayesLinear:
         return F.pandas_udf(score, "double")(F.col(text))
 
 
-def fit_ratios(rows: list[np.ndarray], y: np.ndarray, sizes: dict[int, int]) -> NaiveBayesLinear:
-    """Fit on the bucket sets ``rows`` with labels ``y``; ``sizes``: rows of each label in all."""
-    n = [int((y == c).sum()) for c in (0, 1)]
-    total = sum(sizes.get(c, 0) for c in (0, 1))
-    if not n[1] or not n[0]:
-        share = (n[1] + 0.5) / (len(y) + 1)
-        return NaiveBayesLinear(np.zeros(0, np.uint32), np.zeros(0, np.float32), float(np.log(share / (1 - share))))
-    held = [np.zeros(1 << BUCKET_BITS, np.int64) for _ in (0, 1)]
-    for row, label in zip(rows, y, strict=True):
-        held[label][row] += 1
-    log_ratio = np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1))
-    evidence = np.zeros(1 << BUCKET_BITS)
-    for inside in (True, False):
-        cells = [held[c] if inside else n[c] - held[c] for c in (0, 1)]
-        for c in (0, 1):
-            expected = (cells[0] + cells[1]) * (n[c] / (n[0] + n[1]))
-            evidence += 2 * cells[c] * np.log(np.maximum(cells[c], 1) / np.maximum(expected, 1e-9))
-    kept = np.sort(np.argsort(-evidence, kind="stable")[:KEPT])
-    kept = kept[evidence[kept] >= EVIDENCE]
-    place = np.full(1 << BUCKET_BITS, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    ratio = log_ratio[kept]
-    picked = [p[p >= 0] for p in (place[row] for row in rows)]
-    columns, owner = np.concatenate(picked).astype(np.int64), np.repeat(np.arange(len(rows)), [len(p) for p in picked])
-    weight = np.array([sizes[c] / total / n[c] for c in (0, 1)])[y]
+def choose_buckets(held: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions in ``held``, their log-count ratios, evidence) of the buckets that tell the classes apart.
+
+    ``held``: (buckets, 2), how many texts of either label hold each bucket; ``n``: texts of either label.
+    """
+    held = held.astype(float)
+    evidence = np.zeros(len(held))
+    for cells in (held, n - held):
+        expected = cells.sum(axis=1, keepdims=True) * (n / n.sum())
+        evidence += 2 * (cells * np.log(np.maximum(cells, 1) / np.maximum(expected, 1e-9))).sum(axis=1)
+    kept = np.argsort(-evidence, kind="stable")[:KEPT]
+    kept = np.sort(kept[evidence[kept] >= EVIDENCE])
+    ratio = np.log((held[kept, 1] + 0.5) / (n[1] + 1)) - np.log((held[kept, 0] + 0.5) / (n[0] + 1))
+    return kept, ratio, evidence[kept]
+
+
+def fit_coefficients(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, sizes: dict[int, int]) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of the weighted, ridged logistic regression, by Adam from 0.
+
+    ``rows``: per text the positions in ``ratio`` of the buckets that it holds; ``sizes``: rows of each label in all.
+    """
+    columns = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(p) for p in rows])
+    weight = np.array([sizes[c] / sum(sizes.values()) / max(1, (y == c).sum()) for c in (0, 1)])[y]
     values = ratio[columns]
-    # Adam on the weighted logistic loss; coefficients start at 0
-    coefficient, intercept = np.zeros(len(kept)), float(np.log(sizes[1] / sizes[0]))
-    mean, square = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    coefficient, intercept = np.zeros(len(ratio)), float(np.log(sizes[1] / sizes[0]))
+    mean, square = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for step in range(1, ROUNDS + 1):
         sums = np.bincount(owner, values * coefficient[columns], len(rows)) + intercept
         error = weight * (1 / (1 + np.exp(-np.clip(sums, -30, 30))) - y)
-        gradient = np.append(np.bincount(columns, values * error[owner], len(kept)) + RIDGE * coefficient, error.sum())
+        gradient = np.append(np.bincount(columns, values * error[owner], len(ratio)) + RIDGE * coefficient, error.sum())
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
         move = 0.02 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
         coefficient -= move[:-1]
         intercept -= move[-1]
-    return NaiveBayesLinear(kept.astype(np.uint32), (ratio * coefficient).astype(np.float32), float(intercept))
+    return coefficient, float(intercept)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> NaiveBayesLinear:
     """The model learnt from ``labels`` (doc_id, ``label``) and the texts of ``docs`` (doc_id, text).
 
-    Without rows of both labels every text gets the smoothed share of label 1.
+    The sample's texts are stored once; how many of them hold each bucket is counted where they lie, and only the buckets with
+    enough evidence, then each text's positions among those, come to the driver. Without rows of both labels every text gets
+    the smoothed share of label 1.
     """
     whole_texts(docs.sparkSession)
+    drawn, sizes = training_rows(docs, labels, label)
+    rows = materialize(drawn)
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if not n.get(0) or not n.get(1):
+        share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
+        return NaiveBayesLinear(np.zeros(0, np.uint32), np.zeros(0, np.float32), float(np.log(share / (1 - share))))
 
-    def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((1 << BUCKET_BITS, 2), np.int32)
+        for part in parts:
+            for y, text in zip(part["y"], part["text"], strict=True):
+                held[buckets(text), y] += 1
+        found = np.flatnonzero(held.sum(axis=1))
+        yield pd.DataFrame({"bucket": found, "n0": held[found, 0], "n1": held[found, 1]})
+
+    counted = rows.mapInPandas(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    totals = np.array([n[0], n[1]], float)
+    few = counted.where(_evidence(F.col("n0"), F.col("n1"), *totals) >= EVIDENCE)
+    found = np.array(few.orderBy(F.desc(_evidence(F.col("n0"), F.col("n1"), *totals)), "bucket").limit(KEPT).collect(), np.int64).reshape(-1, 3)
+    found = found[np.argsort(found[:, 0])]
+    kept, ratio, _ = choose_buckets(found[:, 1:], totals)
+    chosen = found[kept, 0].astype(np.uint32)
+
+    def positions(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"y": part["y"], "b": [buckets(t).tobytes() for t in part["text"]]})
+            at = [np.flatnonzero(np.isin(chosen, buckets(t))).astype(np.int32).tobytes() for t in part["text"]]
+            yield pd.DataFrame({"y": part["y"], "b": at})
+
+    told = sorted((r["y"], bytes(r["b"])) for r in rows.mapInPandas(positions, "y int, b binary").collect())
+    coefficient, intercept = fit_coefficients([np.frombuffer(b, np.int32) for _, b in told], np.array([y for y, _ in told], np.int64), ratio, sizes)
+    return NaiveBayesLinear(chosen, (ratio * coefficient).astype(np.float32), intercept)
+
 
-    rows, sizes = training_rows(docs, labels, label)
-    found = rows.mapInPandas(features, "y int, b binary").collect()
-    found.sort(key=lambda r: (r["y"], bytes(r["b"])))
-    return fit_ratios([np.frombuffer(bytes(r["b"]), np.uint32) for r in found], np.array([r["y"] for r in found], np.int64), sizes)
+def _evidence(n0: Column, n1: Column, all0: float, all1: float) -> Column:
+    """choose_buckets' evidence as a column."""
+    part = lambda cell, both, share: cell * F.log(F.greatest(cell, F.lit(1)) / F.greatest(both * share, F.lit(1e-9)))
+    share = (all0 / (all0 + all1), all1 / (all0 + all1))
+    out0, out1 = F.lit(all0) - n0, F.lit(all1) - n1
+    return 2 * (part(n0, n0 + n1, share[0]) + part(n1, n0 + n1, share[1]) + part(out0, out0 + out1, share[0]) + part(out1, out0 + out1, share[1]))
 
 
 def toxicity(docs: DataFrame, model: NaiveBayesLinear, threshold: float = 0.5) -> DataFrame:

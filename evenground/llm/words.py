@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words that one Python worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Characters on which this module's splitting and the library's might differ.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e -±´-¸º»¿-ɏ‐-‧‰-›₠-₿]|<\|")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")

@@ -54,7 +54,7 @@ def downsample(
     told = parent.select(*[F.col(f"`{p}`").alias(f"_k_{k}") for k, p in geo_match.items()], *[F.col(f"`{c}`").alias(f"_p_{c}") for c in categories], F.lit(True).alias("_has"))
     if not told.groupBy(*[f"_k_{k}" for k in keys]).count().where("count > 1").isEmpty():
         raise ValueError("a parent id occurs twice")
-    groups = child.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("_n")).withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    groups = child.groupBy(*[f"`{k}`" for k in keys]).agg(*sums, F.count(F.lit(1)).alias("_n")).withColumnsRenamed({k: f"_g_{k}" for k in keys})
     lookup = groups.join(told, reduce(lambda a, b: a & b, [groups[f"_g_{k}"].eqNullSafe(told[f"_k_{k}"]) for k in keys]), "left")
     wide = child.join(lookup, reduce(lambda a, b: a & b, [child[k].eqNullSafe(lookup[f"_g_{k}"]) for k in keys]))
 
@@ -75,5 +75,5 @@ def downsample(
         moved = F.coalesce(v, F.lit(0)) + weight * (F.coalesce(p, F.lit(0)) - F.coalesce(s, F.lit(0)))
         return moved if compat == "literal" else F.when(F.col("_has"), moved).otherwise(v)
 
-    kept = [wide[c] for c in child.columns if c not in categories]
+    kept = [f"`{c}`" for c in child.columns if c not in categories]
     return wide.select(*kept, *[value(c).alias(c) for c in categories])
