@@ -370,7 +370,7 @@ def _boxes(df: DataFrame, key: str, shift: float = 0.0, *more: str) -> DataFrame
 
 _PAIRS = """SELECT s_suppkey, p_partkey, p_size, p_retailprice,
     GREATEST(0, LEAST(sx + 1, px + 1) - GREATEST(sx, px)) * GREATEST(0, LEAST(sy + 1, py + 1) - GREATEST(sy, py)) AS shared
-    FROM (SELECT *, s_suppkey % 20 + {d} AS sx, s_suppkey // 20 + {d} AS sy FROM supplier)
+    FROM (SELECT *, s_suppkey % 20 + CAST({d} AS double) AS sx, s_suppkey // 20 + CAST({d} AS double) AS sy FROM supplier)
     JOIN (SELECT *, p_partkey % 20 AS px, p_partkey // 20 AS py FROM part) ON sx <= px + 1 AND px <= sx + 1 AND sy <= py + 1 AND py <= sy + 1"""
 
 
@@ -467,7 +467,7 @@ def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("c_custkey", F.round("p.x", 2).alias("x"), F.round("p.y", 2).alias("y"))
 
 
-@_query("SELECT n_nationkey, ROUND(32 * SIN(PI() / 32) * (1 + n_nationkey) * (1 + n_nationkey), 6) AS area, 2.0 * (1 + n_nationkey) AS width FROM nation")
+@_query("SELECT n_nationkey, ROUND(32 * SIN(PI() / 32) * (1 + n_nationkey) * (1 + n_nationkey), 6) AS area, CAST(2 * (1 + n_nationkey) AS double) AS width FROM nation")
 def circle_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     circles = read_table(spark, sf_dir, "nation").select("n_nationkey", shapes.circle(F.lit(5.0), F.lit(7.0), F.expr("1.0D + n_nationkey")).alias("g"))
     box = shapes.bbox(F.col("g"))

@@ -60,7 +60,9 @@ def census_estimate(
         if missing := [m.variable for m in meta if m.downsample is None]:
             raise ValueError(f"no downsample column for {', '.join(missing)}")
         labels = [m.label for m in meta]
-        fine = provider.census(dataset, regions, downsample_level)
+        # of the finer level only the geography and the weights count, not values of its own
+        own = {m.variable for m in meta} - {*labels, *(m.downsample for m in meta)}
+        fine = provider.census(dataset, regions, downsample_level).drop(*own)
         source = downsample(fine, source.drop(GEOMETRY), {f"{level}_UID": "GeoUID"}, labels, {m.label: m.downsample for m in meta})
     return estimate(target, source, meta, target_id, "GeoUID", na_rm)
 
