@@ -26,4 +26,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = RO
     sizes = {r["y"]: r["count"] for r in clean.groupBy("y").count().collect()}
     drawn = [clean.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
     ids = F.broadcast(drawn[0].union(drawn[1]))
-    return docs.join(ids, docs["doc_id"] == ids["id"]).select("y", F.coalesce("text", F.lit("")).alias("text")), sizes
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(ids, texts["doc_id"] == ids["id"]).select("y", "text"), sizes
