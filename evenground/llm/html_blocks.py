@@ -20,6 +20,8 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "thead tr td th", "tfoot": "tbody tr td th"}
+#: Elements nested deeper hang side by side under the last one, each with the keys of the deeper ones that hold it.
+MAX_DEPTH = 80
 _BARRIERS = frozenset("ul ol dl table article section div main body html menu select".split())
 
 
@@ -116,7 +118,12 @@ def parse_page(page: str) -> Element:
                 elif stack[i][0] in _BARRIERS:
                     break
         element = Element(_key(name, attributes))
-        stack[-1][1].children.append(element)
+        if len(stack) > MAX_DEPTH:
+            if len(stack) > MAX_DEPTH + 1:
+                element.key = ".".join(dict.fromkeys(f"{stack[-1][1].key}.{element.key}".split(".")))
+            stack[MAX_DEPTH][1].children.append(element)
+        else:
+            stack[-1][1].children.append(element)
         if not attributes.rstrip().endswith("/") or name in CLOSES_P:
             stack.append((name, element))
     flush()
