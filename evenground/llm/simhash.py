@@ -224,5 +224,6 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     classes = smallest.join(linked.withColumnRenamed("node", "fp"), "fp")
     low = classes.groupBy("component").agg(F.min("low").alias("component_id"))
     moved = classes.join(low, "component").select("fp", "component_id")
-    named = smallest.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # stored, so that both sides of the last join are plain shuffles and a fingerprint that very many rows have can be split
+    named = materialize(smallest.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
