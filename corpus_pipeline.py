@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenground.llm import packing, quality, simhash, toxicity
+from evenground.llm import near_copies, packing, quality, toxicity
 from evenground.llm.common import documents, tokenizer_path, whole_texts
 from evenground.runtime import materialize, read_table, use_checkpoints
 
@@ -31,12 +31,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id; rows without an id stay.
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id; rows without an id stay.
 
     Repeated rows of one id and text are one document. Only ids meet in the join that finds the copies to drop.
     """
     whole_texts(spark)
-    named = simhash.near_duplicates(docs.select("doc_id", "text"))
+    named = near_copies.near_copies(docs.select("doc_id", "text"))
     copies = named.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
 
