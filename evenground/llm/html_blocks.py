@@ -16,6 +16,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: Inline elements whose end tag closes them across block elements, too.
+FORMATTING = frozenset("a b big code em font i s small strike strong tt u".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -39,6 +41,16 @@ class Element:
     children: list[Element | Block] = field(default_factory=list)
 
 
+@dataclass
+class _Open:
+    """An open element; a hidden inline one keeps the text that it interrupts. While one is open, open inline elements are counted."""
+
+    name: str
+    element: Element
+    interrupted: tuple[list[str], int] | None = None
+    inline: dict[str, int] = field(default_factory=dict)
+
+
 def _key(name: str, attributes: str) -> str:
     words = []
     for attribute, value in _ATTRIBUTE.findall(attributes):
@@ -50,19 +62,44 @@ def _key(name: str, attributes: str) -> str:
     return ".".join([name, *dict.fromkeys(words)])
 
 
+def _hides(key: str) -> bool:
+    """Whether a class, id or role word says hidden."""
+    return any("hidden" in re.split("[-_]", word) for word in key.split(".")[1:])
+
+
 def parse_page(page: str) -> Element:
-    """The tree of a page's block elements. Inline elements are transparent; scripts, styles, comments and other raw text are left
+    """The tree of a page's block elements. Inline elements are transparent but for hidden ones, which are elements beside the text that they stand in; scripts, styles, comments and other raw text are left
     out; missing end tags are supplied where the next tag implies them; stray end tags are ignored."""
     root = Element("html")
-    stack, parts, linked, links = [("html", root)], [], 0, 0
+    stack, parts, linked, links, hiding = [_Open("html", root)], [], 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if text := " ".join("".join(parts).split()):
-            stack[-1][1].children.append(Block(text, min(linked, len(text))))
+            stack[-1].element.children.append(Block(text, min(linked, len(text))))
         parts.clear()
         linked = 0
 
+    def close(height: int) -> None:
+        nonlocal linked, hiding
+        while len(stack) > height:
+            flush()
+            if (kept := stack.pop().interrupted) is not None:
+                parts[:], linked = kept
+                hiding -= 1
+
+    def end_inline(name: str) -> None:
+        for i in range(len(stack) - 1, 0, -1):
+            entry = stack[i]
+            if entry.inline.get(name):
+                entry.inline[name] -= 1
+                return
+            if entry.interrupted is not None and entry.name == name:
+                close(i)
+                return
+            if entry.interrupted is None and name not in FORMATTING:
+                return
+
     def say(raw: str) -> None:
         nonlocal linked
         if raw:
@@ -83,18 +120,28 @@ def parse_page(page: str) -> Element:
         if not name:
             continue
         ending, attributes = found[1] or found[4], found[3] or found[6] or ""
-        if name in INLINE and (ending or "hidden" not in _key(name, attributes)):
+        hidden = name in INLINE and not ending and name not in VOID and not attributes.rstrip().endswith("/") and _hides(_key(name, attributes))
+        if name in INLINE and not hidden:
+            if hiding and ending:
+                end_inline(name)
+            elif hiding and name not in VOID:
+                stack[-1].inline[name] = stack[-1].inline.get(name, 0) + 1
             if name == "a":
                 links = 0 if ending else 1
             elif name == "br":
                 parts.append(" ")
             continue
-        flush()
+        if hidden:
+            kept = (parts[:], linked)
+            parts.clear()
+            linked = 0
+        else:
+            flush()
         if ending:
-            if any(n == name for n, _ in stack[1:]):
-                while stack[-1][0] != name:
-                    stack.pop()
-                stack.pop()
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name == name:
+                    close(i)
+                    break
             links = 0
             continue
         if name in RAW:
@@ -105,26 +152,30 @@ def parse_page(page: str) -> Element:
             continue
         if name in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
+                if stack[i].name == "p":
+                    close(i)
                     break
-                if stack[i][0] in _BARRIERS or stack[i][0] in ("td", "th", "li"):
+                if stack[i].name in _BARRIERS or stack[i].name in ("td", "th", "li"):
                     break
         if name in CLOSES:
             closed = CLOSES[name].split()
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in closed:
-                    del stack[i:]
-                elif stack[i][0] in _BARRIERS:
+                if stack[i].name in closed:
+                    close(i)
+                elif stack[i].name in _BARRIERS:
                     break
         element = Element(_key(name, attributes))
         if len(stack) > MAX_DEPTH:
             if len(stack) > MAX_DEPTH + 1:
-                element.key = ".".join(dict.fromkeys(f"{stack[-1][1].key}.{element.key}".split(".")))
-            stack[MAX_DEPTH][1].children.append(element)
+                element.key = ".".join(dict.fromkeys(f"{stack[-1].element.key}.{element.key}".split(".")))
+            stack[MAX_DEPTH].element.children.append(element)
         else:
-            stack[-1][1].children.append(element)
-        if not attributes.rstrip().endswith("/") or name in CLOSES_P:
-            stack.append((name, element))
+            stack[-1].element.children.append(element)
+        if hidden:
+            stack.append(_Open(name, element, kept))
+            hiding += 1
+        elif not attributes.rstrip().endswith("/") or name in CLOSES_P:
+            stack.append(_Open(name, element))
+    close(1)
     flush()
     return root
