@@ -37,7 +37,7 @@ class Block:
 
 @dataclass
 class Element:
-    key: str  # name, then class, id and role words
+    key: str  # name, then class, id (with @ before) and role words
     children: list[Element | Block] = field(default_factory=list)
 
 
@@ -56,7 +56,8 @@ def _key(name: str, attributes: str) -> str:
     for attribute, value in _ATTRIBUTE.findall(attributes):
         attribute, value = attribute.lower(), html.unescape(value.strip("\"'"))
         if attribute in ("class", "id", "role", "itemprop"):
-            words += re.findall(r"[a-z]+(?:[-_][a-z]+)*", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
+            found = re.findall(r"[a-z]+(?:[-_][a-z]+)*", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
+            words += ["@" + w for w in found] if attribute == "id" else found
         elif attribute == "hidden" or attribute == "aria-hidden" and value == "true" or attribute == "style" and re.search(r"display\s*:\s*none", value):
             words.append("hidden")
     return ".".join([name, *dict.fromkeys(words)])
@@ -64,7 +65,7 @@ def _key(name: str, attributes: str) -> str:
 
 def _hides(key: str) -> bool:
     """Whether a class, id or role word says hidden."""
-    return any("hidden" in re.split("[-_]", word) for word in key.split(".")[1:])
+    return any("hidden" in re.split("[-_]", word) for word in key.replace("@", "").split(".")[1:])
 
 
 def parse_page(page: str) -> Element:

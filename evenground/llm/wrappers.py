@@ -6,7 +6,8 @@ in turn, a text that differs becomes a slot, an element that only one side has b
 repeated group. Lists that stay unlike beyond ``MAX_ITEMS`` fold into one repeated group of optional elements.
 
 The finished wrapper says what its slots are: inside the article (or main) element, or, if the host has none, all over the
-page; not inside menus, headers, footers, sidebars, notices, adverts, forms or comments; and outside an article not constant
+page; not inside menus, headers, footers, sidebars, notices, adverts, forms or comments (by names that inside an article
+mostly need the wrapper's evidence: constant over the pages, or mostly links); and outside an article not constant
 over the host's pages and not mostly links. A page's text blocks in those slots are its main text.
 
 Every page of the host takes part. Wrappers are folded per task, merged per host and salt, then per host, so a host of any
@@ -45,6 +46,13 @@ _DROPPED_WORDS = re.compile(
     r"cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|shar(?:e|es|ing)|social|related|recommend\w*|comments?|commentlist|"
     r"comment\w*|disqus|respond|repl(?:y|ies)|discussion|widgets?|toolbar|pager|pagination|skip|copyright|legal|outbrain|taboola|hidden|contentinfo|complementary|warning|disclaimer|forms?)(?:$|[-_])"
 )
+# Whole class and role words that need no more evidence inside an article; other names above are asked for some there.
+_SURE_WORDS = re.compile(
+    r"^(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|adbox|(?:ad|advert|sponsor|promo|cookie|consent|gdpr|newsletter|share|sharing|comment|comments|social-share|visually)[-_]"
+    r"(?:slot|box|unit|banner|container|wrapper|block|notice|bar|signup|form|buttons?|links?|icons?|list|section|area|thread|body|hidden)|sponsored|sidebar|navbar|breadcrumbs?|cookies?|gdpr|newsletter|"
+    r"share|sharing|commentlist|comments|disqus|respond|pagination|outbrain|taboola|hidden|visuallyhidden|is[-_]hidden|navigation|contentinfo|complementary)$"
+)
+_HEADING_OR_SECTION = frozenset("h1 h2 h3 h4 h5 h6 section article main".split())
 _HEADER_WORDS = re.compile(r"(?:^|[-_])(?:header|head|topbar|top)(?:$|[-_])")
 _ARTICLE_WORDS = re.compile(r"^(?:articlebody|article-body|post-body|post-content|entry-content|article-content|articlecontent|postcontent|main-content|story-body|article)$")
 
@@ -169,20 +177,28 @@ def as_regex(items: list) -> str:
     return "".join(out)
 
 
-def _dropped(key: str, in_article: bool) -> bool:
+def _dropped(key: str, in_article: bool) -> int:
+    """0: kept; 2: dropped; 1: dropped if the wrapper has evidence (constant text or mostly links), as for most names inside an article."""
     name, *words = key.split(".")
-    if name in DROPPED_NAMES or any(map(_DROPPED_WORDS.search, words)):
-        return True
-    return not in_article and (name == "header" or any(map(_HEADER_WORDS.search, words)))
+    if name in DROPPED_NAMES:
+        return 2
+    if in_article:
+        if name in _HEADING_OR_SECTION:
+            words = [w for w in words if w[0] != "@"]
+        if any(map(_SURE_WORDS.search, words)):
+            return 2
+        return int(any(_DROPPED_WORDS.search(w.removeprefix("@")) for w in words))
+    words = [w.removeprefix("@") for w in words]
+    return 2 * (name == "header" or any(_DROPPED_WORDS.search(w) or _HEADER_WORDS.search(w) for w in words))
 
 
 def _is_article(key: str) -> bool:
     name, *words = key.split(".")
-    return name == "article" or any(map(_ARTICLE_WORDS.match, words))
+    return name == "article" or any(_ARTICLE_WORDS.match(w.removeprefix("@")) for w in words)
 
 
 def _is_main(key: str) -> bool:
-    return key.split(".")[0] == "main" or "main" in key.split(".")[1:]
+    return key.split(".")[0] == "main" or "main" in key.replace("@", "").split(".")[1:]
 
 
 def _walk(items: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], list]]:
@@ -194,20 +210,28 @@ def _walk(items: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str,
             yield from _walk(item[4], path if item[0] == "g" else (*path, item[1]))
 
 
-def _sound(path: tuple[str, ...], holders: set[str]) -> tuple[bool, int]:
-    """Whether no element down the path is to be dropped, and in which sort of region it is: 2 article, 1 main, 0 neither.
+def _sound(path: tuple[str, ...], holders: set[str]) -> tuple[int, int]:
+    """What is to be done with texts down the path (as in _dropped), and in which sort of region they are: 2 article, 1 main, 0 neither.
 
-    An element that holds an article isn't dropped for its class words (with-sidebar) or for being a form around all of the page.
+    An element that holds an article isn't dropped for its class words (with-sidebar) or for being a form around all of the page. The
+    article's own names say nothing against it.
     """
-    region = 0
+    region = worst = 0
     for key in path:
+        inside = region == 2
         if _is_article(key):
             region = 2
         elif _is_main(key):
             region = max(region, 1)
-        if _dropped(key, region == 2) and not (key in holders and key.split(".")[0] not in DROPPED_NAMES - {"form"}):
-            return False, region
-    return True, region
+        if not (key in holders and key.split(".")[0] not in DROPPED_NAMES - {"form"}):
+            worst = max(worst, _dropped(key, inside or region == 2))
+    return worst, region
+
+
+def _template(item: list) -> bool:
+    """Whether a text is the same on enough pages, or mostly links."""
+    pages, chars, linked = item[4]
+    return item[1] is not None and pages >= CONSTANT_PAGES or 2 * linked > chars
 
 
 def slots(wrapper: list) -> dict[str, bool]:
@@ -215,13 +239,13 @@ def slots(wrapper: list) -> dict[str, bool]:
     texts = list(_walk(wrapper))
     holders = {k for path, _ in texts for i, k in enumerate(path) if any(_is_article(x) for x in path[i + 1 :])}
     judged = [(path, item, *_sound(path, holders)) for path, item in texts]
+    judged = [(path, item, worst == 0 or worst == 1 and not _template(item), region) for path, item, worst, region in judged]
     level = max((region for _, _, sound, region in judged if sound), default=0)
     told: dict[str, bool] = {}
     for path, item, sound, region in judged:
-        pages, chars, linked = item[4]
         keep = sound and region >= level
         if keep and level == 0:
-            keep = not (item[1] is not None and pages >= CONSTANT_PAGES) and 2 * linked <= chars
+            keep = not _template(item)
         name = ">".join(path)
         told[name] = told.get(name, False) or keep
     return told | {"": bool(told.get("")), "level": level}
@@ -239,8 +263,8 @@ def extract(page: str, told: dict[str, bool]) -> str:
                 continue
             keep = told.get(">".join(path))
             if keep is None:
-                sound, region = _sound(path, set())
-                keep = sound and region >= told["level"] and (told["level"] > 0 or 2 * child.linked <= len(child.text))
+                worst, region = _sound(path, set())
+                keep = (worst == 0 or worst == 1 and 2 * child.linked <= len(child.text)) and region >= told["level"] and (told["level"] > 0 or 2 * child.linked <= len(child.text))
             if keep:
                 lines.append(child.text)
 

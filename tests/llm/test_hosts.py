@@ -24,3 +24,13 @@ def test_hidden_inline_elements_end_where_their_end_tag_stands():
         assert texts(f"<article>{page}</article>") == [want]
     skip = '<a class="visually-hidden" href="#x">skip</a>'
     assert texts(f"{skip}<article><p>one</p></article>{skip}") == ["one"]
+
+
+def test_names_inside_an_article_need_evidence():
+    body = '<section id="discussion"><h2 id="related-work">Work {0}</h2><p>first {0}</p></section><section id="search-algorithms"><p>second {0}</p></section>'
+    body += '<h2 id="social-history">History {0}</h2><div id="legal-basis"><p>law {0}</p></div><div class="warning"><p>hot {0}</p></div>'
+    gone = '<div class="related-posts"><a href="/{0}">see {0}</a></div><div class="notice-box">always so</div><div class="ad-slot">buy {0}</div><div class="comments">said {0}</div>'
+    pages = [f"<article>{(body + gone).format(i)}</article>" for i in range(4)]
+    want = ["Work {0}", "first {0}", "second {0}", "History {0}", "law {0}", "hot {0}"]
+    assert texts(*pages) == ["\n".join(want).format(i) for i in range(4)]
+    assert texts(pages[0]) == ["\n".join([*want, "always so"]).format(0)]
