@@ -5,7 +5,7 @@ are then aligned one after another with the host's wrapper so far: equal element
 in turn, a text that differs becomes a slot, an element that only one side has becomes optional, and longer or shorter runs meet in the
 repeated group. Lists that stay unlike beyond ``MAX_ITEMS`` fold into one repeated group of optional elements.
 
-The finished wrapper says what its slots are: inside the article (or main) element, or, if the host has none, all over the
+The finished wrapper says what its slots are: inside the article (or main) element, or, if the page has none, all over the
 page; not inside menus, headers, footers, sidebars, notices, adverts, forms or comments (by names that inside an article
 mostly need the wrapper's evidence: constant over the pages, or mostly links); and outside an article not constant
 over the host's pages and not mostly links. A page's text blocks in those slots are its main text.
@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -234,46 +234,54 @@ def _template(item: list) -> bool:
     return item[1] is not None and pages >= CONSTANT_PAGES or 2 * linked > chars
 
 
-def slots(wrapper: list) -> dict[str, bool]:
-    """For each element path of a wrapper (joined by '>'): whether texts right inside are main text; '' tells the region asked for."""
+def _holders(paths: Iterable[tuple[str, ...]]) -> set[str]:
+    """Keys of elements that hold an article."""
+    return {k for path in paths for i, k in enumerate(path) if any(_is_article(x) for x in path[i + 1 :])}
+
+
+def slots(wrapper: list) -> dict[str, int]:
+    """For each element path of a wrapper (joined by '>', one more in front) the region of the texts right inside, as in _sound, or -1 if
+    they are to be dropped; 'level' is the highest. Each page is asked for the highest that it has itself."""
     texts = list(_walk(wrapper))
-    holders = {k for path, _ in texts for i, k in enumerate(path) if any(_is_article(x) for x in path[i + 1 :])}
-    judged = [(path, item, *_sound(path, holders)) for path, item in texts]
-    judged = [(path, item, worst == 0 or worst == 1 and not _template(item), region) for path, item, worst, region in judged]
-    level = max((region for _, _, sound, region in judged if sound), default=0)
-    told: dict[str, bool] = {}
-    for path, item, sound, region in judged:
-        keep = sound and region >= level
-        if keep and level == 0:
-            keep = not _template(item)
-        name = ">".join(path)
-        told[name] = told.get(name, False) or keep
-    return told | {"": bool(told.get("")), "level": level}
-
-
-def extract(page: str, told: dict[str, bool]) -> str:
-    """The main text of one page: its blocks in the slots, one per line. Paths that the wrapper generalized are judged by themselves."""
-    lines: list[str] = []
-    root = parse_page(page)
+    holders = _holders(path for path, _ in texts)
+    told: dict[str, int] = {}
+    for path, item in texts:
+        worst, region = _sound(path, holders)
+        keep = worst == 0 if region else worst == 0 and not _template(item)
+        keep = keep or worst == 1 and not _template(item)
+        name = "".join(f">{x}" for x in path)
+        told[name] = max(told.get(name, -1), region if keep else -1)
+    return told | {"level": max(told.values(), default=-1)}
+
+
+def extract(page: str, told: dict[str, int]) -> str:
+    """The main text of one page: its blocks in the highest region it has, one per line. Paths that the wrapper generalized are judged by themselves."""
+    blocks: list[tuple[tuple[str, ...], Block]] = []
 
     def visit(element: Element, path: tuple[str, ...]) -> None:
         for child in element.children:
             if isinstance(child, Element):
                 visit(child, (*path, child.key))
-                continue
-            keep = told.get(">".join(path))
-            if keep is None:
-                worst, region = _sound(path, set())
-                keep = (worst == 0 or worst == 1 and 2 * child.linked <= len(child.text)) and region >= told["level"] and (told["level"] > 0 or 2 * child.linked <= len(child.text))
-            if keep:
-                lines.append(child.text)
-
-    visit(root, ())
-    return "\n".join(lines)
+            else:
+                blocks.append((path, child))
+
+    visit(parse_page(page), ())
+    found: list[int] = []
+    holders: set[str] | None = None
+    for path, block in blocks:
+        value = told.get("".join(f">{x}" for x in path))
+        if value is None:
+            holders = _holders(path for path, _ in blocks) if holders is None else holders
+            worst, region = _sound(path, holders)
+            unlinked = 2 * block.linked <= len(block.text)
+            value = region if worst == 0 and (region or unlinked) or worst == 1 and unlinked else -1
+        found.append(value)
+    level = max(found, default=-1)
+    return "\n".join(block.text for (_, block), value in zip(blocks, found, strict=True) if value == level >= 0)
 
 
 @lru_cache(maxsize=512)
-def _told(text: str) -> dict[str, bool]:
+def _told(text: str) -> dict[str, int]:
     return json.loads(text)
 
 

@@ -34,3 +34,16 @@ def test_names_inside_an_article_need_evidence():
     want = ["Work {0}", "first {0}", "second {0}", "History {0}", "law {0}", "hot {0}"]
     assert texts(*pages) == ["\n".join(want).format(i) for i in range(4)]
     assert texts(pages[0]) == ["\n".join([*want, "always so"]).format(0)]
+
+
+def unlike_pages():
+    made = [(f"<nav>menu</nav><article><p>story {i}</p></article><div>rest {i}</div>", f"story {i}") for i in range(4)]
+    made += [(f"<nav>menu</nav><main><p>guide {i}</p></main><div>rest {i}</div>", f"guide {i}") for i in range(4)]
+    return made + [(f"<nav>menu</nav><div><p>plain {i}</p></div>", f"plain {i}") for i in range(4)]
+
+
+def test_unlike_templates_on_one_host_and_on_none(spark):
+    made = unlike_pages()
+    rows = [(i, url, page) for url in ("http://one.example/", "no host") for i, (page, _) in enumerate(made)]
+    got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all(r.text == made[r.page_id][1] for r in got)
