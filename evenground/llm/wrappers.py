@@ -7,8 +7,8 @@ repeated group. Lists that stay unlike beyond ``MAX_ITEMS`` fold into one repeat
 
 The finished wrapper says what its slots are: inside the article (or main) element, or, if the page has none, all over the
 page; not inside menus, headers, footers, sidebars, notices, adverts, forms or comments (by names that inside an article
-mostly need the wrapper's evidence: constant over the pages, or mostly links); and outside an article not constant
-over the host's pages and not mostly links. A page's text blocks in those slots are its main text.
+mostly need the wrapper's evidence: constant over the pages, or mostly links); and outside article and main not constant
+over different pages of the host, unless a page has nothing else. A page's text blocks in those slots are its main text.
 
 Every page of the host takes part. Wrappers are folded per task, merged per host and salt, then per host, so a host of any
 size is inferred in parallel; alignment order may differ, the slots' kind doesn't.
@@ -34,8 +34,10 @@ MAX_ITEMS = 60
 #: Hosts whose wrappers a task holds before it passes them on.
 HELD_HOSTS = 2000
 SALTS = 32
-#: Pages that must agree on a text before it counts as the template's.
+#: Different pages (by their texts) that must agree on a text before it counts as the template's.
 CONSTANT_PAGES = 3
+#: In place of the region 0: text of the template outside article and main.
+TEMPLATE = -0.5
 #: Bytes of wrappers up to which they are broadcast; beyond, pages and wrappers meet in a shuffle join.
 BROADCAST_BYTES = 16 << 20
 
@@ -57,16 +59,21 @@ _HEADER_WORDS = re.compile(r"(?:^|[-_])(?:header|head|topbar|top)(?:$|[-_])")
 _ARTICLE_WORDS = re.compile(r"^(?:articlebody|article-body|post-body|post-content|entry-content|article-content|articlecontent|postcontent|main-content|story-body|article)$")
 
 # A wrapper is JSON: a list of items. Element: ["e", key, repeated, optional, items]; group: ["g", "", repeated, optional, items]; text:
-# ["t", crc of the constant text or None, 0, optional, [pages, code points, code points in links]].
+# ["t", crc of the constant text or None, 0, optional, [crcs of up to CONSTANT_PAGES different pages' texts, code points, code points in
+# links, crc of the constant texts of a run or None]].
 
 
-def _stream(element: Element) -> list:
+def _crc(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
+def _stream(element: Element, page: int) -> list:
     items = []
     for child in element.children:
         if isinstance(child, Block):
-            items.append(["t", zlib.crc32(child.text.encode("utf-8", "surrogatepass")), 0, 0, [1, len(child.text), child.linked]])
+            items.append(["t", _crc(child.text), 0, 0, [[page], len(child.text), child.linked, _crc(child.text)]])
         else:
-            items.append(["e", child.key, 0, 0, _stream(child)])
+            items.append(["e", child.key, 0, 0, _stream(child, page)])
     return _fold(items)
 
 
@@ -74,10 +81,17 @@ def _same(a: list, b: list) -> bool:
     return a[0] == b[0] and (a[0] == "t" or a[1] == b[1])
 
 
-def _join_item(a: list, b: list, inside: bool = False) -> list:
-    """Two matching items as one; ``inside`` one page, where each text of a run is a slot."""
+#: How items meet: the same item of two pages, neighbours in a run of one page, or neighbours of whichever pages.
+ACROSS, INSIDE, MIXED = 0, 1, 2
+
+
+def _join_item(a: list, b: list, inside: int = ACROSS) -> list:
+    """Two matching items as one; in a run, each text is a slot."""
     if a[0] == "t":
-        counts = [max(a[4][0], b[4][0]) if inside else a[4][0] + b[4][0], a[4][1] + b[4][1], a[4][2] + b[4][2]]
+        run = a[4][3] if a[4][3] == b[4][3] and not inside else None
+        if inside == INSIDE and a[4][3] is not None and b[4][3] is not None:
+            run = _crc(f"{a[4][3]} {b[4][3]}")
+        counts = [sorted({*a[4][0], *b[4][0]})[:CONSTANT_PAGES], a[4][1] + b[4][1], a[4][2] + b[4][2], run]
         return ["t", a[1] if a[1] == b[1] and not inside else None, a[2] | b[2], a[3] | b[3], counts]
     return [a[0], a[1], a[2] | b[2], a[3] | b[3], align(a[4], b[4], inside)]
 
@@ -87,7 +101,7 @@ def _fold(items: list) -> list:
     folded: list = []
     for item in items:
         if folded and item[0] != "t" and _same(folded[-1], item):
-            folded[-1] = _join_item(folded[-1], item, True)
+            folded[-1] = _join_item(folded[-1], item, INSIDE)
             folded[-1][2] = 1
         else:
             folded.append(item)
@@ -96,7 +110,7 @@ def _fold(items: list) -> list:
         while at < len(folded):
             unit, end = folded[at : at + width], at + width
             while len(unit) == width and len(folded) >= end + width and all(map(_same, unit, folded[end : end + width])):
-                unit = [_join_item(a, b, True) for a, b in zip(unit, folded[end : end + width], strict=True)]
+                unit = [_join_item(a, b, INSIDE) for a, b in zip(unit, folded[end : end + width], strict=True)]
                 end += width
             if end > at + width:
                 out.append(["g", "|".join(x[1] if x[0] != "t" else "#" for x in unit), 1, 0, unit])
@@ -114,18 +128,18 @@ def _generalized(items: list) -> list:
     for item in items:
         for part in item[4] if item[0] == "g" else [item]:
             key = ("t",) if part[0] == "t" else (part[0], part[1])
-            seen[key] = _join_item(seen[key], part, True) if key in seen else part
+            seen[key] = _join_item(seen[key], part, MIXED) if key in seen else part
     if len(seen) > MAX_ITEMS:  # too many keys: names alone
         plain: dict = {}
         for part in seen.values():
             part = [*part[:1], part[1].split(".")[0], *part[2:]] if part[0] == "e" else part
             key = part[:2] if part[0] == "e" else "t"
-            plain[str(key)] = _join_item(plain[str(key)], part, True) if str(key) in plain else part
+            plain[str(key)] = _join_item(plain[str(key)], part, MIXED) if str(key) in plain else part
         seen = plain
     return ["g", "*", 1, 0, [[*x[:3], 1, x[4]] for x in seen.values()]]
 
 
-def align(a: list, b: list, inside: bool = False) -> list:
+def align(a: list, b: list, inside: int = ACROSS) -> list:
     """The wrapper of everything that ``a`` or ``b`` matches."""
     if [x[:2] if x[0] != "t" else "t" for x in a] == [x[:2] if x[0] != "t" else "t" for x in b]:
         return [_join_item(x, y, inside) for x, y in zip(a, b, strict=True)]
@@ -151,15 +165,24 @@ def align(a: list, b: list, inside: bool = False) -> list:
     merged: list = []
     for item in out:  # what became a run by aligning is a repeated group
         if merged and item[0] != "t" and _same(merged[-1], item):
-            merged[-1] = _join_item(merged[-1], item, True)
+            merged[-1] = _join_item(merged[-1], item, MIXED)
             merged[-1][2] = 1
         else:
             merged.append(item)
     return merged if len(merged) <= MAX_ITEMS else [_generalized(merged)]
 
 
+def _texts(element: Element) -> Iterator[str]:
+    for child in element.children:
+        if isinstance(child, Block):
+            yield child.text
+        else:
+            yield from _texts(child)
+
+
 def page_wrapper(page: str) -> list:
-    return _stream(parse_page(page))
+    root = parse_page(page)
+    return _stream(root, _crc("\n".join(_texts(root))))
 
 
 def as_regex(items: list) -> str:
@@ -229,9 +252,15 @@ def _sound(path: tuple[str, ...], holders: set[str]) -> tuple[int, int]:
 
 
 def _template(item: list) -> bool:
-    """Whether a text is the same on enough pages, or mostly links."""
-    pages, chars, linked = item[4]
-    return item[1] is not None and pages >= CONSTANT_PAGES or 2 * linked > chars
+    """Whether a text is the same on enough different pages, or a menu: a run of mostly links that is."""
+    pages, chars, linked, run = item[4]
+    return len(pages) >= CONSTANT_PAGES and (item[1] is not None or run is not None and 2 * linked > chars)
+
+
+def _named_template(item: list) -> bool:
+    """Of a text in a region whose name says it isn't main text: whether it is the template's or mostly links."""
+    pages, chars, linked, run = item[4]
+    return len(pages) >= CONSTANT_PAGES and (item[1] is not None or run is not None) or 2 * linked > chars
 
 
 def _holders(paths: Iterable[tuple[str, ...]]) -> set[str]:
@@ -239,22 +268,23 @@ def _holders(paths: Iterable[tuple[str, ...]]) -> set[str]:
     return {k for path in paths for i, k in enumerate(path) if any(_is_article(x) for x in path[i + 1 :])}
 
 
-def slots(wrapper: list) -> dict[str, int]:
+def slots(wrapper: list) -> dict[str, float]:
     """For each element path of a wrapper (joined by '>', one more in front) the region of the texts right inside, as in _sound, or -1 if
-    they are to be dropped; 'level' is the highest. Each page is asked for the highest that it has itself."""
+    they are to be dropped, -0.5 if the template's own text is main text only of pages that have no other; 'level' is the highest. Each page is asked for the highest that it has itself."""
     texts = list(_walk(wrapper))
     holders = _holders(path for path, _ in texts)
     told: dict[str, int] = {}
     for path, item in texts:
         worst, region = _sound(path, holders)
-        keep = worst == 0 if region else worst == 0 and not _template(item)
-        keep = keep or worst == 1 and not _template(item)
+        value = -1 if worst == 2 or worst == 1 and _named_template(item) else region
+        if value == 0 and _template(item):
+            value = TEMPLATE
         name = "".join(f">{x}" for x in path)
-        told[name] = max(told.get(name, -1), region if keep else -1)
+        told[name] = max(told.get(name, -1), value)
     return told | {"level": max(told.values(), default=-1)}
 
 
-def extract(page: str, told: dict[str, int]) -> str:
+def extract(page: str, told: dict[str, float]) -> str:
     """The main text of one page: its blocks in the highest region it has, one per line. Paths that the wrapper generalized are judged by themselves."""
     blocks: list[tuple[tuple[str, ...], Block]] = []
 
@@ -266,7 +296,7 @@ def extract(page: str, told: dict[str, int]) -> str:
                 blocks.append((path, child))
 
     visit(parse_page(page), ())
-    found: list[int] = []
+    found: list[float] = []
     holders: set[str] | None = None
     for path, block in blocks:
         value = told.get("".join(f">{x}" for x in path))
@@ -274,14 +304,14 @@ def extract(page: str, told: dict[str, int]) -> str:
             holders = _holders(path for path, _ in blocks) if holders is None else holders
             worst, region = _sound(path, holders)
             unlinked = 2 * block.linked <= len(block.text)
-            value = region if worst == 0 and (region or unlinked) or worst == 1 and unlinked else -1
+            value = region if worst == 0 or worst == 1 and unlinked else -1
         found.append(value)
     level = max(found, default=-1)
-    return "\n".join(block.text for (_, block), value in zip(blocks, found, strict=True) if value == level >= 0)
+    return "\n".join(block.text for (_, block), value in zip(blocks, found, strict=True) if value == level > -1)
 
 
 @lru_cache(maxsize=512)
-def _told(text: str) -> dict[str, int]:
+def _told(text: str) -> dict[str, float]:
     return json.loads(text)
 
 

@@ -47,3 +47,15 @@ def test_unlike_templates_on_one_host_and_on_none(spark):
     rows = [(i, url, page) for url in ("http://one.example/", "no host") for i, (page, _) in enumerate(made)]
     got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows) and all(r.text == made[r.page_id][1] for r in got)
+
+
+def test_copies_of_a_page_are_one_page_and_lists_of_links_stay():
+    one = "<div><h3>Heading</h3><p>the only paragraph</p><ul><li>item</li></ul></div>"
+    for copies in (1, 2, 3, 50):
+        assert texts(*[one] * copies) == ["Heading\nthe only paragraph\nitem"] * copies
+    listed = [f"<p>see {i}</p><ul><li><a href=x>first {i}</a></li><li><a href=y>second {i}</a></li></ul>" for i in range(5)]
+    assert texts(*listed) == [f"see {i}\nfirst {i}\nsecond {i}" for i in range(5)]
+    same = [f"<div class=top><p>constant</p></div><div class=menu{'' if i % 2 else 's'}>{i}</div>" for i in range(6)]
+    assert texts(*same) == [""] * 6  # header and menu by name
+    alike = [f"<div><p>constant</p></div><nav>{i}</nav>" for i in range(6)]
+    assert texts(*alike) == ["constant"] * 6  # nothing else on them varies but the menu
