@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenground.runtime import materialize
+from evenground.runtime import materialize, release
 
 _DIGEST = "sum(cast(xxhash64(u, v) as decimal(38, 0)))"
 
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     to one star per component in O(log^2 n) rounds whatever the shape (chains, stars, cliques). A node's smallest
     neighbour is a partial aggregate, so a hub never gathers in one task; the join back is a plain sort-merge
     join, whose skewed partitions adaptive execution splits. NULL endpoints and self loops are ignored; an empty
-    table gives an empty table. Edges are checkpointed once a round.
+    table gives an empty table. Edges are stored once a round, the round before goes.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
     stars = materialize(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select("u", F.col("m").alias("v")).union(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        stars = materialize(small.where("u <> v").distinct())
+        last, stars = stars, materialize(small.where("u <> v").distinct())
+        release(last)
         after = stars.agg(F.count("*"), F.expr(_DIGEST)).first()
         if after == before:
             break

@@ -12,10 +12,14 @@ from evenground.functions.semantics import divide, known, log, natural_join, str
 from evenground.operators.aggregate import post_scale, pre_scale
 from evenground.operators.correspondence import COMMON_ID, METHOD, close_correspondence, combine_correspondences, identifier_correspondence
 from evenground.operators.geometry.crs import transform
-from evenground.operators.geometry.erosion import meets_eroded
-from evenground.operators.geometry.overlap import candidate_pairs, intersection_areas, overlaps
+from evenground.operators.geometry.erosion import kept_tolerance, meets_eroded
+from evenground.operators.geometry.overlap import boxes, candidate_pairs, overlaps, with_geometries
 from evenground.operators.geometry.shapes import area
 from evenground.plans.meta import AVERAGE, MEDIAN, Variable, cut_meta
+from evenground.runtime import materialize
+
+#: What boxes that are cut by a tolerance may miss each other by, for rounding.
+SLACK = 1e-6
 
 
 def _unique(df: DataFrame, key: str) -> None:
@@ -91,8 +95,12 @@ def geometric_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, tolerance:
         raise ValueError("the id columns have one name")
     if not a.where(F.col(a_id).isNull()).isEmpty() or not b.where(F.col(b_id).isNull()).isEmpty():
         raise ValueError("an id is missing")
-    pairs = candidate_pairs(a.select(a_id, "geometry"), b.select(b_id, "geometry"), a_id, b_id, cell)
-    return pairs.where(meets_eroded(F.col("ga"), F.col("gb"), tolerance)).select(a_id, b_id)
+    told = [materialize(boxes(df.withColumn(t, kept_tolerance(F.col("geometry"), tolerance)), key, t)) for df, key, t in ((a, a_id, "ta"), (b, b_id, "tb"))]
+    pairs = candidate_pairs(*told, a_id, b_id, cell)
+    # an eroded polygon lies in its box less the tolerance: neighbours that only touch are ruled out here
+    near = [reduce(lambda x, y: x & y, [(F.col(f"{p}.{k}0") + F.col(t) <= F.col(f"{q}.{k}1") + SLACK) & (F.col(f"{q}.{k}0") <= F.col(f"{p}.{k}1") - F.col(t) + SLACK) for k in "xy"]) for p, q, t in (("ba", "bb", "ta"), ("bb", "ba", "tb"))]
+    met = with_geometries(pairs.where(near[0] | near[1]).drop("ba", "bb"), a, b, a_id, b_id)
+    return met.where(meets_eroded(F.col("ga"), F.col("gb"), F.col("ta"), F.col("tb"))).select(a_id, b_id)
 
 
 def estimate_correspondence(
@@ -131,7 +139,7 @@ def translate_units(one: DataFrame, two: DataFrame, unit_id: str, sums: list[str
     only = [a.join(b.select(unit_id), unit_id, "left_anti") for a, b in ((one, two), (two, one))]
     first = only[0].select(F.col(unit_id).alias("_one"), "geometry")
     second = only[1].select(F.col(unit_id).alias("_two"), "geometry")
-    shared = intersection_areas(candidate_pairs(second, first, "_two", "_one", cell), "_two", "_one")
+    shared = overlaps(second, first, "_two", "_one", cell)
     ratio = shared.join(second.select("_two", area(F.col("geometry")).alias("_area")), "_two").where(divide(F.col("overlap"), F.col("_area")) > least)
     if not ratio.groupBy("_one").count().where("count <= 1").isEmpty():
         raise ValueError("a unit has a single partner")

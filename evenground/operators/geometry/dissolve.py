@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
 from evenground.operators.geometry.shapes import TYPE, edges
 
@@ -49,8 +51,8 @@ def _area(ring: list[tuple[float, float]]) -> float:
     return sum((x2 - x1) * (y1 + y2) / 2 for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False))
 
 
-def assemble(rings: list[list[tuple[float, float]]]) -> list[list[list[dict[str, float]]]]:
-    """Polygons: clockwise rings are outlines; each hole goes to the smallest outline around it."""
+def assemble(rings: list[list[tuple[float, float]]]) -> list[list[list[float]]]:
+    """Polygons of rings, each x, y, x, y and so on: clockwise rings are outlines; each hole goes to the smallest outline around it."""
     outlines = sorted((r for r in rings if _area(r) > 0), key=_area)
     polygons = [[r] for r in outlines]
     for hole in (r for r in rings if _area(r) < 0):
@@ -60,29 +62,38 @@ def assemble(rings: list[list[tuple[float, float]]]) -> list[list[list[dict[str,
         home = next((i for i, r in enumerate(outlines) if _inside(probe, r)), None)
         if home is not None:
             polygons[home].append(hole)
-    return [[[{"x": x, "y": y} for x, y in ring] for ring in p] for p in polygons]
+    return [[[v for p in ring for v in p] for ring in polygon] for polygon in polygons]
+
+
+def _chained(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        out = []
+        for numbers in part:
+            e = np.asarray(numbers, float).reshape(-1, 4)
+            out.append(assemble(chain_rings(*e[np.lexsort(e.T)].T.tolist())))
+        yield pd.Series(out, dtype=object)
+
+
+_chained.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
 
 
 def dissolve(df: DataFrame, by: list[str]) -> DataFrame:
-    """``by`` and the union of each group's ``geometry``. Borders between members cancel before anything is gathered, so a task holds a
-    group's outline, not its members. Members that overlap stay separate parts of the result, as do members whose common
-    border has corners that only one has. Groups without edges have a NULL geometry."""
-    parts = df.select(*by, F.col("geometry.srid").alias("srid"), F.explode_outer(edges(F.col("geometry"))).alias("e"))
-    forward = F.expr("(e.x1, e.y1) < (e.x2, e.y2)")
-    ends = [F.when(forward, F.struct("e.x1", "e.y1", "e.x2", "e.y2")).otherwise(F.expr("struct(e.x2 as x1, e.y2 as y1, e.x1 as x2, e.y1 as y2)")).alias("k")]
-    net = parts.select(*by, "srid", *ends, F.when(forward, 1).otherwise(-1).alias("way")).groupBy(*by, "k").agg(F.max("srid").alias("srid"), F.sum("way").alias("way")).where("way <> 0 or k.x1 is null")
-    schema = df.select(*by).schema.add("geometry", DataType.fromDDL(TYPE))
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        x1, y1, x2, y2 = [], [], [], []
-        for k, way in zip(group["k"], group["way"], strict=True):
-            if k is None or k["x1"] is None:
-                continue
-            ends = (k["x1"], k["y1"], k["x2"], k["y2"]) if way > 0 else (k["x2"], k["y2"], k["x1"], k["y1"])
-            for _ in range(abs(int(way))):
-                for a, v in zip((x1, y1, x2, y2), ends, strict=True):
-                    a.append(float(v))
-        geometry = {"srid": None if pd.isna(group["srid"].max()) else int(group["srid"].max()), "polygons": assemble(chain_rings(x1, y1, x2, y2))} if x1 else None
-        return pd.DataFrame({**{c: [group[c].iloc[0]] for c in by}, "geometry": [geometry]})
-
-    return net.groupBy(*by).applyInPandas(chain, schema)
+    """``by`` and the union of each group's ``geometry``; no ``by``: one row for all.
+
+    Borders between members cancel in partial sums before anything is gathered, so what a group gathers is its outline, which is what its
+    row of the result holds, not its members; Python chains the outlines of many groups in one batch. Members that overlap stay separate
+    parts of the result, as do members whose common border has corners that only one has. Groups without edges have a NULL geometry.
+    """
+    parts = df.select(*by, F.col("geometry.srid").alias("_srid"), F.explode_outer(edges(F.col("geometry"))).alias("_e"))
+    ends = F.expr("if((_e.x1, _e.y1) < (_e.x2, _e.y2), _e, struct(_e.x2 as x1, _e.y2 as y1, _e.x1 as x2, _e.y1 as y2))").alias("_k")
+    way = F.expr("if((_e.x1, _e.y1) < (_e.x2, _e.y2), 1, -1)").alias("_way")
+    net = parts.select(*by, "_srid", ends, way).groupBy(*by, "_k").agg(F.max("_srid").alias("_srid"), F.sum("_way").alias("_way")).where("_way <> 0 or _k is null")
+    drawn = F.expr("if(_way > 0, array(_k.x1, _k.y1, _k.x2, _k.y2), array(_k.x2, _k.y2, _k.x1, _k.y1))")
+    outlines = net.withColumn("_k", F.when(F.col("_k.x1").isNotNull(), F.flatten(F.array_repeat(drawn, F.abs("_way").cast("int")))))
+    grouped = outlines.groupBy(*by).agg(F.max("_srid").alias("_srid"), F.flatten(F.collect_list("_k")).alias("_k"))
+    rings = F.pandas_udf(_chained, "array<array<array<double>>>")(F.col("_k"))
+    corner = lambda ring: lambda i: F.struct(F.get(ring, 2 * i).alias("x"), F.get(ring, 2 * i + 1).alias("y"))
+    points = lambda ring: F.transform(F.sequence(F.lit(0), (F.size(ring) / 2 - 1).cast("int")), corner(ring))
+    polygons = F.transform("_rings", lambda p: F.transform(p, points))
+    geometry = F.when(F.size("_k") > 0, F.struct(F.col("_srid").alias("srid"), polygons.alias("polygons")))
+    return grouped.withColumn("_rings", rings).select(*by, geometry.cast(TYPE).alias("geometry"))

@@ -1,4 +1,4 @@
-"""Overlap of two polygon tables: candidate pairs by tiles, intersection areas in closed form.
+"""Overlap of two polygon tables: candidate pairs by cells of size classes, intersection areas in closed form.
 
 Every directed edge of a normalized polygon bounds a signed trapezoid down to a common baseline; a polygon is the signed sum of its
 edges' trapezoids. The area of an intersection is therefore the sum, over pairs of edges, of the product of their signs
@@ -14,29 +14,48 @@ from pyspark.sql import functions as F
 from evenground.operators.geometry.shapes import bbox, edges
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float | None = None, margin: float = 0.0) -> DataFrame:
-    """``a_id``, ``b_id``, ``ga``, ``gb`` of all pairs whose bounding boxes (grown by ``margin``) meet, each once.
+def boxes(df: DataFrame, key: str, *more: str) -> DataFrame:
+    """``key``, ``box`` and ``more`` of the rows of ``df`` whose geometry has corners."""
+    return df.select(F.col(key), bbox(F.col("geometry")).alias("box"), *more).where("box.x0 is not null")
 
-    Boxes are dealt to square cells of side ``cell`` (default: twice the mean side of all boxes); rows meet by an equi-join on the cell, and
-    a pair counts in the one cell that holds the lower left corner of what the boxes share.
-    """
-    left = a.select(F.col(a_id), F.col("geometry").alias("ga"), bbox(F.col("geometry")).alias("ba"))
-    right = b.select(F.col(b_id), F.col("geometry").alias("gb"), bbox(F.col("geometry")).alias("bb"))
-    if cell is None:
-        sides = left.select(F.col("ba").alias("x")).union(right.select(F.col("bb").alias("x"))).agg(F.avg(F.expr("(x.x1 - x.x0 + x.y1 - x.y0) / 2"))).first()[0]
-        cell = 2 * sides if sides else 1.0
 
-    def dealt(df: DataFrame, box: str) -> DataFrame:
-        at = lambda e: F.floor(e / cell)
-        x = F.sequence(at(F.col(f"{box}.x0") - margin), at(F.col(f"{box}.x1") + margin))
-        y = F.sequence(at(F.col(f"{box}.y0") - margin), at(F.col(f"{box}.y1") + margin))
-        return df.withColumn("cx", F.explode(x)).withColumn("cy", F.explode(y))
+def candidate_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float | None = None) -> DataFrame:
+    """All pairs of rows of ``a`` and ``b`` (from ``boxes``) whose boxes meet, each once: both sides' columns, box as ``ba`` and ``bb``.
+
+    Boxes have size classes, powers of two (``cell``: none under this size). A box lies in at most four square cells of its class's
+    side, and in as few of any larger class that the other table has. Two boxes meet in the cells of the larger of their classes: once
+    ``a``'s own cells are joined with those of ``b``'s boxes that are no larger, once the other way round. So a large box among
+    many small ones makes few rows, and small ones meet in small cells only. Of several common cells the one that holds the
+    lower left corner of what the boxes share counts.
+    """
 
-    met = dealt(left, "ba").join(dealt(right, "bb"), ["cx", "cy"])
-    low = {k: F.greatest(F.col(f"ba.{k}0"), F.col(f"bb.{k}0")) - margin for k in "xy"}
-    share = [(F.col(f"ba.{k}0") - margin <= F.col(f"bb.{k}1") + margin) & (F.col(f"bb.{k}0") - margin <= F.col(f"ba.{k}1") + margin) for k in "xy"]
-    own = (F.floor(low["x"] / cell) == F.col("cx")) & (F.floor(low["y"] / cell) == F.col("cy"))
-    return met.where(share[0] & share[1] & own).select(a_id, b_id, "ga", "gb")
+    def classed(df: DataFrame, box: str) -> DataFrame:
+        side = F.greatest(F.expr("box.x1 - box.x0"), F.expr("box.y1 - box.y0"), F.lit(cell or 0.0))
+        return df.withColumn("size", F.when(side > 0, F.ceil(F.log2(side)).cast("int"))).withColumnRenamed("box", box)
+
+    left, right = classed(a, "ba"), classed(b, "bb")
+    classes = [sorted(r[0] for r in d.select("size").distinct().collect() if r[0] is not None) for d in (left, right)]  # powers of two: few
+    least = min([*classes[0], *classes[1]], default=0)
+    left, right = (d.withColumn("size", F.coalesce("size", F.lit(least))) for d in (left, right))
+
+    def dealt(df: DataFrame, box: str, larger: list[int] | None, same: bool = False) -> DataFrame:
+        """``df`` once per cell: of its own class, or of the classes ``larger`` that are (or, with ``same``, may be) above it."""
+        if larger is None:
+            at = df.withColumn("class", F.col("size"))
+        else:
+            known = F.array(*[F.lit(k) for k in larger]) if larger else F.array().cast("array<int>")
+            at = df.withColumn("class", F.explode(F.filter(known, lambda k: (k >= F.col("size")) if same else (k > F.col("size")))))
+        cells = {c: F.sequence(*[F.floor(F.col(f"{box}.{c}{i}") / F.pow(F.lit(2.0), F.col("class"))) for i in (0, 1)]) for c in "xy"}
+        return at.withColumn("cx", F.explode(cells["x"])).withColumn("cy", F.explode(cells["y"])).drop("size")
+
+    met = [
+        dealt(left, "ba", None).join(dealt(right, "bb", sorted({*classes[0], least}), True), ["class", "cx", "cy"]),
+        dealt(left, "ba", sorted({*classes[1], least})).join(dealt(right, "bb", None), ["class", "cx", "cy"]),
+    ]
+    both = met[0].unionByName(met[1])
+    share = [(F.col(f"ba.{k}0") <= F.col(f"bb.{k}1")) & (F.col(f"bb.{k}0") <= F.col(f"ba.{k}1")) for k in "xy"]
+    own = [F.floor(F.greatest(F.col(f"ba.{k}0"), F.col(f"bb.{k}0")) / F.pow(F.lit(2.0), F.col("class"))) == F.col(f"c{k}") for k in "xy"]
+    return both.where(share[0] & share[1] & own[0] & own[1]).drop("class", "cx", "cy")
 
 
 def _integral_of_lower() -> Column:
@@ -66,17 +85,22 @@ def _touch() -> Column:
     return boxes & (turn("e", f1) * turn("e", f2) <= 0) & (turn("f", e1) * turn("f", e2) <= 0)
 
 
-def intersection_areas(pairs: DataFrame, a_id: str, b_id: str) -> DataFrame:
-    """``a_id``, ``b_id``, ``overlap`` (area, at least 0) of ``pairs`` (with ga, gb) that share area or at least touch."""
-    lowest = lambda g: F.array_min(F.transform(edges(F.col(g)), lambda e: e["y1"]))
-    based = pairs.withColumn("base", F.least(lowest("ga"), lowest("gb")))
-    one = based.select(a_id, b_id, "base", F.explode(edges(F.col("ga"))).alias("e"), F.col("gb"))
-    two = one.select(a_id, b_id, "base", "e", F.explode(edges(F.col("gb"))).alias("f"))
-    shared = two.where("greatest(e.x1, e.x2) >= least(f.x1, f.x2) and greatest(f.x1, f.x2) >= least(e.x1, e.x2)")
-    summed = shared.groupBy(a_id, b_id).agg(F.sum(_integral_of_lower()).alias("overlap"), F.bool_or(_touch()).alias("touch"))
-    return summed.withColumn("overlap", F.greatest("overlap", F.lit(0.0))).where("touch or overlap > 1e-12").drop("touch")
+def with_geometries(pairs: DataFrame, a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    """``pairs`` with the geometries ``ga``, ``gb`` of their ids."""
+    left, right = a.select(a_id, F.col("geometry").alias("ga")), b.select(b_id, F.col("geometry").alias("gb"))
+    return pairs.join(left, a_id).join(right, b_id)
 
 
 def overlaps(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float | None = None) -> DataFrame:
-    """``a_id``, ``b_id``, ``overlap`` of all pairs of polygons that share area or touch."""
-    return intersection_areas(candidate_pairs(a, b, a_id, b_id, cell), a_id, b_id)
+    """``a_id``, ``b_id``, ``overlap`` (area, at least 0) of all pairs of polygons that share area or touch; ids are unique.
+
+    Pairs are found by their boxes alone; the geometries join those. Of either only the edges over the shared stretch of x are taken.
+    """
+    pairs = candidate_pairs(boxes(a, a_id), boxes(b, b_id), a_id, b_id, cell)
+    based = with_geometries(pairs, a, b, a_id, b_id).withColumns({"base": F.least("ba.y0", "bb.y0"), "x0": F.greatest("ba.x0", "bb.x0"), "x1": F.least("ba.x1", "bb.x1")})
+    inside = lambda g: F.filter(edges(F.col(g)), lambda e: (F.greatest(e["x1"], e["x2"]) >= F.col("x0")) & (F.least(e["x1"], e["x2"]) <= F.col("x1")))
+    one = based.select(a_id, b_id, "base", F.explode(inside("ga")).alias("e"), inside("gb").alias("fs"))
+    two = one.select(a_id, b_id, "base", "e", F.explode("fs").alias("f"))
+    shared = two.where("greatest(e.x1, e.x2) >= least(f.x1, f.x2) and greatest(f.x1, f.x2) >= least(e.x1, e.x2)")
+    summed = shared.groupBy(a_id, b_id).agg(F.sum(_integral_of_lower()).alias("overlap"), F.bool_or(_touch()).alias("touch"))
+    return summed.withColumn("overlap", F.greatest("overlap", F.lit(0.0))).where("touch or overlap > 1e-12").drop("touch")

@@ -3,24 +3,55 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def use_checkpoints(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, else a temporary one (tests, one machine)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for stored tables: the one the cluster names in spark.checkpoint.dir; with a local master else a temporary one.
+
+    On a cluster without that setting it is an error: a folder of one machine would be lost to the others.
+    """
     context = spark.sparkContext
-    folder = context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints")
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints")
         context.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once, store in the shared checkpoint folder, cut the lineage; survives lost executors."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once, store as a Parquet table in the shared folder, cut the lineage; survives lost executors.
+
+    Tables lie in a folder of the application, which goes when the driver ends; ``release`` deletes one earlier.
+    """
+    spark = df.sparkSession
+    home = f"{shared_folder(spark)}/stored-{spark.sparkContext.applicationId}"
+    system, folder = _path(spark, home)
+    if not system.exists(folder):
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+    path = f"{home}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables from ``materialize`` that nothing reads any more."""
+    for df in tables:
+        system, path = _path(df.sparkSession, df.stored_at)
+        system.delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
