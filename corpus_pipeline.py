@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evenground.llm import near_copies, packing, quality, toxicity
 from evenground.llm.common import documents, tokenizer_path, whole_texts
-from evenground.runtime import materialize, read_table, use_checkpoints
+from evenground.runtime import materialize, read_table
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +31,25 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id; rows without an id stay.
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) one row: that of the smallest doc_id.
 
-    Repeated rows of one id and text are one document. Only ids meet in the join that finds the copies to drop.
+    Of several texts of that id in one group the one with the smallest digest stays; a row that stands there repeatedly stays once. Rows
+    without an id stay, all of them. A row is told by its id and its text's digest, so an id with two texts may keep either, both or
+    none. Ids and digests alone meet in the join that finds the rows to drop; of repeated rows alone whole texts are shuffled.
     """
     whole_texts(spark)
-    named = near_copies.near_copies(docs.select("doc_id", "text"))
-    copies = named.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    named = materialize(near_copies.near_copies(docs.select("doc_id", "text")).where("doc_id is not null").groupBy("doc_id", "digest").agg(F.first("class_id").alias("class_id"), F.count("*").alias("n")))
+    first = named.groupBy("class_id").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    judged = named.join(first, "class_id")
+    stays = F.struct("doc_id", "digest") == F.col("first")
+    rows = docs.withColumns({"_near_id": F.col("doc_id").cast("long"), "_near_digest": F.xxhash64("text")})
+    key = ["_near_id", "_near_digest"]
+    kept = rows.join(judged.where(~stays).select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_digest")), key, "left_anti")
+    repeated = judged.where(stays & (F.col("n") > 1)).select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_digest"))
+    if not repeated.isEmpty():
+        once = kept.join(repeated, key, "left_semi").dropDuplicates(key)
+        kept = kept.join(repeated, key, "left_anti").unionByName(once.select(kept.columns))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +70,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what each stage keeps is stored in the shared checkpoint folder before the next reads it."""
-    use_checkpoints(spark)
     docs = read_table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -5,9 +5,14 @@ more) of either, in any order that holds for all sets: those members are the joi
 cannot reach 4/5. The order puts shingles that a sample of texts finds often last, so that a common passage is no key of
 texts that hold much else; the sample decides the order only, never what is found.
 
-A group of very many near copies shares nearly all keys. So each run of a key first offers every member its neighbour and the
-run's head; what is verified of these becomes components, and then all pairs of different components are offered. No link
-between components is lost, and those inside one need no offer.
+A group of very many near copies shares nearly all keys. So the first offers are few: the links of SimHash fingerprints within four bits, by
+their Golay-code keys, and in each run of a key every member's neighbour and the run's head. What is verified of these becomes
+components, and then all pairs of different components are offered. No link between components is lost, and those inside one need no
+offer.
+
+Offered pairs meet their texts' parity bitmaps first: a bitmap has about two bits per shingle, each the parity of the shingles that
+fall on it, so two bitmaps differ in no more bits than the sets in shingles, and pairs that differ in too many are done. Only the texts
+of what is left are read again, and their whole sets compared.
 """
 
 from __future__ import annotations
@@ -21,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenground.llm.common import whole_texts
+from evenground.llm.simhash import fingerprint_links, majority
 from evenground.operators.components import connected_components
-from evenground.runtime import materialize
+from evenground.runtime import materialize, release
 
 SHINGLE_WORDS = 5
 SEED = 42
@@ -33,14 +39,39 @@ HELD_PAIRS = 1 << 20
 _MEMBER = "key long, sid long, n int, at int"
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The different hashes of a UTF-8 text's shingles, sorted; a text of fewer words is one shingle, one of none has none."""
+def all_shingles(text: bytes) -> np.ndarray:
+    """The hashes of a UTF-8 text's shingles in order; a text of fewer words is one shingle, one of none has none."""
     parts = text.lower().split()  # bytes: A-Z only, and exactly \\x20 and \\x09-\\x0D
     if not parts:
         return np.zeros(0, np.int64)
     digest, join, words = xxhash.xxh64_intdigest, b" ".join, SHINGLE_WORDS
-    hashes = [digest(join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+    return np.array([digest(join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))], np.uint64).view(np.int64)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The different hashes of a UTF-8 text's shingles, sorted."""
+    return np.unique(all_shingles(text))
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """A bitmap of two to four bits per member of a set (64 at least): of how many members fall on each bit, the parity."""
+    bits = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    counts = np.bincount(hashes & (bits - 1), minlength=bits)
+    return np.packbits(counts & 1 == 1, bitorder="little").tobytes()
+
+
+def at_least_differing(a: bytes, b: bytes) -> int:
+    """A lower bound of how many members only one of two sets has, from their bitmaps."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    size = 8 * min(len(a), len(b))
+    for bits in (8 * len(a), 8 * len(b)):
+        while bits > size:  # parities of half as many bits
+            bits //= 2
+            if 8 * len(a) > size:
+                x = x >> bits ^ x & (1 << bits) - 1
+            else:
+                y = y >> bits ^ y & (1 << bits) - 1
+    return (x ^ y).bit_count()
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -78,19 +109,26 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["h"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
 
 
+_SETS = "doc_id long, digest long, sid long, n int, fp long, bits binary, prefix binary"
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``sid``, ``n``, ``prefix`` (hashes, 8 bytes each) of every row."""
+    """Of every row ``doc_id``, ``digest`` (of its text), ``sid`` (of its set), ``n``, SimHash ``fp``, bitmap, ``prefix`` (8 bytes each)."""
     common, rank = _common(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t or b"") for t in batch.column(1).to_pylist()]
-            ids, sizes = pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())
-            prefixes = pa.array([_prefix(s, common, rank).tobytes() if len(s) else b"" for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, sizes, prefixes], ["doc_id", "sid", "n", "prefix"])
+            rows = []
+            for text in batch.column(2).to_pylist():
+                all_ = all_shingles(text or b"")
+                s = np.unique(all_)
+                rows.append((set_id(s), len(s), majority(all_.view(np.uint64)), parities(s), _prefix(s, common, rank).tobytes() if len(s) else b""))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            told = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told], [x.split()[0] for x in _SETS.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("t"))
-    return rows.mapInArrow(scan, "doc_id long, sid long, n int, prefix binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.encode("text", "UTF-8").alias("t"))
+    return rows.mapInArrow(scan, _SETS)
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +215,14 @@ def _offer_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(a, b)
 
 
-def _verified(offers: DataFrame, docs: DataFrame, lows: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` of ``offers`` that are similar. Only texts that are offered are read again."""
+def _verified(offers: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` of ``offers`` that are similar, stored. ``classes``: sid, n, bits and the row (low, digest) of each set."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, left, right = (batch.column(c).to_pylist() for c in ("n", "m", "left", "right"))
+            keep = [9 * at_least_differing(x, y) <= i + j for i, j, x, y in zip(n, m, left, right, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,37 +235,51 @@ def _verified(offers: DataFrame, docs: DataFrame, lows: DataFrame) -> DataFrame:
             keep = pa.array([similar(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    offers = materialize(offers.distinct())
-    asked = offers.select(F.col("a").alias("sid")).union(offers.select("b")).distinct()
-    low = lows.join(asked, "sid").select(F.col("low").alias("asked_id")).distinct()
-    texts = docs.join(low, F.col("doc_id").cast("long").eqNullSafe(F.col("asked_id")), "left_semi").select(F.encode("text", "UTF-8").alias("t"))
-    members = materialize(texts.mapInArrow(again, "sid long, members binary").join(asked, "sid", "left_semi").dropDuplicates(["sid"]))
-    left, right = members.toDF("a", "left"), members.toDF("b", "right")
-    return offers.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(judge, "a long, b long")
+    told = classes.select("sid", "n", "bits")
+    met = offers.distinct().join(told.toDF("a", "n", "left"), "a").join(told.toDF("b", "m", "right"), "b")
+    likely = materialize(met.select("a", "b", "n", "m", "left", "right").mapInArrow(near, "a long, b long"))
+    asked = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct()
+    rows = classes.join(asked, "sid", "left_semi").select(F.col("low").alias("_low"), F.col("digest").alias("_digest"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_low")) & (F.xxhash64("text") == F.col("_digest"))
+    texts = docs.join(rows, here, "left_semi").select(F.encode("text", "UTF-8").alias("t"))
+    members = materialize(texts.mapInArrow(again, "sid long, members binary").dropDuplicates(["sid"]))
+    both = likely.join(members.toDF("a", "left"), "a").join(members.toDF("b", "right"), "b")
+    links = materialize(both.select("a", "b", "left", "right").mapInArrow(judge, "a long, b long"))
+    release(likely, members)
+    return links
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``component_id`` for every row of ``docs`` (doc_id, text).
+    """``doc_id``, ``digest``, ``class_id``, ``component_id`` for every row of ``docs`` (doc_id, text).
 
-    component_id is the smallest doc_id reachable over links of similarity 4/5 or more between sets of shingles of five words,
-    the row itself included. Texts of no word, NULL included, are copies of each other; a NULL doc_id is no smallest id; repeated
-    rows give repeated rows; an empty table gives an empty table.
+    Rows are of one class if links of similarity 4/5 or more between sets of shingles of five words lead from one to the other. component_id
+    is the smallest doc_id of the class; digest is xxhash64 of the text. Texts of no word, NULL included, are copies of each other; a
+    NULL doc_id is no smallest id; repeated rows give repeated rows; an empty table gives an empty table.
     """
     whole_texts(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets = materialize(_sets(docs))
-    lows = materialize(sets.groupBy("sid").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    keys = lows.select("sid", "n", "prefix").mapInArrow(_expand, _MEMBER).repartition("key").sortWithinPartitions("key", "n", "sid")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    classes = sets.groupBy("sid").agg(first.alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"))
+    classes = materialize(classes.select("sid", "n", "fp", "bits", F.col("row.doc_id").alias("low"), F.col("row.digest").alias("digest")))
+    once = sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    keys = once.mapInArrow(_expand, _MEMBER).repartition("key").sortWithinPartitions("key", "n", "sid")
     shared = materialize(keys.mapInArrow(_shared, _MEMBER))
     runs = shared.repartition("key").sortWithinPartitions("key", "n", "sid")
-    links = materialize(_verified(runs.mapInArrow(_offer_some, "a long, b long"), docs, lows))
+    hashed = fingerprint_links(classes.where("n > 0").select("fp"))
+    by_hash = classes.where("n > 0").groupBy("fp").agg(F.min("sid").alias("head"))
+    some = [
+        runs.mapInArrow(_offer_some, "a long, b long"),
+        classes.where("n > 0").join(by_hash, "fp").where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b")),
+        hashed.join(by_hash.toDF("a", "x"), "a").join(by_hash.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")),
+    ]
+    links = _verified(some[0].union(some[1]).union(some[2]), docs, classes)
     parts = connected_components(links, "a", "b").toDF("sid", "part")
     runs = shared.join(parts, "sid", "left").select("key", "sid", "n", "at", F.coalesce("part", "sid").alias("part"))
     runs = runs.repartition("key").sortWithinPartitions("key", "n", "sid")
-    links = links.union(_verified(runs.mapInArrow(_offer_rest, "a long, b long"), docs, lows))
-    linked = connected_components(links, "a", "b").withColumnRenamed("node", "sid")
-    classes = lows.select("sid", "low").join(linked, "sid")
-    least = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    moved = classes.join(least, "component").select("sid", "component_id")
-    named = materialize(lows.select("sid", "low").join(moved, "sid", "left").select("sid", F.coalesce("component_id", "low").alias("component_id")))
-    return sets.select("doc_id", "sid").join(named, "sid").select("doc_id", "component_id")
+    rest = _verified(runs.mapInArrow(_offer_rest, "a long, b long"), docs, classes)
+    release(shared)
+    linked = connected_components(links.union(rest), "a", "b").withColumnRenamed("node", "sid")
+    classed = classes.select("sid", "low").join(linked, "sid", "left").withColumn("class_id", F.coalesce("component", "sid"))
+    named = classed.join(classed.groupBy("class_id").agg(F.min("low").alias("component_id")), "class_id").select("sid", "class_id", "component_id")
+    return sets.select("doc_id", "digest", "sid").join(materialize(named), "sid").select("doc_id", "digest", "class_id", "component_id")

@@ -37,6 +37,24 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 RUN_ROWS = 4096
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of 64-bit hashes have each bit."""
+    ones = np.zeros(64, np.int64)
+    for low in range(0, len(hashes), SLICE):
+        bits = np.unpackbits(hashes[low : low + SLICE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def _packed(ones: np.ndarray, n: int) -> np.uint64:
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of unsigned 64-bit hashes have, as a signed number; 0 if there are none."""
+    return int(_packed(_ones(hashes), len(hashes)).view(np.int64)) if len(hashes) else 0
+
+
 def simhash(text: bytes, words: int = SHINGLE_WORDS) -> int:
     """The fingerprint of a UTF-8 text; 0 if it has no word."""
     parts = text.lower().split()  # bytes: A-Z only, and exactly \\x20 and \\x09-\\x0D
@@ -46,10 +64,8 @@ def simhash(text: bytes, words: int = SHINGLE_WORDS) -> int:
     last = max(1, len(parts) - words + 1)
     ones = np.zeros(64, np.int64)
     for low in range(0, last, SLICE):
-        hashes = [digest(join(parts[i : i + words]), SEED) for i in range(low, min(low + SLICE, last))]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > last, bitorder="little").view("<u8")[0])
+        ones += _ones(np.array([digest(join(parts[i : i + words]), SEED) for i in range(low, min(low + SLICE, last))], np.uint64))
+    return int(_packed(ones, last))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

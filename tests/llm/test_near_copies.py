@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from evenground.llm import near_copies, simhash
 
 
@@ -55,3 +57,34 @@ def test_the_stage_drops_near_copies_beyond_four_bits(spark):
     kept = {r.doc_id for r in corpus_pipeline.keep_one_copy(spark, frame, "").collect()}
     assert kept == set(plain_components(rows).values())
     assert len({r.component_id for r in simhash.near_duplicates(frame).collect()}) > len(kept)
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(100))
+    near = long.replace("w99", "x")
+    rows = [(1, long), (2, long), (2, "a text of its own that no other row has"), (None, "no id"), (None, "no id"), (3, "twice the very same row"), (3, "twice the very same row"), (4, near), (5, ""), (6, None), (7, long)]
+    frame = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, digest int, class_id string")
+    kept = corpus_pipeline.keep_one_copy(spark, frame, "")
+    assert kept.columns == frame.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, (rows[i] for i in (0, 2, 3, 4, 5, 8))))
+
+
+def test_one_id_with_two_texts_of_a_group_stays_once(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(100))
+    frame = spark.createDataFrame([(1, long), (1, long.replace("w99", "x")), (1, "quite another text for this id"), (2, long)], "doc_id long, text string")
+    kept = [r.text for r in corpus_pipeline.keep_one_copy(spark, frame, "").collect()]
+    assert len(kept) == 2 and "quite another text for this id" in kept
+
+
+def test_bitmaps_never_rule_out_similar_sets():
+    draw = random.Random(3)
+    for _ in range(300):
+        base = draw.sample(range(-(10**12), 10**12), draw.choice((1, 3, 20, 200, 600)))
+        gone = draw.randrange(0, len(base) // 5 + 1)
+        a = np.unique(np.array(base, np.int64))
+        b = np.unique(np.array(base[gone:] + draw.sample(range(10**13, 10**14), draw.randrange(0, len(base) // 5 + 1)), np.int64))
+        assert near_copies.at_least_differing(near_copies.parities(a), near_copies.parities(b)) <= len(np.setxor1d(a, b))

@@ -5,8 +5,9 @@ import sys
 
 import pytest
 
-from evenground.llm import quality, queries, simhash, toxicity, wrappers
+from evenground.llm import quality, queries, toxicity, wrappers
 from evenground.runtime import read_table
+from tests.llm.test_near_copies import plain_components
 from tests.llm.test_texts import check_packing
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -74,7 +75,7 @@ def test_pipeline_stages_are_the_operators(spark, llm_dir):
     civil = {r.doc_id for r in toxicity.toxicity(docs, toxicity.fit(docs, labels)).where("score < 0.5").collect()}
     good = {r.doc_id for r in quality.quality(docs, quality.fit(docs, labels)).where("score >= 0.3").collect()} & civil
     kept = docs.where(docs.doc_id.isin(sorted(good)))
-    first = {r.component_id for r in simhash.near_duplicates(kept).collect()}
+    first = set(plain_components(sorted((r.doc_id, r.text or "") for r in kept.collect())).values())
     rows = corpus_pipeline.run(spark, llm_dir).collect()
     assert {r.doc_id for r in rows} == first and len(first) < len(good)
     held = [(r.doc_id, r.text or "") for r in kept.collect() if r.doc_id in first]
