@@ -1,12 +1,14 @@
 """License scans: ordered signature rules over whole texts, in DataFrame functions only.
 
 A text that holds none of the rules' keywords is done after one look. In the others each rule whose keyword occurs is tried, every
-place it matches is a detection, and a detection inside a longer one (or over the same span as one of smaller
-priority number) is suppressed. The base phrases are counted on their own and are never suppressed.
+place it matches is a detection, and a detection inside a longer one (or over the same span as one of a rule
+further up) is suppressed. The base phrases are counted on their own and are never suppressed.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,8 @@ from evenground.llm.license_rules import Rule, gate, rules
 #: Phrases that are always looked for, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 BASE_WEIGHT = 0.6
+#: Items that are joined one by one before a new block begins.
+BLOCK = 128
 #: A word character of the text as it is, either case of A-Z.
 _CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -32,25 +36,58 @@ def _phrase(words: str) -> str:
     return f"(?<!{_CHAR}){_GAP.join(words.split())}(?!{_CHAR})"
 
 
-def _literal(rule: Rule, number: int) -> Column:
-    fields = {"label": F.lit(rule.label), "keyword": F.lit(rule.keyword), "regex": F.lit(rule.regex), "rank": F.lit(rule.priority * 10_000 + number), "weight": F.lit(rule.weight)}
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+def _table(known: list[Rule]) -> Column:
+    """The rules by keyword, as one constant: array of (keyword, rules)."""
+    groups: dict[str, list[dict]] = {}
+    for r in known:
+        groups.setdefault(r.keyword, []).append({"label": r.label, "regex": r.regex, "rank": r.priority, "weight": r.weight})
+    text = json.dumps([{"keyword": k, "rules": x} for k, x in groups.items()])
+    return F.from_json(F.lit(text), "array<struct<keyword:string,rules:array<struct<label:string,regex:string,rank:int,weight:double>>>>")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _before(values: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For each item of an int array what all items before it join to (``zero`` for the first).
+
+    Worked out block by block, so that no array grows item by item over the whole length.
+    """
+
+    def scanned(items: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(items, state, step, lambda s: s["out"])
+
+    def by_block(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(zero), join))
+        return F.flatten(F.zip_with(blocks, scanned(totals, F.lit(zero)), scanned))
+
+    places = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(BLOCK))
+    return _let(F.transform(places, lambda at: F.slice(values, at, BLOCK)), by_block)
+
+
+_SPANS = "array<struct<start:int,minus_end:int,rank:int,label:string,weight:double>>"
 
 
 def _spans(text: Column, rule: Column) -> Column:
-    """start, end, rank, label, weight of every match of one rule, in code points."""
-    found = F.regexp_extract_all(text, rule["regex"], F.lit(0))
-    parts = F.transform(F.split(text, rule["regex"]), lambda p: F.length(p))
-    whole = F.transform(found, lambda m: F.length(m))
-    steps = F.zip_with(F.slice(parts, 1, F.size(whole)), whole, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    """start, minus_end, rank, label, weight of every match of one rule, in code points."""
 
-    def step(state: Column, s: Column) -> Column:
-        span = F.struct((state["at"] + s["p"]).alias("start"), (state["at"] + s["p"] + s["m"]).alias("end"))
-        return F.struct(span["end"].alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def placed(found: Column) -> Column:
+        parts = F.transform(F.split(text, rule["regex"]), lambda p: F.length(p))
+        steps = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), (p + F.length(m)).alias("pm")))
+        return _let(steps, numbered)
 
-    spans = F.aggregate(steps, start, step, lambda state: state["spans"])
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["weight"].alias("weight")))
+    def numbered(steps: Column) -> Column:
+        def span(s: Column, before: Column) -> Column:
+            return F.struct((before + s["p"]).alias("start"), (-(before + s["pm"])).alias("minus_end"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["weight"].alias("weight"))
+
+        return F.zip_with(steps, _before(F.transform(steps, lambda s: s["pm"]), lambda a, b: a + b, 0), span)
+
+    found = F.regexp_extract_all(text, rule["regex"], F.lit(0))
+    return _let(found, lambda x: F.when(F.size(x) > 0, placed(x)).otherwise(F.array().cast(_SPANS)))
 
 
 def detections(text: Column, known: list[Rule] | None = None) -> Column:
@@ -58,17 +95,15 @@ def detections(text: Column, known: list[Rule] | None = None) -> Column:
 
     Sorted by start, longer first, then rank, a detection lies inside another one if an earlier one ends no sooner.
     """
-    table = F.array(*[_literal(r, i) for i, r in enumerate(rules() if known is None else known)])
-    tried = F.filter(table, lambda r: F.contains(text, r["keyword"]))
-    sorted_ = F.array_sort(F.flatten(F.transform(F.filter(tried, lambda r: F.rlike(text, r["regex"])), lambda r: _spans(text, r))))
-    kept_type = "array<struct<start:int,minus_end:int,rank:int,label:string,weight:double>>"
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast(kept_type).alias("kept"))
+    tried = F.flatten(F.transform(F.filter(_table(rules() if known is None else known), lambda g: F.contains(text, g["keyword"])), lambda g: g["rules"]))
+    all_ = F.array_sort(F.flatten(F.transform(tried, lambda r: _spans(text, r))))
 
-    def step(state: Column, x: Column) -> Column:
-        fresh = -x["minus_end"] > state["end"]
-        return F.struct(F.greatest(state["end"], -x["minus_end"]).alias("end"), F.when(fresh, F.concat(state["kept"], F.array(x))).otherwise(state["kept"]).alias("kept"))
+    def kept(spans: Column) -> Column:
+        furthest = _before(F.transform(spans, lambda x: -x["minus_end"]), lambda a, b: F.greatest(a, b), -1)
+        pairs = F.zip_with(spans, furthest, lambda x, before: F.when(-x["minus_end"] > before, x))
+        return F.array_compact(pairs)
 
-    return F.aggregate(sorted_, start, step, lambda state: state["kept"])
+    return _let(all_, kept)
 
 
 def may_match(low: Column) -> Column:
