@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding on the tokenizers library, from the model's protobuf.
 
 The model file's wire format is read here; its normalizer settings, pieces, scores and byte pieces are rebuilt as a tokenizers
-model (unigram: scores; BPE: merges ranked by the scores of what they make). Text is normalized, blanks become the metaspace
+model (unigram: scores; BPE: merges ranked by the scores of what they make) and decoder. Text is normalized, blanks become the metaspace
 mark, and where no piece holds a mark after another character, runs of a mark and what follows are encoded on
-their own and remembered. Every run that is encoded for the first time in a worker is also encoded by the sentencepiece library; where
-the two differ, its ids are used and the texts that hold the run are flagged.
+their own and remembered. Whatever is encoded for the first time in a worker, run or whole text, by whichever model, is also
+encoded by the sentencepiece library; where the two differ, the texts that hold it are flagged, and the reference ids stand.
 """
 
 from __future__ import annotations
@@ -126,13 +126,16 @@ class PieceEncoder:
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.model.pieces if kind == NORMAL)
         self.known: dict[str, bytes] = {}
         self.differing: set[str] = set()
-        self.shown = [self._bytes(*p) for p in self.model.pieces]
+        self.tokenizer.decoder = self._decoder()
 
-    @staticmethod
-    def _bytes(piece: str, _: float, kind: int) -> bytes:
-        if kind == BYTE:
-            return bytes([int(piece[3:5], 16)])
-        return {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}.get(kind, piece.replace(MARK, " ").encode())
+    def _decoder(self):
+        """Unknown and control pieces, marks and byte pieces as text, in one; the dummy prefix's blank goes."""
+        from tokenizers import decoders
+
+        told = {UNKNOWN: " ⁇ ", CONTROL: ""}
+        steps = [decoders.Replace(piece, told[kind]) for piece, _, kind in self.model.pieces if kind in told]
+        steps += [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+        return decoders.Sequence(steps + [decoders.Strip(" ", 1, 0)] * self.model.dummy_prefix)
 
     def marked(self, text: str) -> str:
         """Normalized, blanks as marks, with the dummy prefix; empty stays empty."""
@@ -155,7 +158,7 @@ class PieceEncoder:
         """Little-endian unsigned 32-bit ids of every text, and whether both libraries agree on all of its runs."""
         split = [self.runs(t) for t in texts]
         wanted = set().union(*split)
-        if len(self.known) + len(wanted) > REMEMBERED:
+        if len(self.known) + len(wanted) > REMEMBERED or not self.splits:  # whole texts aren't remembered
             self.known.clear()
             self.differing.clear()
         self._learn(sorted(wanted - self.known.keys()))
@@ -169,15 +172,14 @@ class PieceEncoder:
         # the judge adds the dummy prefix itself; a run that is nothing but that prefix is no text of its own
         bare = [(r[1:] if self.model.dummy_prefix and r[0] == MARK else r).replace(MARK, " ") for r in runs]
         for run, text, ids, judged in zip(runs, bare, own, self.judge.encode(bare, num_threads=THREADS), strict=True):
-            if text and ids != judged and self.splits:
+            if text and ids != judged:
                 self.differing.add(run)
                 ids = judged
             self.known[run] = np.array(ids, "<u4").tobytes()
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids; the dummy prefix's blank goes, and bytes that form no character become U+FFFD."""
-        shown = b"".join(map(self.shown.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return (shown[1:] if self.model.dummy_prefix and shown[:1] == b" " else shown).decode("utf-8", "replace")
+    def decode(self, texts: list[bytes]) -> list[str]:
+        """The texts of little-endian unsigned 32-bit ids; bytes that form no character become U+FFFD."""
+        return self.tokenizer.decode_batch([np.frombuffer(ids, "<u4").tolist() for ids in texts], skip_special_tokens=False)
 
 
 @lru_cache(maxsize=2)
@@ -200,9 +202,8 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
         coder = piece_encoder(model_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = []
-            for text, (ids, agreed) in zip(texts, coder.encode(texts), strict=True):
-                decoded = coder.decode(ids)
+            rows, coded = [], coder.encode(texts)
+            for text, (ids, agreed), decoded in zip(texts, coded, coder.decode([ids for ids, _ in coded]), strict=True):
                 rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text, agreed, ids))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), *[pa.binary()] * with_ids]
             columns = zip(*rows, strict=True) if rows else [()] * 6
