@@ -22,8 +22,8 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "thead tr td th", "tfoot": "tbody tr td th"}
-#: Elements nested deeper hang side by side under the last one, each with the keys of the deeper ones that hold it.
-MAX_DEPTH = 80
+#: As in browsers' parsers: elements nested deeper hang side by side under the last one, each with the keys of the deeper ones that hold it.
+MAX_DEPTH = 512
 _BARRIERS = frozenset("ul ol dl table article section div main body html menu select".split())
 
 
@@ -56,8 +56,11 @@ def _key(name: str, attributes: str) -> str:
     for attribute, value in _ATTRIBUTE.findall(attributes):
         attribute, value = attribute.lower(), html.unescape(value.strip("\"'"))
         if attribute in ("class", "id", "role", "itemprop"):
-            found = re.findall(r"[a-z]+(?:[-_][a-z]+)*", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
-            words += ["@" + w for w in found] if attribute == "id" else found
+            value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()
+            if attribute == "id":  # numbers in ids, and long ones in classes, count the page, not the template
+                words += ["@" + w for w in re.findall(r"[a-z]+(?:[-_][a-z]+)*", value)]
+            else:
+                words += re.findall(r"[a-z]+[0-9]*(?:[-_]+[a-z0-9]+)*", re.sub(r"[-_]?[0-9]{3,}", "", value))
         elif attribute == "hidden" or attribute == "aria-hidden" and value == "true" or attribute == "style" and re.search(r"display\s*:\s*none", value):
             words.append("hidden")
     return ".".join([name, *dict.fromkeys(words)])

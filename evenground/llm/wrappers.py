@@ -1,16 +1,17 @@
 """Main text of pages by wrappers: union-free regular expressions inferred from the pages of one host.
 
-A page's token stream (its tree of block elements and text) is first folded: neighbours of one key become a repeated group. Streams
-are then aligned one after another with the host's wrapper so far: equal elements match and their contents are aligned
-in turn, a text that differs becomes a slot, an element that only one side has becomes optional, and longer or shorter runs meet in the
-repeated group. Lists that stay unlike beyond ``MAX_ITEMS`` fold into one repeated group of optional elements.
+A page's token stream (its tree of block elements and text) is aligned with the host's wrapper so far. Streams of equal keys match item
+by item and their contents are aligned in turn; a text that differs becomes a slot. Where keys differ, items that hold one text on both
+sides are matched first. Between those, neighbours of one key, and repeats of a few, fold into repeated groups, and what only one side
+has becomes optional; a stretch whose keys recur out of order becomes one repeated group of optional elements.
 
-The finished wrapper says what its slots are: inside the article (or main) element, or, if the page has none, all over the
+A page is then aligned with its host's finished wrapper, which tells of every text block whether it is a slot, or the template's own
+text, or nothing that it knows. The main text is what stands inside the article (or main) element, or, if the page has none, all over the
 page; not inside menus, headers, footers, sidebars, notices, adverts, forms or comments (by names that inside an article
-mostly need the wrapper's evidence: constant over the pages, or mostly links); and outside article and main not constant
-over different pages of the host, unless a page has nothing else. A page's text blocks in those slots are its main text.
+mostly need the wrapper's evidence: constant over the pages, or mostly links); and outside article and main not the template's
+text, unless a page has nothing else.
 
-Every page of the host takes part. Wrappers are folded per task, merged per host and salt, then per host, so a host of any
+Every page of the host takes part. Wrappers are folded per task, then merged in rounds of MERGED tasks each, so a host of any
 size is inferred in parallel; alignment order may differ, the slots' kind doesn't.
 """
 
@@ -18,11 +19,14 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +34,10 @@ from evenground.llm.common import whole_texts
 from evenground.llm.html_blocks import Block, Element, parse_page
 from evenground.runtime import materialize
 
-MAX_ITEMS = 60
-#: Hosts whose wrappers a task holds before it passes them on.
-HELD_HOSTS = 2000
-SALTS = 32
+#: Hosts whose wrappers a task holds before it passes them on, and wrappers of one host that one task merges.
+HELD_HOSTS, MERGED = 2000, 64
+#: Different keys of one group that a wrapper remembers; pages judge elements of any other key by themselves.
+MAX_KEYS = 1000
 #: Different pages (by their texts) that must agree on a text before it counts as the template's.
 CONSTANT_PAGES = 3
 #: In place of the region 0: text of the template outside article and main.
@@ -54,10 +58,18 @@ _SURE_WORDS = re.compile(
     r"(?:slot|box|unit|banner|container|wrapper|block|notice|bar|signup|form|buttons?|links?|icons?|list|section|area|thread|body|hidden)|sponsored|sidebar|navbar|breadcrumbs?|cookies?|gdpr|newsletter|"
     r"share|sharing|commentlist|comments|disqus|respond|pagination|outbrain|taboola|hidden|visuallyhidden|is[-_]hidden|navigation|contentinfo|complementary)$"
 )
+# Name words that inside an article count against what the wrapper finds constant or mostly links.
+_DOUBTED_WORDS = re.compile(
+    r"(?:^|[-_])(?:advert\w*|adbox|sponsor\w*|promo\w*|banners?|sidebars?|nav|menus?|masthead|footer|cookies?|consent|notices?|alerts?|popups?|newsletter|subscri\w*|signup|login|"
+    r"shar(?:e|es|ing)|social|related|recommend\w*|comments?|comment\w*|widgets?|toolbar|pager|outbrain|taboola)(?:$|[-_])"
+)
 _HEADING_OR_SECTION = frozenset("h1 h2 h3 h4 h5 h6 section article main".split())
 _HEADER_WORDS = re.compile(r"(?:^|[-_])(?:header|head|topbar|top)(?:$|[-_])")
 _ARTICLE_WORDS = re.compile(r"^(?:articlebody|article-body|post-body|post-content|entry-content|article-content|articlecontent|postcontent|main-content|story-body|article)$")
 
+# trees of MAX_DEPTH elements are walked by functions that call themselves, a few calls an element
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+
 # A wrapper is JSON: a list of items. Element: ["e", key, repeated, optional, items]; group: ["g", "", repeated, optional, items]; text:
 # ["t", crc of the constant text or None, 0, optional, [crcs of up to CONSTANT_PAGES different pages' texts, code points, code points in
 # links, crc of the constant texts of a run or None]].
@@ -74,7 +86,7 @@ def _stream(element: Element, page: int) -> list:
             items.append(["t", _crc(child.text), 0, 0, [[page], len(child.text), child.linked, _crc(child.text)]])
         else:
             items.append(["e", child.key, 0, 0, _stream(child, page)])
-    return _fold(items)
+    return items
 
 
 def _same(a: list, b: list) -> bool:
@@ -119,57 +131,136 @@ def _fold(items: list) -> list:
                 out.append(folded[at])
                 at += 1
         folded = out
-    return folded if len(folded) <= MAX_ITEMS else [_generalized(folded)]
+    return folded
+
+
+def _members(items: list) -> Iterator[list]:
+    """The items, groups opened."""
+    for item in items:
+        if item[0] == "g":
+            yield from _members(item[4])
+        else:
+            yield item
+
+
+def _kind(item: list) -> tuple[str, str]:
+    return (item[0], "" if item[0] == "t" else item[1])
 
 
 def _generalized(items: list) -> list:
     """One repeated group of the different items, each optional."""
     seen: dict = {}
-    for item in items:
-        for part in item[4] if item[0] == "g" else [item]:
-            key = ("t",) if part[0] == "t" else (part[0], part[1])
-            seen[key] = _join_item(seen[key], part, MIXED) if key in seen else part
-    if len(seen) > MAX_ITEMS:  # too many keys: names alone
-        plain: dict = {}
-        for part in seen.values():
-            part = [*part[:1], part[1].split(".")[0], *part[2:]] if part[0] == "e" else part
-            key = part[:2] if part[0] == "e" else "t"
-            plain[str(key)] = _join_item(plain[str(key)], part, MIXED) if str(key) in plain else part
-        seen = plain
+    for part in _members(items):
+        key = _kind(part)
+        if key in seen:
+            seen[key] = _join_item(seen[key], part, MIXED)
+        elif len(seen) < MAX_KEYS:
+            seen[key] = part
     return ["g", "*", 1, 0, [[*x[:3], 1, x[4]] for x in seen.values()]]
 
 
+def _constants(item: list) -> Iterator[int]:
+    """The texts (crcs) inside an item that are the same on all of its pages."""
+    if item[0] == "t":
+        if item[1] is not None:
+            yield item[1]
+    else:
+        for x in item[4]:
+            yield from _constants(x)
+
+
+def _anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Positions of items of one key that hold a text which no other item of either side holds; rising in both."""
+    places: list[dict] = []
+    for items in (a, b):
+        at: dict = {}
+        for i, item in enumerate(items):
+            for crc in set(_constants(item)):
+                at[_kind(item), crc] = -1 if (_kind(item), crc) in at else i
+        places.append(at)
+    pairs = sorted({(i, places[1][k]) for k, i in places[0].items() if i >= 0 and places[1].get(k, -1) >= 0})
+    # the longest rising chain
+    ends: list[int] = []
+    chain: list[tuple[int, int, int]] = []
+    last: list[int] = []
+    for i, j in pairs:
+        at = bisect_left(ends, j)
+        before = last[at - 1] if at else -1
+        if before >= 0 and chain[before][0] == i:
+            continue
+        chain.append((i, j, before))
+        ends[at : at + 1], last[at : at + 1] = [j], [len(chain) - 1]
+    found, at = [], last[-1] if last else -1
+    while at >= 0:
+        found.append(chain[at][:2])
+        at = chain[at][2]
+    return found[::-1]
+
+
+def _stretches(a: list, b: list) -> Iterator[tuple[list, list, tuple[int, int] | None]]:
+    """The stretches of both sides up to each anchor, with the anchor; the last without."""
+    at, to = 0, 0
+    for i, j in _anchors(a, b):
+        yield a[at:i], b[to:j], (i, j)
+        at, to = i + 1, j + 1
+    yield a[at:], b[to:], None
+
+
 def align(a: list, b: list, inside: int = ACROSS) -> list:
     """The wrapper of everything that ``a`` or ``b`` matches."""
-    if [x[:2] if x[0] != "t" else "t" for x in a] == [x[:2] if x[0] != "t" else "t" for x in b]:
+    if list(map(_kind, a)) == list(map(_kind, b)):
         return [_join_item(x, y, inside) for x, y in zip(a, b, strict=True)]
-    if [x for x in (a, b) if x[:1] and x[0][:2] == ["g", "*"]]:
-        return [_generalized([*a, *b])]
-    # longest common subsequence of keys
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _same(a[i], b[j]) else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    out = []
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and _same(a[i], b[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(_join_item(a[i], b[j], inside))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:3], 1, a[i][4]])
-            i += 1
+    out: list = []
+    for left, right, anchor in _stretches(a, b):
+        out += _merged(left, right, inside)
+        if anchor:
+            out.append(_join_item(a[anchor[0]], b[anchor[1]], inside))
+    return out
+
+
+def _merged(a: list, b: list, inside: int) -> list:
+    """align for stretches without anchors."""
+    if list(map(_kind, a)) == list(map(_kind, b)):
+        return [_join_item(x, y, inside) for x, y in zip(a, b, strict=True)]
+    a, b = _fold(a), _fold(b)
+    if list(map(_kind, a)) == list(map(_kind, b)):
+        return [_join_item(x, y, inside) for x, y in zip(a, b, strict=True)]
+    for side in (a, b):
+        kinds = list(map(_kind, _members(side)))
+        if len(set(kinds)) < len(kinds):
+            return [_generalized([*a, *b])]
+    # keys are unique on either side: those of both, in a rising order, are matched
+    where = {_kind(y): j for j, y in enumerate(b)}
+    ahead, to, out = -1, 0, []
+    for x in a:
+        j = where.get(_kind(x), -1)
+        if j > ahead:
+            out += [[*y[:3], 1, y[4]] for y in b[to:j]]
+            out.append(_join_item(x, b[j], inside))
+            ahead, to = j, j + 1
         else:
-            out.append([*b[j][:3], 1, b[j][4]])
-            j += 1
-    merged: list = []
-    for item in out:  # what became a run by aligning is a repeated group
-        if merged and item[0] != "t" and _same(merged[-1], item):
-            merged[-1] = _join_item(merged[-1], item, MIXED)
-            merged[-1][2] = 1
+            out.append([*x[:3], 1, x[4]])
+    out += [[*y[:3], 1, y[4]] for y in b[to:]]
+    kinds = list(map(_kind, _members(out)))
+    return out if len(set(kinds)) == len(kinds) else [_generalized(out)]
+
+
+def matched(wrapper: list, items: list) -> list[list | None]:
+    """For each item of a page's stream the wrapper's item that it is an instance of, or None."""
+    if list(map(_kind, wrapper)) == list(map(_kind, items)):
+        return list(wrapper)
+    out: list = []
+    for left, right, anchor in _stretches(wrapper, items):
+        if list(map(_kind, left)) == list(map(_kind, right)):
+            out += left
         else:
-            merged.append(item)
-    return merged if len(merged) <= MAX_ITEMS else [_generalized(merged)]
+            known: dict = {}
+            for x in _members(left):
+                known.setdefault(_kind(x), x)
+            out += [known.get(_kind(x)) for x in right]
+        if anchor:
+            out.append(wrapper[anchor[0]])
+    return out
 
 
 def _texts(element: Element) -> Iterator[str]:
@@ -200,9 +291,13 @@ def as_regex(items: list) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=1 << 16)
 def _dropped(key: str, in_article: bool) -> int:
     """0: kept; 2: dropped; 1: dropped if the wrapper has evidence (constant text or mostly links), as for most names inside an article."""
-    name, *words = key.split(".")
+    name, *words = re.sub("[0-9]", "", key).split(".")
+    if name in ("h", ""):
+        name = key.split(".")[0]
+    words = [w for w in words if w.strip("@-_")]
     if name in DROPPED_NAMES:
         return 2
     if in_article:
@@ -210,7 +305,7 @@ def _dropped(key: str, in_article: bool) -> int:
             words = [w for w in words if w[0] != "@"]
         if any(map(_SURE_WORDS.search, words)):
             return 2
-        return int(any(_DROPPED_WORDS.search(w.removeprefix("@")) for w in words))
+        return int(any(_DOUBTED_WORDS.search(w.removeprefix("@")) for w in words))
     words = [w.removeprefix("@") for w in words]
     return 2 * (name == "header" or any(_DROPPED_WORDS.search(w) or _HEADER_WORDS.search(w) for w in words))
 
@@ -224,15 +319,6 @@ def _is_main(key: str) -> bool:
     return key.split(".")[0] == "main" or "main" in key.replace("@", "").split(".")[1:]
 
 
-def _walk(items: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], list]]:
-    """(keys down to a text, the text's item) for every text of a wrapper."""
-    for item in items:
-        if item[0] == "t":
-            yield path, item
-        else:
-            yield from _walk(item[4], path if item[0] == "g" else (*path, item[1]))
-
-
 def _sound(path: tuple[str, ...], holders: set[str]) -> tuple[int, int]:
     """What is to be done with texts down the path (as in _dropped), and in which sort of region they are: 2 article, 1 main, 0 neither.
 
@@ -268,68 +354,56 @@ def _holders(paths: Iterable[tuple[str, ...]]) -> set[str]:
     return {k for path in paths for i, k in enumerate(path) if any(_is_article(x) for x in path[i + 1 :])}
 
 
-def slots(wrapper: list) -> dict[str, float]:
-    """For each element path of a wrapper (joined by '>', one more in front) the region of the texts right inside, as in _sound, or -1 if
-    they are to be dropped, -0.5 if the template's own text is main text only of pages that have no other; 'level' is the highest. Each page is asked for the highest that it has itself."""
-    texts = list(_walk(wrapper))
-    holders = _holders(path for path, _ in texts)
-    told: dict[str, int] = {}
-    for path, item in texts:
-        worst, region = _sound(path, holders)
-        value = -1 if worst == 2 or worst == 1 and _named_template(item) else region
-        if value == 0 and _template(item):
-            value = TEMPLATE
-        name = "".join(f">{x}" for x in path)
-        told[name] = max(told.get(name, -1), value)
-    return told | {"level": max(told.values(), default=-1)}
-
+def _placed(wrapper: list, items: list, element: Element, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], Block, list | None]]:
+    """(keys down to it, block, the wrapper's text item or None) for every text block of a page, aligned with the wrapper."""
+    for told, item, child in zip(matched(wrapper, items), items, element.children, strict=True):
+        if isinstance(child, Block):
+            yield path, child, told
+        else:
+            yield from _placed(told[4] if told else [], item[4], child, (*path, child.key))
 
-def extract(page: str, told: dict[str, float]) -> str:
-    """The main text of one page: its blocks in the highest region it has, one per line. Paths that the wrapper generalized are judged by themselves."""
-    blocks: list[tuple[tuple[str, ...], Block]] = []
 
-    def visit(element: Element, path: tuple[str, ...]) -> None:
-        for child in element.children:
-            if isinstance(child, Element):
-                visit(child, (*path, child.key))
-            else:
-                blocks.append((path, child))
+def extract(page: str, wrapper: list) -> str:
+    """The main text of one page: its blocks in the highest region that it has itself, one per line.
 
-    visit(parse_page(page), ())
+    Regions: 2 article, 1 main, 0 neither, -0.5 the template's text outside both, -1 dropped. What the wrapper doesn't know is judged by names
+    and links alone.
+    """
+    root = parse_page(page)
+    blocks = list(_placed(wrapper, _stream(root, 0), root))
+    holders = _holders({path for path, *_ in blocks})
     found: list[float] = []
-    holders: set[str] | None = None
-    for path, block in blocks:
-        value = told.get("".join(f">{x}" for x in path))
-        if value is None:
-            holders = _holders(path for path, _ in blocks) if holders is None else holders
-            worst, region = _sound(path, holders)
-            unlinked = 2 * block.linked <= len(block.text)
-            value = region if worst == 0 or worst == 1 and unlinked else -1
+    for path, block, told in blocks:
+        worst, value = _sound(path, holders)
+        doubtful = 2 * block.linked > len(block.text) if told is None else _named_template(told)
+        if worst == 2 or worst == 1 and doubtful:
+            value = -1
+        elif value == 0 and told is not None and _template(told):
+            value = TEMPLATE
         found.append(value)
     level = max(found, default=-1)
-    return "\n".join(block.text for (_, block), value in zip(blocks, found, strict=True) if value == level > -1)
+    return "\n".join(block.text for (_, block, _), value in zip(blocks, found, strict=True) if value == level > -1)
 
 
 @lru_cache(maxsize=512)
-def _told(text: str) -> dict[str, float]:
+def _read(text: str) -> list:
     return json.loads(text)
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """``host``, ``wrapper`` (JSON), ``expression``, ``slots`` (JSON) for every host of ``pages`` (host, html)."""
+    """``host``, ``wrapper`` (JSON), ``expression`` for every host of ``pages`` (host, html), stored."""
     whole_texts(pages.sparkSession)
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
-        sent = 0
+        task = TaskContext.get().partitionId()
 
         def out() -> pd.DataFrame:
-            rows = pd.DataFrame({"host": list(held), "salt": sent, "wrapper": [json.dumps(w) for w in held.values()]})
+            rows = pd.DataFrame({"host": list(held), "part": task, "wrapper": [json.dumps(w) for w in held.values()]})
             held.clear()
             return rows
 
         for part in parts:
-            sent = sent or zlib.crc32(str(part["html"].iloc[0])[:200].encode()) % SALTS if len(part) else sent
             for host, page in zip(part["host"], part["html"], strict=True):
                 one = page_wrapper(page or "")
                 held[host] = align(held[host], one) if host in held else one
@@ -339,20 +413,22 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             yield out()
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        merged = None
-        for text in sorted(group["wrapper"]):
-            one = json.loads(text)
-            merged = one if merged is None else align(merged, one)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(merged)]})
+        merged = reduce(align, map(json.loads, sorted(group["wrapper"])))
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "part": [group["part"].iloc[0]], "wrapper": [json.dumps(merged)]})
 
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        done = merge(group)
-        wrapper = json.loads(done["wrapper"].iloc[0])
-        return done.assign(expression=as_regex(wrapper), slots=json.dumps(slots(wrapper)))
+    def shown(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([as_regex(json.loads(x)) for x in part], dtype=object)
 
-    folded = pages.select("host", "html").mapInPandas(fold, "host string, salt int, wrapper string")
-    salted = folded.groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string")
-    return salted.groupBy("host").applyInPandas(finish, "host string, wrapper string, expression string, slots string")
+    shown.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    schema = "host string, part int, wrapper string"
+    found = materialize(pages.select("host", "html").mapInPandas(fold, schema))
+    last = found.agg(F.max("part")).first()[0] or 0
+    while True:
+        last //= MERGED
+        found = found.withColumn("part", (F.col("part") / MERGED).cast("int")).groupBy("host", "part").applyInPandas(merge, schema)
+        if not last:
+            return materialize(found.select("host", "wrapper", F.pandas_udf(shown, "string")("wrapper").alias("expression")))
 
 
 def host_of(url: str = "url") -> Column:
@@ -367,14 +443,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     whole_texts(pages.sparkSession)
     rows = pages.select("page_id", "url", host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    known = materialize(infer_wrappers(rows).select("host", "slots"))
-    size = known.agg(F.sum(F.length("slots") + F.length("host"))).first()[0] or 0
+    known = infer_wrappers(rows).select("host", "wrapper")
+    size = known.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
     joined = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
 
     def texts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for page, told in parts:
-            yield pd.Series([extract(p, _told(t)) for p, t in zip(page, told, strict=True)], dtype=object)
+        for page, wrapper in parts:
+            yield pd.Series([extract(p, _read(w)) for p, w in zip(page, wrapper, strict=True)], dtype=object)
 
     texts.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    found = joined.select("page_id", "url", F.pandas_udf(texts, "string")("html", "slots").alias("text"))
+    found = joined.select("page_id", "url", F.pandas_udf(texts, "string")("html", "wrapper").alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -6,8 +6,8 @@ from evenground.llm import wrappers
 
 
 def texts(*pages):
-    told = wrappers.slots(reduce(wrappers.align, map(wrappers.page_wrapper, pages)))
-    return [wrappers.extract(p, told) for p in pages]
+    wrapper = reduce(wrappers.align, map(wrappers.page_wrapper, pages))
+    return [wrappers.extract(p, wrapper) for p in pages]
 
 
 def test_hidden_inline_elements_end_where_their_end_tag_stands():
@@ -59,3 +59,44 @@ def test_copies_of_a_page_are_one_page_and_lists_of_links_stay():
     assert texts(*same) == [""] * 6  # header and menu by name
     alike = [f"<div><p>constant</p></div><nav>{i}</nav>" for i in range(6)]
     assert texts(*alike) == ["constant"] * 6  # nothing else on them varies but the menu
+
+
+def test_layout_names_inside_an_article_are_kept():
+    body = '<h1>Title {0}</h1><div class="side-by-side"><p>left {0}</p><p>right</p></div><p class="warning">mind the gap</p><div class="col2 search-results"><p>found {0}</p></div>'
+    pages = [f"<article>{body.format(i)}</article>" for i in range(12)]
+    assert texts(*pages) == ["\n".join(["Title {0}", "left {0}", "right", "mind the gap", "found {0}"]).format(i) for i in range(12)]
+
+
+def test_tables_without_an_article_lose_menu_and_advert():
+    page = "<html><body><table><tr><td class=c1>Home News</td><td class=c2><p>story {0}</p>{1}</td><td class=c3>Buy now Offer</td></tr></table></body></html>"
+    pages = [page.format(i, f"<p>more of {i}</p>" * (i % 3)) for i in range(12)]
+    assert texts(*pages) == ["\n".join([f"story {i}", *[f"more of {i}"] * (i % 3)]) for i in range(12)]
+
+
+def test_like_elements_are_told_apart_by_the_template_s_text():
+    page = "<body><div>Home News About</div>{1}<div>story number {0}</div><div>All contents ours</div></body>"
+    pages = [page.format(i, f"<div>extra {i}</div>" * (i % 2)) for i in range(10)]
+    assert texts(*pages) == ["\n".join([*[f"extra {i}"] * (i % 2), f"story number {i}"]) for i in range(10)]
+
+
+def test_long_irregular_lists_and_many_keys_lose_nothing():
+    import random
+
+    draw = random.Random(5)
+    pages, want = [], []
+    for i in range(6):
+        blocks = [(draw.choice(["p", "h2", "blockquote", f"p class=k{draw.randrange(90)}"]), f"text {i} {j}") for j in range(300)]
+        pages.append("<nav>menu</nav><article>" + "".join(f"<{t}>{x}</{t.split()[0]}>" for t, x in blocks) + "</article>")
+        want.append("\n".join(x for _, x in blocks))
+    assert texts(*pages) == want
+    deep = "<div>" * 400 + "at the bottom" + "</div>" * 400 + "<p>after</p>"
+    assert texts(f"<article>{deep}</article>", f"<article>{deep.replace('after', 'behind')}</article>") == ["at the bottom\nafter", "at the bottom\nbehind"]
+
+
+def test_merging_in_rounds_gives_the_same_texts(spark, monkeypatch):
+    made = unlike_pages()
+    rows = [(i, "http://one.example/", page) for i, (page, _) in enumerate(made)]
+    monkeypatch.setattr(wrappers, "MERGED", 2)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7, "page_id")
+    got = wrappers.main_text(frame).collect()
+    assert {r.page_id: r.text for r in got} == {i: text for i, (_, text) in enumerate(made)}

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evenground.llm import licenses, merkle, packing, pieces, queries
+from evenground.llm import license_rules, licenses, merkle, packing, pieces, queries
 from evenground.llm.common import tokenizer_path
 from evenground.llm.license_rules import rules
 from evenground.runtime import read_table
@@ -26,15 +27,22 @@ def sha(text):
 def plain_print(text):
     paragraphs = [[sha(x) for x in re.findall(r"(?:\S{1,64}\s*){1,8}|\s+", p, re.A)] for p in text.split("\n")]
     nodes = [sha("".join(p)) for p in paragraphs]
+    shown = ["".join(x[:8] for x in p) for p in paragraphs]
     sections = [sha("".join(nodes[i : i + 8])) for i in range(0, len(nodes), 8)]
-    return f"{sha(''.join(sections))}:{'.'.join(s[:8] for s in sections)}:{'/'.join(''.join(x[:8] for x in p) for p in paragraphs)}"
+    return f"{sha(''.join(sections))}:" + "|".join(f"{s[:8]}={'/'.join(shown[8 * i : 8 * i + 8])}" for i, s in enumerate(sections))
 
 
 def plain_likeness(a, b):
     if a == b:
         return 1.0
-    a, b = ({x for p in f.split(":")[2].split("/") for x in re.findall("[0-9a-f]{8}", p)} for f in (a, b))
-    return len(a & b) / max(1, len(a | b))
+    one, two = (set(f.split(":")[1].split("|")) for f in (a, b))
+    leaves = lambda x: re.findall(".{8}", x)
+    opened = lambda sections: {p for s in sections for p in s.split("=")[1].split("/")}
+    shared = sum(len(leaves(p)) for s in one & two for p in s.split("=")[1].split("/"))
+    one, two = opened(one - two), opened(two - one)
+    shared += sum(len(leaves(p)) for p in one & two)
+    one, two = ({x for p in side for x in leaves(p)} for side in (one - two, two - one))
+    return (shared + len(one & two)) / max(1, shared + len(one | two))
 
 
 def test_fingerprint_query_equals_brute_force(spark, llm_dir):
@@ -62,11 +70,25 @@ def test_fingerprint_odd_rows(spark, odd_docs, no_docs):
 
 def test_many_ids_of_one_kind_keep_their_order(spark):
     docs = spark.range(5000).selectExpr("(id * 7919) % 5003 as doc_id", "cast(id as string) as text")
-    told = {r.doc_id: (r.text, r.next_text) for r in merkle.with_next(docs, ["text"]).collect()}
+    _in_order(docs)
+
+
+def _in_order(docs, size=None):
+    rows = merkle.with_next(docs, ["text"], size).collect()
+    told = {r.doc_id: (r.text, r.next_text) for r in rows}
     ids = sorted(told)
+    assert len(rows) == docs.count() == len(ids)
     assert all(told[i][1] == told[j][0] for i, j in zip(ids[1:], ids, strict=False)) and told[ids[0]][1] == told[ids[-1]][0]
 
 
+def test_ids_far_apart_and_close_together_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 50)
+    monkeypatch.setattr(merkle, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(merkle, "BROADCAST_ROWS", 3)
+    crowded = "case when id % 3 = 0 then id when id % 3 = 1 then 4000000000000000000 + id * 1000003 else -9000000000000000000 + id end"
+    _in_order(spark.range(1500).selectExpr(f"{crowded} as doc_id", "cast(id as string) as text"), F.octet_length("text"))
+
+
 def test_edits_are_located(spark):
     lines = [f"paragraph {i} with words" for i in range(40)]
     edited = [*lines]
@@ -97,6 +119,56 @@ def test_license_query_equals_brute_force(spark, llm_dir):
         assert r.labels == ",".join(sorted(set(r.labels.split(","))))
 
 
+def plain_detections(text, known):
+    """(label, weight) of the detections that no other one contains, rules tried one by one without a gate."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    found = []
+    for r in known:
+        for m in r.finditer(low):
+            found.append((m.start(), -m.end(), known.index(r)))
+    found.sort()
+    kept, end = [], -1
+    for start, minus_end, rank in found:
+        if -minus_end > end:
+            kept.append(rank)
+            end = -minus_end
+    return kept
+
+
+def test_every_rule_without_the_gate_by_brute_force(spark, llm_dir):
+    told = rules()
+    compiled = [re.compile(r.regex.replace(r"\x{10FFFF}", "\U0010ffff")) for r in told]
+    examples = []
+    for r in license_rules._RULES.strip().splitlines():
+        words = r.split(": ", 1)[1]
+        for _ in range(6):  # inner groups first: the first way through each group, optional ones kept
+            words = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(?:\?|\{1,2\})?", r"\1", words)
+        examples.append(re.sub(r"\[([^\]])[^\]]*\](?:\{\d\})?", r"\1", words).replace(" ?", " ").replace("?", ""))
+    examples = [x.replace("copyright 0", "copyright 2020").replace("c 0", "c 2020") for x in examples]
+    hit = [bool(c.search(x)) for c, x in zip(compiled, examples, strict=True)]
+    assert all(hit), [x for x, h in zip(examples, hit, strict=True) if not h]
+    docs = texts(spark, llm_dir)[:60] + [(10**6 + i, x.upper()) for i, x in enumerate(examples)] + [(2 * 10**6 + i, f"So: {x}, and\n{y}.") for i, (x, y) in enumerate(zip(examples, examples[1:], strict=False))]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, text in docs:
+        kept = plain_detections(text, compiled)
+        base = plain_base(text)[4]
+        labels = {told[k].label for k in kept} | set(filter(None, base.split(",")))
+        score = max([told[k].weight for k in kept] + [licenses.BASE_WEIGHT if base else 0.0])
+        assert (rows[i].labels, rows[i].score) == (",".join(sorted(labels)), pytest.approx(score)), text
+
+
+def test_many_matches_in_one_text(spark):
+    for n in (300, 16_000):
+        docs = spark.createDataFrame([(1, "mit license, " * n + "all rights reserved worldwide")], "doc_id long, text string")
+        began = time.perf_counter()
+        row = licenses.scan(docs).first()
+        took = time.perf_counter() - began
+        assert (row.labels, row.n_base) == ("copyright,mit,reserved", 1)
+        print(n, "matches", round(took, 1), "s")
+    found = spark.range(1).select(licenses.detections(F.repeat(F.lit("mit license, "), 1000)).alias("d")).first().d
+    assert [(x.start, -x.minus_end) for x in found] == [(13 * i, 13 * i + 11) for i in range(1000)]
+
+
 def test_license_rules_and_suppression(spark, odd_docs, no_docs):
     assert len(rules()) > 200
     cases = {
@@ -180,7 +252,7 @@ def test_pieces_equal_the_library(spark, llm_dir):
         ids = judge.encode(text)
         assert (rows[i].n_tokens, rows[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         assert rows[i].decoded_sha256 == sha(judge.decode(ids))
-    print("parity", sum(r.parity for r in rows.values()), "of", len(rows))
+    assert all(r.parity for r in rows.values())
 
 
 def test_pieces_odd_rows(spark, odd_docs, no_docs):
@@ -190,7 +262,7 @@ def test_pieces_odd_rows(spark, odd_docs, no_docs):
     assert pieces.encode_documents(no_docs, path).count() == 0
 
 
-def unigram_model():
+def unigram_model(*more):
     """A small unigram model file, written field by field."""
 
     def field(number, value):
@@ -199,7 +271,7 @@ def unigram_model():
     def piece(text, score, kind):
         return field(1, field(1, text.encode()) + bytes([2 << 3 | 5]) + np.array(score, "<f4").tobytes() + bytes([3 << 3, kind]))
 
-    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁ab", -1.0, 1), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("ab", -4.5, 1), ("c", -5.0, 1)]
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁ab", -1.0, 1), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("ab", -4.5, 1), ("c", -5.0, 1), *more]
     return b"".join(piece(*r) for r in rows) + field(2, bytes([3 << 3, 1])) + field(3, bytes([3 << 3, 1, 4 << 3, 1]))
 
 
@@ -212,4 +284,24 @@ def test_a_unigram_model_is_rebuilt(spark, tmp_path):
     judge = sentencepiece.SentencePieceProcessor(model_file=path)
     cases = ["ab abc", "cab", "", "  a  b ", "zab", "c"]
     got = pieces.encode_documents(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), path, with_ids=True)
-    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got.collect()} == {i: judge.encode(t) for i, t in enumerate(cases)}
+    rows = {r.doc_id: r for r in got.collect()}
+    assert {i: np.frombuffer(r.ids, "<u4").tolist() for i, r in rows.items()} == {i: judge.encode(t) for i, t in enumerate(cases)}
+    assert all(r.parity for r in rows.values())
+    assert {i: r.decoded_sha256 for i, r in rows.items()} == {i: sha(judge.decode(judge.encode(t))) for i, t in enumerate(cases)}
+
+
+def test_a_model_with_marks_inside_pieces_is_compared_whole(tmp_path):
+    import sentencepiece
+
+    whole = unigram_model(("ab▁c", -0.5, 1))
+    path = str(tmp_path / "inside.model")
+    with open(path, "wb") as file:
+        file.write(whole)
+    coder, judge = pieces.PieceEncoder(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    cases = ["ab c ab", "ab  ab c", "zz ab c", ""]
+    got = coder.encode(cases)
+    assert not coder.splits and [np.frombuffer(ids, "<u4").tolist() for ids, _ in got] == [judge.encode(t) for t in cases]
+    assert [agreed for _, agreed in got] == [True] * 4
+    coder.tokenizer = pieces.PieceModel.read(unigram_model(("ab▁c", -9.5, 1))).tokenizer()
+    assert [agreed for _, agreed in coder.encode(cases)] == [False, False, False, True]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in coder.encode(cases)] == [judge.encode(t) for t in cases]
