@@ -93,7 +93,7 @@ def join_correspondence(df: DataFrame, correspondence: DataFrame) -> DataFrame:
     return natural_join(df, units, keys)
 
 
-def harmonize(data: dict[str, DataFrame], correspondence: DataFrame, meta: list[Variable] | None = None, base_geo: str | None = None) -> DataFrame:
+def harmonize(data: dict[str, DataFrame], correspondence: DataFrame, meta: list[Variable] | None = None, base_geo: str | None = None, na_rm: bool = True) -> DataFrame:
     """All datasets' variables on the common tiling: per dataset the ids' units, aggregation by rule and labels, then joined.
 
     Only units that every dataset has are kept; the geometry is ``base_geo``'s (default: the first dataset's); variables of type Extra
@@ -104,7 +104,7 @@ def harmonize(data: dict[str, DataFrame], correspondence: DataFrame, meta: list[
     for ds, df in data.items():
         d = df if ds == base_geo else df.drop(GEOMETRY)
         units = join_correspondence(d, correspondence)
-        parts[ds] = rename_with_meta(aggregate_with_meta(units, meta or [], [COMMON_ID, COMMON_UID]), meta or [], ds)
+        parts[ds] = rename_with_meta(aggregate_with_meta(units, meta or [], [COMMON_ID, COMMON_UID], na_rm=na_rm), meta or [], ds)
     out = parts.pop(base_geo)
     for part in parts.values():
         if clash := [c for c in part.columns if c in out.columns and c not in (COMMON_ID, COMMON_UID)]:

@@ -14,7 +14,7 @@ from evenground.operators.correspondence import COMMON_ID, METHOD, close_corresp
 from evenground.operators.geometry.crs import transform
 from evenground.operators.geometry.erosion import kept_tolerance, meets_eroded
 from evenground.operators.geometry.overlap import boxes, candidate_pairs, overlaps, with_geometries
-from evenground.operators.geometry.shapes import area
+from evenground.operators.geometry.shapes import area, planar_area, sound
 from evenground.plans.meta import AVERAGE, MEDIAN, Variable, cut_meta
 from evenground.runtime import materialize
 
@@ -31,7 +31,7 @@ def estimate(target: DataFrame, source: DataFrame, meta: list[Variable], target_
     """``target`` with area-weighted estimates of the source columns that ``meta`` names (by variable or label).
 
     A source polygon gives each target the share of its counts that its overlapping area has; averages and medians are scaled by
-    their parent before and after. A target that no source polygon meets gets NULL; one that is only touched gets 0 of it, and NULL if
+    their parent before and after; shares are taken in the plane of the coordinates. A target that no source polygon meets gets NULL; one that is only touched gets 0 of it, and NULL if
     the value is missing and ``na_rm`` is off.
     """
     cut = cut_meta(source.columns, meta)
@@ -41,7 +41,7 @@ def estimate(target: DataFrame, source: DataFrame, meta: list[Variable], target_
         raise ValueError(f"parents that the source lacks: {', '.join(missing)}")
     columns = list(dict.fromkeys(column for column, _ in cut))
     shared = overlaps(target.select(F.col(target_id).alias("_t"), "geometry"), source.select(F.col(source_id).alias("_s"), "geometry"), "_t", "_s", cell)
-    values = pre_scale(source, scaled).select(F.col(source_id).alias("_s"), area(F.col("geometry")).alias("_area"), *columns)
+    values = pre_scale(source, scaled).select(F.col(source_id).alias("_s"), planar_area(F.col("geometry")).alias("_area"), *columns)
     parts = shared.join(values, "_s")
     part: Column = divide(F.col("overlap"), F.col("_area"))
     sums = parts.groupBy("_t").agg(*[total(known(parts, c).cast("double") * part, na_rm).alias(c) for c in columns])
@@ -58,7 +58,7 @@ def tag_largest_overlap(source: DataFrame, target: DataFrame, source_id: str, ta
     shared = overlaps(source.select(F.col(source_id).alias("_s"), "geometry"), target.select(F.col(target_id).alias("_t"), "geometry"), "_s", "_t", cell)
     best = shared.groupBy("_s").agg(F.min(F.struct((-F.col("overlap")).alias("o"), F.col("_t").alias("t"))).alias("best"))
     joined = source.join(best, source[source_id] == best["_s"])
-    fraction = divide(-F.col("best.o"), area(F.col("geometry")))
+    fraction = divide(-F.col("best.o"), planar_area(F.col("geometry")))
     return joined.select(*[source[c] for c in source.columns], fraction.alias("overlap_fraction"), F.col("best.t").alias(target_id))
 
 
@@ -104,12 +104,13 @@ def geometric_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, tolerance:
 
 
 def estimate_correspondence(
-    data: dict[str, DataFrame], ids: dict[str, str], method: str = "estimate", tolerance: float = 50.0, srids: tuple[int, int] | None = None, cell: float | None = None
+    data: dict[str, DataFrame], ids: dict[str, str], method: str = "estimate", tolerance: float = 50.0, srids: tuple[int, int] | None = None, cell: float | None = None,
+    robust: bool = False,
 ) -> DataFrame:
     """The closed correspondence of consecutive datasets from their geometries; ``ids``: each dataset's id column.
 
     Method "identifier" links ids that all datasets have to themselves and estimates the rest only. ``srids``: (of the data, to compute
-    in).
+    in). ``robust``: geometries are made sound first (rings closed and turned, those of no area left out).
     """
     if method not in ("estimate", "identifier"):
         raise ValueError("method is estimate or identifier")
@@ -117,6 +118,8 @@ def estimate_correspondence(
         raise ValueError("every dataset needs an id column of its own name")
     if srids:
         data = {ds: df.withColumn("geometry", transform(F.col("geometry"), *srids)) for ds, df in data.items()}
+    if robust:
+        data = {ds: df.withColumn("geometry", sound(F.col("geometry"))) for ds, df in data.items()}
     common = identifier_correspondence(data, ids) if method == "identifier" else None
     steps = []
     for one, two in pairwise(data):
@@ -140,7 +143,7 @@ def translate_units(one: DataFrame, two: DataFrame, unit_id: str, sums: list[str
     first = only[0].select(F.col(unit_id).alias("_one"), "geometry")
     second = only[1].select(F.col(unit_id).alias("_two"), "geometry")
     shared = overlaps(second, first, "_two", "_one", cell)
-    ratio = shared.join(second.select("_two", area(F.col("geometry")).alias("_area")), "_two").where(divide(F.col("overlap"), F.col("_area")) > least)
+    ratio = shared.join(second.select("_two", planar_area(F.col("geometry")).alias("_area")), "_two").where(divide(F.col("overlap"), F.col("_area")) > least)
     if not ratio.groupBy("_one").count().where("count <= 1").isEmpty():
         raise ValueError("a unit has a single partner")
     names = ratio.groupBy("_two").agg(F.array_join(F.array_sort(F.collect_set(F.col("_one").cast("string"))), ",").alias("_id"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenground.operators.geometry.shapes import TYPE, edges
+from evenground.operators.geometry.shapes import edges, from_flat
 
 
 def chain_rings(x1: list[float], y1: list[float], x2: list[float], y2: list[float]) -> list[list[tuple[float, float]]]:
@@ -92,8 +92,5 @@ def dissolve(df: DataFrame, by: list[str]) -> DataFrame:
     outlines = net.withColumn("_k", F.when(F.col("_k.x1").isNotNull(), F.flatten(F.array_repeat(drawn, F.abs("_way").cast("int")))))
     grouped = outlines.groupBy(*by).agg(F.max("_srid").alias("_srid"), F.flatten(F.collect_list("_k")).alias("_k"))
     rings = F.pandas_udf(_chained, "array<array<array<double>>>")(F.col("_k"))
-    corner = lambda ring: lambda i: F.struct(F.get(ring, 2 * i).alias("x"), F.get(ring, 2 * i + 1).alias("y"))
-    points = lambda ring: F.transform(F.sequence(F.lit(0), (F.size(ring) / 2 - 1).cast("int")), corner(ring))
-    polygons = F.transform("_rings", lambda p: F.transform(p, points))
-    geometry = F.when(F.size("_k") > 0, F.struct(F.col("_srid").alias("srid"), polygons.alias("polygons")))
-    return grouped.withColumn("_rings", rings).select(*by, geometry.cast(TYPE).alias("geometry"))
+    geometry = F.when(F.size("_k") > 0, from_flat(F.col("_rings"), F.col("_srid")))
+    return grouped.withColumn("_rings", rings).select(*by, geometry.alias("geometry"))

@@ -7,6 +7,8 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: EPSG number of longitude and latitude, and the radius in metres that areas on the sphere are taken with.
+LONLAT, EARTH_RADIUS = 4326, 6371010.0
 TYPE = "struct<srid:int,polygons:array<array<array<struct<x:double,y:double>>>>>"
 
 
@@ -59,11 +61,70 @@ def rings(geometry: Column) -> Column:
     return F.flatten(geometry["polygons"])
 
 
-def area(geometry: Column) -> Column:
-    """Planar area of a normalized geometry: holes count negative."""
+def planar_area(geometry: Column) -> Column:
+    """Area of a normalized geometry in the plane of its coordinates: holes count negative."""
     return F.aggregate(rings(geometry), F.lit(0.0), lambda total, ring: total + _ring_area(ring))
 
 
+def _excess(ring: Column) -> Column:
+    """Area between a ring's great-circle edges and the equator on the unit sphere, positive for clockwise rings; points are degrees."""
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    steps = F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    def part(s: Column) -> Column:
+        turn = F.tan(F.radians(s["q"]["x"] - s["p"]["x"]) / 2)
+        one, two = (F.tan(F.radians(s[k]["y"]) / 2) for k in "pq")
+        return 2 * F.atan2(turn * (one + two), 1 + one * two)
+
+    return F.aggregate(steps, F.lit(0.0), lambda total, s: total + part(s))
+
+
+def area(geometry: Column) -> Column:
+    """Area of a normalized geometry, holes negative: in the plane, or for longitude and latitude (EPSG 4326) in square metres on the sphere."""
+    sphere = F.aggregate(rings(geometry), F.lit(0.0), lambda total, ring: total + _excess(ring)) * EARTH_RADIUS**2
+    return F.when(geometry["srid"] == LONLAT, sphere).otherwise(planar_area(geometry))
+
+
+def from_flat(polygons: Column, srid: Column) -> Column:
+    """A geometry of polygons whose rings are x, y, x, y and so on; NULL stays NULL."""
+    corner = lambda ring: lambda i: F.struct(F.get(ring, 2 * i).alias("x"), F.get(ring, 2 * i + 1).alias("y"))
+    places = lambda ring: F.slice(F.sequence(F.lit(0), F.greatest((F.size(ring) / 2).cast("int"), F.lit(1)) - 1), 1, (F.size(ring) / 2).cast("int"))
+    made = F.transform(polygons, lambda p: F.transform(p, lambda ring: F.transform(places(ring), corner(ring))))
+    return F.when(polygons.isNotNull(), F.struct(srid.cast("int").alias("srid"), made.alias("polygons"))).cast(TYPE)
+
+
+def sound(geometry: Column) -> Column:
+    """A geometry normalized, without rings of less than three corners or of no area; polygons without an outline go with their holes."""
+    good = lambda r: (F.size(r) >= 4) & (_ring_area(r) != 0)
+    kept = F.filter(normalized(geometry)["polygons"], lambda p: F.coalesce(good(F.get(p, F.lit(0))), F.lit(False)))
+    return F.when(geometry.isNotNull(), F.struct(geometry["srid"].alias("srid"), F.transform(kept, lambda p: F.filter(p, good)).alias("polygons")))
+
+
+def clip(geometry: Column, mask: Column) -> Column:
+    """What of a geometry lies in a convex mask (one ring, such as a box or a circle), ring by ring and edge by edge of the mask.
+
+    A part that the mask cuts in several pieces stays one ring that runs along the mask's border between them; its area is right.
+    """
+    turn = lambda e, p: (e["x2"] - e["x1"]) * (p["y"] - e["y1"]) - (e["y2"] - e["y1"]) * (p["x"] - e["x1"])
+
+    def cut(ring: Column, e: Column) -> Column:
+        n = F.greatest(F.size(ring) - 1, F.lit(0))
+        steps = F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+        def kept(s: Column) -> Column:
+            a, b = turn(e, s["p"]), turn(e, s["q"])
+            share = a / F.when(a != b, a - b)
+            met = F.struct((s["p"]["x"] + share * (s["q"]["x"] - s["p"]["x"])).alias("x"), (s["p"]["y"] + share * (s["q"]["y"] - s["p"]["y"])).alias("y"))
+            own = F.array(s["q"])
+            return F.when((a <= 0) & (b <= 0), own).when(a <= 0, F.array(met)).when(b <= 0, F.array(met, s["q"])).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+        return _closed(F.flatten(F.transform(steps, kept)))
+
+    ring = lambda r: F.aggregate(edges(mask), r, cut)
+    polygons = F.filter(F.transform(geometry["polygons"], lambda p: F.filter(F.transform(p, ring), lambda r: F.size(r) >= 4)), lambda p: F.size(p) > 0)
+    return F.when(geometry.isNotNull() & mask.isNotNull(), F.struct(geometry["srid"].alias("srid"), polygons.alias("polygons")))
+
+
 def _extent(geometry: Column, axis: str) -> Column:
     return F.transform(F.flatten(rings(geometry)), lambda p: p[axis])
 

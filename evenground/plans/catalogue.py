@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evenground.functions.semantics import annual_rate
 from evenground.operators import aggregate, correspondence, estimate, reaggregate, reshape
 from evenground.operators.geometry import crs, dissolve, shapes
-from evenground.plans import meta
+from evenground.plans import catalogue_sources, meta
 from evenground.plans.meta import Variable
 from evenground.runtime import read_table
 from evenground.sources import census_us, elections
@@ -30,11 +30,11 @@ def _query(sql: str) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | catalogue_sources.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | catalogue_sources.SQL
 
 
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:
@@ -488,12 +488,13 @@ def relationship_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT DISTINCT a.o AS GEOID00, b.n AS GEOID20 FROM (SELECT CAST(s_suppkey AS varchar) AS o, CAST(s_nationkey AS varchar) AS m FROM supplier WHERE s_nationkey < 15) a
-    FULL JOIN (SELECT CAST(c_nationkey AS varchar) AS m, CAST(c_custkey AS varchar) AS n FROM customer WHERE c_nationkey > 5) b ON a.m = b.m"""
+    """SELECT DISTINCT a.o AS GEOID00, b.n AS GEOID20 FROM (SELECT CAST(s_suppkey AS varchar) AS o, CASE WHEN s_nationkey < 15 THEN '' ELSE 'old ' END || CAST(s_nationkey AS varchar) AS m FROM supplier) a
+    FULL JOIN (SELECT CASE WHEN c_nationkey > 5 THEN '' ELSE 'new ' END || CAST(c_nationkey AS varchar) AS m, CAST(c_custkey AS varchar) AS n FROM customer) b ON a.m = b.m"""
 )
 def relationship_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = read_table(spark, sf_dir, "supplier").where("s_nationkey < 15").select(_text("s_suppkey").alias("GEOID00"), _text("s_nationkey").alias("GEOID10"))
-    new = read_table(spark, sf_dir, "customer").where("c_nationkey > 5").select(_text("c_nationkey").alias("GEOID10"), _text("c_custkey").alias("GEOID20"))
+    """Nations of some numbers have a key of their own on either side: their rows match nothing."""
+    old = read_table(spark, sf_dir, "supplier").select(_text("s_suppkey").alias("GEOID00"), F.expr("concat(if(s_nationkey < 15, '', 'old '), s_nationkey)").alias("GEOID10"))
+    new = read_table(spark, sf_dir, "customer").select(F.expr("concat(if(c_nationkey > 5, '', 'new '), c_nationkey)").alias("GEOID10"), _text("c_custkey").alias("GEOID20"))
     return census_us.link_tracts(["dec2000", "dec2020"], old, new)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evenground.operators.aggregate import GEOMETRY, harmonize, rename_with_meta
 from evenground.operators.correspondence import close_correspondence
 from evenground.operators.estimate import estimate
+from evenground.operators.geometry.crs import transform
 from evenground.operators.reaggregate import downsample
 from evenground.plans.meta import Variable, add_base_variables
 from evenground.sources.census_ca import census_correspondence
@@ -22,23 +23,26 @@ Transform = Callable[[DataFrame], DataFrame]
 
 def harmonized_census(
     provider: Provider, regions: dict[str, list[str]] | None, meta: list[Variable], level: str = "CT", method: str = "statcan", files: dict[str, DataFrame] | None = None,
-    base_geo: str | None = None, tolerance: float = 200.0, data_transform: Transform | None = None,
+    base_geo: str | None = None, tolerance: float = 50.0, data_transform: Transform | None = None, na_rm: bool = True, srids: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Variables of several Canadian censuses on their common tiling; a single census is returned as it is, labelled.
 
-    ``data_transform`` is applied to every census table.
+    ``data_transform`` is applied to every census table, after ``srids`` (from, to) has moved its geometry; with ``na_rm`` missing values are
+    left out of sums, else they make them missing.
     """
     names = sorted({m.geo_dataset for m in meta})
     full = add_base_variables(meta)
     data = {}
     for ds in names:
         table = provider.census(ds, regions, level).withColumn(f"GeoUID{ds}", F.col("GeoUID"))
+        if srids and GEOMETRY in table.columns:
+            table = table.withColumn(GEOMETRY, transform(F.col(GEOMETRY), *srids))
         data[ds] = table.transform(data_transform) if data_transform else table
     if len(names) == 1:
         return rename_with_meta(data[names[0]], full)
     correspondence = census_correspondence(provider, names, regions, level, method, files, tolerance)
     keyed = {ds: df.drop("GeoUID") for ds, df in data.items()}
-    return harmonize(keyed, correspondence, full, base_geo)
+    return harmonize(keyed, correspondence, full, base_geo, na_rm)
 
 
 def census_estimate(

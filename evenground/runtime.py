@@ -35,12 +35,7 @@ def materialize(df: DataFrame) -> DataFrame:
     Tables lie in a folder of the application, which goes when the driver ends; ``release`` deletes one earlier.
     """
     spark = df.sparkSession
-    home = f"{shared_folder(spark)}/stored-{spark.sparkContext.applicationId}"
-    system, folder = _path(spark, home)
-    if not system.exists(folder):
-        system.mkdirs(folder)
-        system.deleteOnExit(folder)
-    path = f"{home}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path
@@ -56,3 +51,13 @@ def release(*tables: DataFrame) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet; it goes when the driver ends."""
+    home = f"{shared_folder(spark)}/stored-{spark.sparkContext.applicationId}"
+    system, folder = _path(spark, home)
+    if not system.exists(folder):
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+    return f"{home}/{uuid.uuid4().hex}"

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenground.operators.correspondence import METHOD, close_correspondence, combine_correspondences
+from evenground.operators.correspondence import METHOD, chain_correspondences, close_correspondence, combine_correspondences
 from evenground.operators.estimate import estimate_correspondence
 from evenground.plans.meta import geo_dataset_for_year, normalize_datasets, year_of
-from evenground.sources.provider import Provider
+from evenground.sources.provider import Provider, cache_folder
 
 YEARS, LEVELS = ("2006", "2011", "2016", "2021"), ("DA", "DB")
 # Rows of the 2021 files that record a boundary shift without people.
@@ -23,17 +21,18 @@ def relationship_schema(year: str, level: str) -> str:
     return ", ".join(f"{n} string" for n in names)
 
 
-def relationship_file(spark: SparkSession, path: str, year: str, level: str, cache: str | None = None) -> DataFrame:
+def relationship_file(spark: SparkSession, path: str, year: str, level: str, cache: str | bool | None = None) -> DataFrame:
     """New id, old id and flag of one relationship file (CSV, all text): different rows without repeated headers and shifted rows.
 
-    ``cache`` (a folder): the clean rows are kept there as CSV and read back if present.
+    ``cache`` (a folder, or True for ``cache_folder``): the clean rows are kept there as CSV and read back if present.
     """
     if level not in LEVELS or str(year) not in YEARS:
         raise ValueError("level is DA or DB, year 2006, 2011, 2016 or 2021")
     year = str(year)
     new, old = f"{level}UID{year}", f"{level}UID{int(year) - 5}"
     rows = spark.read.schema(relationship_schema(year, level)).csv(path).select(new, old, "flag").distinct().where(~F.col(new).contains(new))
-    if cache is not None:
+    if cache:
+        cache = cache_folder(spark) if cache is True else cache
         kept = f"{cache}/correspondence_{year}_{level}"
         rows.write.mode("ignore").option("header", True).csv(kept)
         rows = spark.read.schema(f"{new} string, {old} string, flag string").option("header", True).csv(kept)
@@ -91,5 +90,4 @@ def census_correspondence(
 
 def relationship_chain(files: list[DataFrame]) -> DataFrame:
     """Files joined from the newest on by the ids that they share, rows of the first all kept, and closed (the older way)."""
-    joined = reduce(lambda a, b: a.join(b, [c for c in a.columns if c in b.columns], "left"), [f.drop("flag") for f in files])
-    return close_correspondence(joined.distinct())
+    return chain_correspondences([f.drop("flag") for f in files])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenground.operators.geometry.overlap import overlaps
+from evenground.runtime import shared_folder
 
 
 class Provider(Protocol):
@@ -19,6 +21,16 @@ class Provider(Protocol):
         """A lookup table: datasets, vectors or states."""
 
 
+#: Settings that name the cache folder: of the session, of the environment, and an older one of the session.
+CACHE_SETTING, CACHE_VARIABLE, OLDER_SETTING = "spark.evenground.cache", "EVENGROUND_CACHE", "spark.evenground.data"
+
+
+def cache_folder(spark: SparkSession) -> str:
+    """Where source files are kept: the first of the settings that isn't blank, else the shared folder of the session."""
+    told = (spark.conf.get(CACHE_SETTING, None), os.environ.get(CACHE_VARIABLE), spark.conf.get(OLDER_SETTING, None))
+    return next((x for x in told if x), None) or shared_folder(spark)
+
+
 def in_regions(regions: dict[str, list[str]] | None, level: str) -> Column:
     """Rows of the regions (level -> ids): by their own id, or by the id of the level above that they carry."""
     out = F.lit(False) if regions else F.lit(True)
@@ -45,5 +57,6 @@ class FolderProvider:
 def intersecting_regions(provider: Provider, dataset: str, level: str, geometry: DataFrame) -> list[str]:
     """The ids of the units at a level that meet a target geometry (few: they become a filter)."""
     units = provider.census(dataset, None, level).select(F.col("GeoUID").alias("_u"), "geometry")
-    target = geometry.select(F.monotonically_increasing_id().alias("_t"), "geometry")
+    # a target's id only has to tell its rows apart: equal geometries may share one
+    target = geometry.select(F.sha2(F.to_json("geometry"), 256).alias("_t"), "geometry").dropDuplicates(["_t"])
     return sorted(r["_u"] for r in overlaps(units, target, "_u", "_t").select("_u").distinct().collect())
