@@ -22,9 +22,8 @@ from evenground.runtime import materialize
 
 BUCKET_BITS = 20
 SIZES = (4, 5, 6)
-#: Log-likelihood ratio (G squared, one degree of freedom) that a bucket's class counts must reach; and buckets at most.
+#: Log-likelihood ratio (G squared, one degree of freedom) that a bucket's class counts must reach.
 EVIDENCE = 15.0
-KEPT = 30_000
 ROUNDS = 200
 RIDGE = 1e-3
 #: Code points that are hashed at once; longer texts go slice by slice.
@@ -87,8 +86,7 @@ def choose_buckets(held: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndar
     for cells in (held, n - held):
         expected = cells.sum(axis=1, keepdims=True) * (n / n.sum())
         evidence += 2 * (cells * np.log(np.maximum(cells, 1) / np.maximum(expected, 1e-9))).sum(axis=1)
-    kept = np.argsort(-evidence, kind="stable")[:KEPT]
-    kept = np.sort(kept[evidence[kept] >= EVIDENCE])
+    kept = np.flatnonzero(evidence >= EVIDENCE)
     ratio = np.log((held[kept, 1] + 0.5) / (n[1] + 1)) - np.log((held[kept, 0] + 0.5) / (n[0] + 1))
     return kept, ratio, evidence[kept]
 
@@ -142,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> NaiveBayesL
     counted = rows.mapInPandas(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     totals = np.array([n[0], n[1]], float)
     few = counted.where(_evidence(F.col("n0"), F.col("n1"), *totals) >= EVIDENCE)
-    found = np.array(few.orderBy(F.desc(_evidence(F.col("n0"), F.col("n1"), *totals)), "bucket").limit(KEPT).collect(), np.int64).reshape(-1, 3)
+    found = np.array(few.collect(), np.int64).reshape(-1, 3)  # buckets are 2^BUCKET_BITS at most
     found = found[np.argsort(found[:, 0])]
     kept, ratio, _ = choose_buckets(found[:, 1:], totals)
     chosen = found[kept, 0].astype(np.uint32)
