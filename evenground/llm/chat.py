@@ -132,8 +132,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
 _READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+def in_order(segments: DataFrame) -> DataFrame:
+    """Stored segments, read again, in the order that format_chats gives them."""
+    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+
+
 def read_back(segments: DataFrame) -> DataFrame:
-    """One row per conversation, read from the rendered segments of format_chats by the parser.
+    """One row per conversation, read from the rendered segments of format_chats by the parser. Segments out of order are an error.
 
     ``n_turns``; ``turns_sha256`` (of role, newline, text, newline per turn); ``loss_chars`` and ``loss_sha256`` of all text under the
     loss mask, unescaped; ``formatted_chars``.
@@ -141,10 +146,13 @@ def read_back(segments: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns, loss, n, chars, total = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        key, expected, done = None, 0, True
         for batch in batches:
             rows: list[tuple] = []
-            for conv, _, text, start, low, high, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = 0
+            for conv, number, text, start, low, high, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != expected or not done and conv != key or start != total:
+                    raise ValueError("segments are out of order: in_order arranges them")
+                key, expected, done, at = conv, 0 if last else expected + 1, last, 0
                 while at < len(text):
                     role, content, _, _, at = parse(text, at)
                     turns.update(f"{role}\n{content}\n".encode())

@@ -30,6 +30,16 @@ def test_query_equals_brute_force(spark, llm_dir):
     assert want and sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == want
 
 
+def test_many_blocks_and_groups_in_one_plan(spark):
+    draw = np.random.default_rng(11)
+    rows = [(i, [int(x) for x in draw.normal(0, 1 + i % 9, 24) * 50]) for i in range(900)]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    want = plain_top(rows, [x for x in rows if x[0] % 20 == 0], 5)
+    for block, group in ((7, 100), (1000, 40), (5, 100_000)):
+        got = topk.top_k(frame.where("vec_id % 20 = 0"), frame, 5, block, group)
+        assert sorted(map(tuple, got.collect())) == want
+
+
 @pytest.mark.parametrize("block", [1, 3, 4096])
 def test_ties_repeats_and_bad_vectors(spark, block):
     draw = np.random.default_rng(5)
@@ -67,6 +77,24 @@ def test_chat_query_equals_brute_force(spark, llm_dir):
     assert all(r.formatted_chars >= r.loss_chars for r in got.values())
 
 
+def test_stored_segments_and_whole_conversations_read_back(spark, tmp_path):
+    rows = [(c, t, ("user", "assistant", "tool")[t % 3], f"turn {t} [INST] of </s> {c}") for c in range(20) for t in range(1 + c % 7)]
+    segments = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = {r.conv_id: tuple(r) for r in chat.read_back(segments).collect()}
+    segments.orderBy("rendered").write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    assert {r.conv_id: tuple(r) for r in chat.read_back(chat.in_order(stored)).collect()} == want
+    with pytest.raises(Exception, match="out of order"):
+        chat.read_back(stored.orderBy("rendered")).collect()
+    for c in range(20):  # all segments as one text
+        text = "".join(r.rendered for r in sorted(stored.where(f"conv_id = {c}").collect(), key=lambda r: r.segment)) if c % 6 == 0 else ""
+        at, got = 0, []
+        while at < len(text):
+            role, content, _, _, at = chat.parse(text, at)
+            got.append((role, content))
+        assert not text or got == [r[2:] for r in rows if r[0] == c]
+
+
 MARKS = ["[INST]", "[/INST]", "<s>", "</s>", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]", "[\\INST]", "<\\/s>", "[\\\\/INST]", "\\", "[", "<", "text", " ", "\n", "s>", "INST]"]
 
 
