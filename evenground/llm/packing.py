@@ -3,7 +3,8 @@
 The histogram (a count per length, at most ``capacity`` rows however large the corpus) comes to the driver. There the configuration
 linear program, one variable per way to fill a sequence, is solved by multiplicative weights: lengths have prices, a knapsack
 dynamic programme prices the best configuration around every length, lengths that are covered ahead of schedule get
-cheaper. The amounts are rounded down; what is left is filled sequence by sequence with the fullest subset of the remaining
+cheaper. If that isn't at the bound of the total length, the program is solved once more, configuration by configuration. The amounts are
+rounded down; what is left is filled sequence by sequence with the fullest subset of the remaining
 lengths. Pieces of one length are interchangeable: each gets its rank among them (counted in salted groups, so a frequent
 length is no bottleneck), and the plan maps (length, rank) to a sequence and an offset.
 """
@@ -27,6 +28,8 @@ CAPACITY = 2048
 SEPARATOR = 0
 ROUNDS = 24
 STEP = 4.0
+#: Steps of the second solution, and how much of its log weight a length loses that a step covers once.
+WEIGHT_STEPS, WEIGHT_LOSS = 400, 0.3
 #: Pieces of one length that are ranked in one salted group, about.
 GROUP_ROWS = 200_000
 
@@ -93,31 +96,17 @@ def _fill(left: dict[int, int], room: int) -> list[int]:
     return taken
 
 
-def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations (lengths of one sequence, descending) and how many sequences each fills; every piece is placed once."""
-    left = {int(k): int(n) for k, n in counts.items() if n > 0}
-    if any(k < 1 or k > capacity for k in left):
-        raise ValueError("a length is outside 1 to the capacity")
-    plan: dict[tuple[int, ...], int] = defaultdict(int)
-    if capacity in left:
-        plan[(capacity,)] = left.pop(capacity)
-    lengths = np.array(sorted(left), np.int64)
-    demand = np.array([left[int(x)] for x in lengths], float)
+def _around_lengths(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> dict[tuple[int, ...], float]:
+    """Amounts of configurations (positions of lengths): each round fills up around every length that is behind schedule."""
     amounts: dict[tuple[int, ...], float] = defaultdict(float)
     covered, log_price = np.zeros(len(lengths)), np.log(lengths / capacity)
-    for now in range(1, rounds + 1 if len(lengths) else 0):
-        value, choice = _knapsack(lengths, np.exp(log_price), capacity)
+    for now in range(1, rounds + 1):
+        _, choice = _knapsack(lengths, np.exp(log_price), capacity)
         for own in range(len(lengths) - 1, -1, -1):
             short = demand[own] * now / rounds - covered[own]
             if short <= 0:
                 continue
-            took, size = [own], capacity - int(lengths[own])
-            while size > 0:
-                if choice[size] < 0:
-                    size -= 1
-                    continue
-                took.append(int(choice[size]))
-                size -= int(lengths[choice[size]])
+            took = [own, *_taken(lengths, choice, capacity - int(lengths[own]))]
             pattern, times = np.unique(took, return_counts=True)
             # no more than the demand allows of any of its lengths
             share = min(short / times[pattern == own][0], float((demand[pattern] / times).min()))
@@ -125,9 +114,44 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, rounds: int =
             covered[pattern] += share * times
         ahead = covered / demand - now / rounds
         log_price = np.log(lengths / capacity) - STEP / rounds * np.clip(ahead, -1, 1)
+    return amounts
+
+
+def _by_weights(lengths: np.ndarray, demand: np.ndarray, capacity: int, steps: int = WEIGHT_STEPS) -> dict[tuple[int, ...], float]:
+    """The same, one configuration a step: the best one at the weights, as much of it as the scarcest of its lengths; what it covers
+    loses weight. Scaled so that the least covered length is covered just once."""
+    amounts: dict[tuple[int, ...], float] = defaultdict(float)
+    covered, log_weight = np.zeros(len(lengths)), np.log(lengths / capacity) - np.log(demand)
+    for _ in range(steps):
+        _, choice = _knapsack(lengths, np.exp(log_weight - log_weight.max()), capacity)
+        took = _taken(lengths, choice, capacity)
+        pattern, times = np.unique(took, return_counts=True)
+        amount = float((demand[pattern] / times).min())
+        amounts[tuple(sorted(took, reverse=True))] += amount
+        covered[pattern] += amount * times
+        log_weight[pattern] -= WEIGHT_LOSS * amount * times / demand[pattern]
+    least = float((covered / demand).min())
+    return {k: v / least for k, v in amounts.items()} if least > 0 else {}
+
+
+def _taken(lengths: np.ndarray, choice: np.ndarray, size: int) -> list[int]:
+    """Positions of the lengths that the knapsack of ``size`` takes."""
+    took: list[int] = []
+    while size > 0:
+        if choice[size] < 0:
+            size -= 1
+            continue
+        took.append(int(choice[size]))
+        size -= int(lengths[choice[size]])
+    return took
+
+
+def _rounded(amounts: dict[tuple[int, ...], float], lengths: np.ndarray, left: dict[int, int], capacity: int) -> dict[tuple[int, ...], int]:
+    """Whole numbers of sequences of each configuration (of lengths); what rounding leaves is filled sequence by sequence."""
+    left, plan = dict(left), defaultdict(int)
     for took, amount in sorted(amounts.items(), key=lambda x: (-sum(int(lengths[i]) for i in x[0]), x[0])):
         pattern, times = np.unique(took, return_counts=True)
-        uses = min(int(amount), *(left[int(lengths[i])] // int(n) for i, n in zip(pattern, times, strict=True)))
+        uses = min(int(amount + 1e-9), *(left[int(lengths[i])] // int(n) for i, n in zip(pattern, times, strict=True)))
         if uses > 0:
             plan[tuple(int(lengths[i]) for i in took)] += uses
             for i, n in zip(pattern, times, strict=True):
@@ -145,7 +169,28 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, rounds: int =
             left[k] -= uses * n
             if not left[k]:
                 del left[k]
-    return sorted(plan.items(), reverse=True)
+    return plan
+
+
+def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations (lengths of one sequence, descending) and how many sequences each fills; every piece is placed once.
+
+    If the first solution isn't at the bound of the total length, the program is solved again, a step a configuration, and the better plan
+    is taken.
+    """
+    left = {int(k): int(n) for k, n in counts.items() if n > 0}
+    if any(k < 1 or k > capacity for k in left):
+        raise ValueError("a length is outside 1 to the capacity")
+    whole = {(capacity,): left.pop(capacity)} if capacity in left else {}
+    lengths = np.array(sorted(left), np.int64)
+    demand = np.array([left[int(x)] for x in lengths], float)
+    plan: dict[tuple[int, ...], int] = {}
+    if left:
+        plan = _rounded(_around_lengths(lengths, demand, capacity, rounds), lengths, left, capacity)
+        if sum(plan.values()) > -(-sum(k * n for k, n in left.items()) // capacity):
+            other = _rounded(_by_weights(lengths, demand, capacity), lengths, left, capacity)
+            plan = min(plan, other, key=lambda p: sum(p.values()))
+    return sorted([*plan.items(), *whole.items()], reverse=True)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

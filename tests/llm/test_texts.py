@@ -242,6 +242,24 @@ def test_plan_places_every_length_once():
     assert sum(n for _, n in packing.plan_packing({6: 9, 4: 9}, 10)) == 9
 
 
+def best_fit(counts, capacity):
+    rooms = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fit = [r for r in rooms if r >= length]
+            if fit:
+                rooms.remove(min(fit))
+            rooms.append((min(fit) if fit else capacity) - length)
+    return len(rooms)
+
+
+def test_the_linear_program_packs_what_best_fit_cannot():
+    for counts, capacity, least in (({44: 300, 33: 300, 23: 300}, 100, 300), ({51: 200, 27: 200, 26: 200, 23: 200, 25: 200}, 100, 317), ({6: 90, 4: 90, 3: 120, 7: 120}, 10, 210)):
+        used = sum(n for _, n in packing.plan_packing(counts, capacity))
+        assert least <= used <= least * 1.01 + 1, (used, least)
+    assert best_fit({44: 300, 33: 300, 23: 300}, 100) == 325
+
+
 def test_pieces_equal_the_library(spark, llm_dir):
     import sentencepiece
 
