@@ -23,7 +23,8 @@ def close_correspondence(table: DataFrame, null_ids: str = "separate") -> DataFr
 
     common_id is the unit's smallest seed, a row's seed being its first id; common_uid lists the unit's ids,
     ``<column>:<sorted ids>`` per column. Rows and their number are kept. ``null_ids``: "separate" seeds a row without a first id by
-    its first known one as ``<column number>_<id>`` and lets missing ids link nothing; "literal" gives all rows without a first id
+    its first known one as ``<column number>_<id>`` and lets missing ids link nothing: a row without any id is of no unit, its common_id is
+    NULL; "literal" gives all rows without a first id
     the seed "1_NA" and links the rows that miss an id in the same column.
     """
     if null_ids not in ("separate", "literal"):
@@ -50,7 +51,8 @@ def close_correspondence(table: DataFrame, null_ids: str = "separate") -> DataFr
         seeded = seeded.withColumn(COMMON_ID, F.col("_seed"))
     parts = [F.concat(F.lit(f"{c}:"), F.array_join(F.array_sort(F.collect_set(F.col(f"`{c}`").cast("string"))), ",")) for c in ids]
     named = seeded.groupBy(COMMON_ID).agg(F.concat_ws(" ", *parts).alias(COMMON_UID))
-    return seeded.join(named, COMMON_ID).select(*table.columns, COMMON_ID, COMMON_UID)
+    unit = F.col(COMMON_ID) if null_ids == "literal" else F.when(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in ids]).isNotNull(), F.col(COMMON_ID))
+    return seeded.join(named, COMMON_ID).select(*table.columns, unit.alias(COMMON_ID), COMMON_UID)
 
 
 def combine_correspondences(tables: list[DataFrame]) -> DataFrame:

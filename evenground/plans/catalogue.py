@@ -215,7 +215,7 @@ def components_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GAPS = {"a": "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_partkey div 3 END", "b": "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_partkey div 2 END"}
 
 
-@_query(_closure(_sql_ids(**_GAPS), "a b", "COALESCE(a, '2_' || b, '0_')") + _closed("a b"))
+@_query(_closure(_sql_ids(**_GAPS), "a b", "COALESCE(a, '2_' || b, '0_')") + _closed("a b").replace("common_id, common_uid FROM", "NULLIF(common_id, '0_') AS common_id, common_uid FROM"))
 def components_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correspondence.close_correspondence(_ids(spark, sf_dir, **_GAPS))
 

@@ -53,6 +53,11 @@ def test_missing_ids(spark):
     assert units(literal) == 2 and literal.where("common_id = '1_NA'").count() == 3
 
 
+def test_rows_without_any_id_are_of_no_unit(spark):
+    got = closed(spark, [(None, None), (None, None), ("A1", None), (None, "B1")]).collect()
+    assert [r.common_id for r in sorted(got, key=str)].count(None) == 2 and {r.common_id for r in got} == {None, "A1", "2_B1"}
+
+
 def test_row_order_does_not_matter(spark):
     rows = [(f"A{i // 3}", f"B{i // 2}") for i in range(40)]
     one = sorted(closed(spark, rows).collect())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evenground.operators import estimate as E
 from evenground.operators.geometry import crs, erosion, shapes
 from evenground.operators.geometry.dissolve import dissolve
-from evenground.operators.geometry.overlap import overlaps
+from evenground.operators.geometry.overlap import boxes, candidate_pairs, overlaps
 from evenground.plans.meta import Variable
 
 
@@ -118,6 +118,76 @@ def test_erosion_of_squares_is_exact(x, y, side, t):
         assert erosion.reaches(a, t, b) == (gap < 0)
 
 
+def rectangle(x0, y0, x1, y1):
+    return edge_array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])
+
+
+@pytest.mark.parametrize("length", [1e3, 1e5, 1e6])
+def test_long_strips_are_decided_exactly(length):
+    a, b = rectangle(0, 0, length, 100), rectangle(0, 50, length, 150)
+    assert erosion.reaches(a, 49.99, b) and erosion.reaches(b, 49.99, a) and erosion.reaches(a, 49.9, b)
+    assert erosion.reaches(a, 50, b) and not erosion.reaches(a, 50.01, b)  # the eroded strip is a line on b's border
+    assert not erosion.reaches(a, 49.99, rectangle(0, 50.02, length, 150))
+
+
+def star(draw, x, y, size):
+    angles = np.sort(draw.uniform(0, 2 * np.pi, draw.integers(3, 13)))
+    radii = size * draw.uniform(0.2, 1, len(angles))
+    return edge_array([(x + r * math.cos(t), y + r * math.sin(t)) for r, t in zip(radii, angles, strict=True)])
+
+
+def deepest(a, b):
+    """The largest distance to a's outline among grid points in both, and the width of a grid cell's diagonal."""
+    low, high = a.reshape(-1, 2).min(axis=0), a.reshape(-1, 2).max(axis=0)
+    x, y = np.meshgrid(*(np.linspace(low[k], high[k], 150) for k in (0, 1)))
+    points = np.stack([x.ravel(), y.ravel()], axis=1)
+    points = points[erosion._inside(points, a) & (erosion._inside(points, b) if b is not None else True)]
+    d = a[:, 2:] - a[:, :2]
+    w = points[:, None, :] - a[None, :, :2]
+    along = np.clip((w * d).sum(axis=2) / (d**2).sum(axis=1), 0, 1)
+    gaps = np.sqrt(((w - along[:, :, None] * d) ** 2).sum(axis=2)).min(axis=1)
+    return gaps.max(initial=0.0), float(np.hypot(*(high - low))) / 149
+
+
+def test_stars_and_holes_against_a_grid():
+    draw = np.random.default_rng(4)
+    for k in range(60):
+        a = star(draw, 0, 0, 10)
+        if k % 4 == 0:
+            a = np.concatenate([a, star(draw, 0, 0, 1.5)])
+        for b in (star(draw, *draw.uniform(-6, 6, 2), draw.uniform(1, 8)), None):
+            most, cell = deepest(a, b)
+            for t in (most * 0.3, most * 0.9, most * 1.2 + cell, most * 2 + cell):
+                if 0 < t <= most or t > most + cell:
+                    assert erosion.reaches(a, t, b) == (t <= most)
+
+
+def test_touching_without_a_tolerance():
+    assert erosion.reaches(rectangle(0, 0, 1, 1), 0.0, rectangle(1, 0, 2, 1)) and not erosion.reaches(rectangle(0, 0, 1, 1), 0.0, rectangle(1.01, 0, 2, 1))
+    assert erosion.reaches(rectangle(0, 0, 9, 9), 0.0, rectangle(4, 4, 5, 5)) and erosion.reaches(rectangle(4, 4, 5, 5), 0.0, rectangle(0, 0, 9, 9))
+
+
+def test_a_huge_polygon_among_small_ones_makes_few_rows(spark):
+    small = [(f"s{i}", [square(i % 50 * 3, i // 50 * 3)]) for i in range(1000)]
+    one = polygons(spark, [*small, ("huge", [square(-1e6, -1e6, 2e6)])], "a")
+    two = polygons(spark, [*small, ("point", [square(7.5, 7.5, 1e-7)])], "b")
+    pairs = candidate_pairs(boxes(one, "a"), boxes(two, "b"), "a", "b").select("a", "b").collect()
+    assert len(pairs) == len(set(pairs)) == 2001
+    assert {p.a for p in pairs if p.b == "point"} == {"huge"}
+    got = {(r.a, r.b): r.overlap for r in overlaps(one, two, "a", "b").collect()}
+    assert got[("huge", "s999")] == pytest.approx(1.0, rel=1e-3)
+
+
+def test_sound_clipped_and_spherical(spark):
+    df = polygons(spark, [("h", HOLED)])
+    mask = shapes.rectangle(F.lit(2.0), F.lit(-1.0), F.lit(9.0), F.lit(9.0))
+    assert df.select(shapes.area(shapes.clip(F.col("geometry"), mask))).first()[0] == pytest.approx(6.0)
+    far = shapes.rectangle(F.lit(50.0), F.lit(50.0), F.lit(51.0), F.lit(51.0))
+    assert df.select(shapes.area(shapes.clip(F.col("geometry"), far))).first()[0] == 0.0
+    octant = shapes.polygon([(F.lit(0.0), F.lit(0.0)), (F.lit(0.0), F.lit(90.0)), (F.lit(90.0), F.lit(0.0))], shapes.LONLAT)
+    assert spark.range(1).select(shapes.area(octant)).first()[0] == pytest.approx(math.pi / 2 * shapes.EARTH_RADIUS**2)
+
+
 def test_tolerance_is_halved_until_something_is_left():
     assert erosion.effective_tolerance(edge_array(square(0, 0, 1)), 3.0) == 0.375
 
