@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenground.llm import chat, licenses, merkle, packing, pieces, quality, simhash, topk, toxicity, wrappers
+from evenground.llm import chat, licenses, merkle, oracles, packing, pieces, quality, simhash, topk, toxicity, wrappers
 from evenground.llm.common import documents, tokenizer_path, whole_texts
 from evenground.runtime import read_table
 
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
