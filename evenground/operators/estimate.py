@@ -16,7 +16,7 @@ from evenground.operators.geometry.erosion import kept_tolerance, meets_eroded
 from evenground.operators.geometry.overlap import boxes, candidate_pairs, overlaps, with_geometries
 from evenground.operators.geometry.shapes import area, planar_area, sound
 from evenground.plans.meta import AVERAGE, MEDIAN, Variable, cut_meta
-from evenground.runtime import materialize
+from evenground.runtime import materialize, release
 
 #: What boxes that are cut by a tolerance may miss each other by, for rounding.
 SLACK = 1e-6
@@ -90,7 +90,7 @@ def check_two_areas(one: DataFrame, two: DataFrame, correspondence: DataFrame) -
 
 
 def geometric_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, tolerance: float = 50.0, cell: float | None = None) -> DataFrame:
-    """``a_id``, ``b_id`` of polygons that meet when either one is eroded by ``tolerance``."""
+    """``a_id``, ``b_id`` of polygons that meet when either one is eroded by ``tolerance``; stored, so that geometries are compared once."""
     if a_id == b_id:
         raise ValueError("the id columns have one name")
     if not a.where(F.col(a_id).isNull()).isEmpty() or not b.where(F.col(b_id).isNull()).isEmpty():
@@ -100,7 +100,9 @@ def geometric_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, tolerance:
     # an eroded polygon lies in its box less the tolerance: neighbours that only touch are ruled out here
     near = [reduce(lambda x, y: x & y, [(F.col(f"{p}.{k}0") + F.col(t) <= F.col(f"{q}.{k}1") + SLACK) & (F.col(f"{q}.{k}0") <= F.col(f"{p}.{k}1") - F.col(t) + SLACK) for k in "xy"]) for p, q, t in (("ba", "bb", "ta"), ("bb", "ba", "tb"))]
     met = with_geometries(pairs.where(near[0] | near[1]).drop("ba", "bb"), a, b, a_id, b_id)
-    return met.where(meets_eroded(F.col("ga"), F.col("gb"), F.col("ta"), F.col("tb"))).select(a_id, b_id)
+    found = materialize(met.where(meets_eroded(F.col("ga"), F.col("gb"), F.col("ta"), F.col("tb"))).select(a_id, b_id))
+    release(*told)
+    return found
 
 
 def estimate_correspondence(
