@@ -160,17 +160,16 @@ def with_next(docs: DataFrame, columns: list[str], size: Column | None = None, l
         dealt = joined.select(*docs.columns, F.explode(homes).alias("_home")).select(*docs.columns, F.col("_home.r").alias("_range"), F.col("_home.p").alias("_part"), F.col("_home.ghost").alias("_ghost"))
     window = Window.partitionBy("_range", "_part").orderBy("_ghost", F.desc("doc_id"))
     # a single range is followed by its own first row
-    first = F.first if ranges == 1 and n <= RANGE_ROWS else None
     around = Window.partitionBy("_range", "_part").orderBy("_ghost", F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    has = F.lead(F.lit(True)).over(window).isNotNull()
 
     def following(c: str) -> Column:
-        value = F.lead(F.struct(c)).over(window)
-        if first is not None:
-            value = F.coalesce(value, first(F.struct(c)).over(around))
-        return F.when(F.col("doc_id").isNotNull(), value[c]).alias(f"next_{c}")
+        value = F.lead(c).over(window)
+        if ranges == 1 and n <= RANGE_ROWS:
+            value = F.when(has, value).otherwise(F.first(c).over(around))
+        return F.when(F.col("doc_id").isNotNull(), value).alias(f"next_{c}")
 
-    named = [f"{c}" for c in docs.columns]
-    return dealt.select(*named, "_ghost", *[following(c) for c in columns]).where("not _ghost").drop("_ghost")
+    return dealt.select(*docs.columns, "_ghost", *[following(c) for c in columns]).where("not _ghost").drop("_ghost")
 
 
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
