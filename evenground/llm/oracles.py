@@ -62,4 +62,18 @@ DOCUMENT_FINGERPRINTS = _stepwise(
     ],
 ).replace("SELECT {} FROM", "SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, CAST(near1 AS DOUBLE) AS near_edited, CAST(near2 AS DOUBLE) AS near_next FROM")
 
-SQL = {"op3_document_fingerprints": DOCUMENT_FINGERPRINTS, "op4_exact_topk": EXACT_TOPK, "op5_chat_format": CHAT_FORMAT}
+_P, _DIFFER = "1 + (CAST({0} + 2 AS HUGEINT) * 1000000000) // ({1} + 2 * v)", "CAST(({0} - {1}) * ({0} - {1}) // ({0} + {1}) AS BIGINT)"
+SOURCE_DIVERGENCE = rf"""WITH d AS (SELECT COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, ROW_NUMBER() OVER () AS r, COALESCE(text, '') AS t FROM documents),
+    w AS (SELECT lang, source, r, UNNEST(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, COUNT(*) AS lang_n FROM w GROUP BY 1, 2 HAVING COUNT(DISTINCT r) >= 10),
+    l AS (SELECT lang, COUNT(*) AS v, CAST(SUM(lang_n) AS BIGINT) AS lang_total FROM k GROUP BY 1),
+    c AS (SELECT lang, source, term, COUNT(*) AS n FROM w JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+    g AS (SELECT lang, source, COALESCE(v, 0) AS v, lang_total, CAST(COALESCE(total, 0) AS BIGINT) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, SUM(n) AS total FROM c GROUP BY 1, 2) USING (lang, source) LEFT JOIN l USING (lang)),
+    p AS MATERIALIZED (SELECT g.lang, g.source, k.term, COALESCE(n, 0) AS n, CAST({_P.format("COALESCE(n, 0)", "total")} AS HUGEINT) AS p, CAST({_P.format("lang_n", "lang_total")} AS HUGEINT) AS q FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    far AS (SELECT a.lang, a.source, b.source AS item, SUM({_DIFFER.format("a.p", "b.p")}) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(COALESCE(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+    found AS (SELECT lang, source, 'term' AS part, term AS item, {_DIFFER.format("p", "q")} AS value FROM p WHERE n > 0 AND p > q)
+    SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pair
+    UNION ALL SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM found QUALIFY rank <= 10"""
+
+SQL = {"op13_source_divergence": SOURCE_DIVERGENCE, "op3_document_fingerprints": DOCUMENT_FINGERPRINTS, "op4_exact_topk": EXACT_TOPK, "op5_chat_format": CHAT_FORMAT}
