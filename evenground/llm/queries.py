@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenground.llm import chat, divergence, licenses, merkle, oracles, packing, pieces, quality, simhash, topk, toxicity, wrappers
+from evenground.llm import chat, divergence, licenses, merkle, oracles, outliers, packing, pieces, quality, simhash, topk, toxicity, whitening, wrappers
 from evenground.llm.common import documents, tokenizer_path, whole_texts
 from evenground.runtime import read_table
 
@@ -58,12 +58,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = whitening.whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return shown.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op2_html_extraction, op3_document_fingerprints, op4_exact_topk, op5_chat_format, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scan, op10_sentencepiece, op13_source_divergence)
+    named = (op1_toxicity, op2_html_extraction, op3_document_fingerprints, op4_exact_topk, op5_chat_format, op6_simhash_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scan, op10_sentencepiece, op11_quality_rules, op12_embedding_whitening, op13_source_divergence)
     return {f.__name__: f for f in named}
 
 
