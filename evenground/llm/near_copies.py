@@ -2,13 +2,14 @@
 
 A text is the set of its shingles' hashes. Two sets of similarity 4/5 or more share a member among the first fifth (and one
 more) of either, in any order that holds for all sets: those members are the join keys, and lengths and positions rule out what
-cannot reach 4/5. The order puts shingles that a sample of texts finds often last, so that a common passage is no key of
-texts that hold much else; the sample decides the order only, never what is found.
+cannot reach 4/5. The order puts shingles that a share of the texts finds often last, so that a common passage is no key of
+texts that hold much else; these texts decide the order only, never what is found.
 
 A group of very many near copies shares nearly all keys. So the first offers are few: the links of SimHash fingerprints within four bits, by
 their Golay-code keys, and in each run of a key every member's neighbour and the run's head. What is verified of these becomes
 components, and then all pairs of different components are offered. No link between components is lost, and those inside one need no
-offer.
+offer. A key that very many sets of several components still have is cut into blocks of its rows, and every pair of blocks is
+a task that compares bitmaps on the spot.
 
 Offered pairs meet their texts' parity bitmaps first: a bitmap has about two bits per shingle, each the parity of the shingles that
 fall on it, so two bitmaps differ in no more bits than the sets in shingles, and pairs that differ in too many are done. Only the texts
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenground.llm.common import whole_texts
@@ -32,8 +33,11 @@ from evenground.runtime import materialize, release
 
 SHINGLE_WORDS = 5
 SEED = 42
-#: Texts that the order of the shingles is drawn from, how many of them make a shingle a common one, and common ones told.
-ORDER_TEXTS, COMMON_TEXTS, COMMON = 4000, 6, 100_000
+#: One of so many texts (but so many texts, if there are) is asked for the order of the shingles; how many of them make a shingle a
+#: common one, and common ones told.
+ORDER_SHARE, ORDER_TEXTS, COMMON_TEXTS, COMMON = 32, 4000, 6, 1_000_000
+#: Rows of a key that are compared as a whole; rows of a block of a longer one, and of those compared at once; bytes of their bitmaps.
+RUN_ROWS, BLOCK_ROWS, CHUNK, FOLDED = 512, 8192, 256, 128
 #: Offered pairs that a task holds before it passes them on.
 HELD_PAIRS = 1 << 20
 _MEMBER = "key long, sid long, n int, at int"
@@ -101,7 +105,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             sets = [shingles(t or b"") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["h"])
 
-    every = max(1, docs.count() // ORDER_TEXTS)
+    every = max(1, min(ORDER_SHARE, docs.count() // ORDER_TEXTS))
     drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.encode("text", "UTF-8").alias("t")).distinct()
     counts = drawn.mapInArrow(members, "h long").groupBy("h").count().where(F.col("count") >= COMMON_TEXTS)
     rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
@@ -164,12 +168,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray],
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose key another row near in length has too; rows are sorted by key and length."""
-    for (key, sid, n, at), end in _runs(batches):
-        here = np.arange(len(key) - 1)
-        pair = (here + 1 < end[:-1]) & (4 * n[1:].astype(np.int64) <= 5 * n[:-1].astype(np.int64))
-        keep = np.r_[pair, False] | np.r_[False, pair]
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, sid, n, at)], ["key", "sid", "n", "at"])
+    """The rows whose key another row near in length has too; rows are sorted by key and length, and one is held back."""
+    held, paired = None, False
+
+    def told(columns: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["key", "sid", "n", "at"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        columns = columns if held is None else [np.concatenate(c) for c in zip(held, columns, strict=True)]
+        key, n = columns[0], columns[2].astype(np.int64)
+        pair = (key[1:] == key[:-1]) & (4 * n[1:] <= 5 * n[:-1])
+        keep = np.r_[pair, False] | np.r_[paired, pair]
+        yield told([c[:-1] for c in columns], keep[:-1])
+        held, paired = [c[-1:] for c in columns], bool(keep[-1])
+    if held is not None:
+        yield told(held, np.array([paired]))
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -179,32 +195,37 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _may(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the rows' sets can be similar if this key is the first that they share."""
-    return 9 * (1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1) >= 4 * (n[i] + n[j])
+def _may(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` members can be similar if the key at ``at`` and ``to`` is the first that they share."""
+    return 9 * np.minimum(n - at, m - to) >= 4 * (n + m)
 
 
 def _offer_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (_, sid, n, at), end in _runs(batches):
-        n, at, here = n.astype(np.int64), at.astype(np.int64), np.arange(len(sid))
-        head = np.searchsorted(end, end, "left")  # the first row of the run
-        i = np.concatenate([here[:-1], head])
-        j = np.concatenate([here[1:], here])
-        fit = (end[i] == end[j]) & (sid[i] != sid[j]) & _may(n, at, i, j)
-        yield _pairs([sid[i[fit]]], [sid[j[fit]]])
+    """Every row with the one before it and with the first of its key; rows are sorted by key, two of them are held."""
+    head = last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])  # key, sid, n, at
+        rows = rows if last is None else np.concatenate([last, rows], axis=1)
+        first = rows[:, np.searchsorted(rows[0], rows[0], "left")]
+        if head is not None:
+            first = np.where(rows[0] == head[0], head, first)
+        one, two = np.concatenate([rows[:, :-1], first], axis=1), np.concatenate([rows[:, 1:], rows], axis=1)
+        fit = (one[0] == two[0]) & (one[1] != two[1]) & _may(one[2], one[3], two[2], two[3])
+        yield _pairs([one[1, fit]], [two[1, fit]])
+        head, last = first[:, -1:], rows[:, -1:]
 
 
 def _offer_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of different parts in whole runs of a key, which are short."""
     for (_, sid, n, at, part), end in _runs(batches):
         n, at = n.astype(np.int64), at.astype(np.int64)
-        heads = np.unique(np.searchsorted(end, end, "left"))
-        mixed = np.minimum.reduceat(part, heads) != np.maximum.reduceat(part, heads) if len(part) else np.zeros(0, bool)
-        i = np.flatnonzero(np.repeat(mixed, np.diff(heads, append=len(part))))
-        a, b, gap, held = [], [], 1, 0
+        i, a, b, gap, held = np.arange(len(sid)), [], [], 1, 0
         while len(i):
             i = i[i + gap < end[i]]
             i = i[4 * n[i + gap] <= 5 * n[i]]  # lengths rise within a run
-            fit = i[(part[i] != part[i + gap]) & _may(n, at, i, i + gap)]
+            fit = i[(part[i] != part[i + gap]) & _may(n[i], at[i], n[i + gap], at[i + gap])]
             a.append(sid[fit])
             b.append(sid[fit + gap])
             held += len(fit)
@@ -215,6 +236,58 @@ def _offer_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(a, b)
 
 
+def _words(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """(words, rows): bitmaps of ``size`` bytes or more, folded to that size, as unsigned 64-bit words."""
+    folded = [np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, size // 8), axis=0) for x in bitmaps]
+    return np.ascontiguousarray(np.array(folded, np.uint64).reshape(-1, size // 8).T)
+
+
+def _offer_block(group: pa.Table) -> pa.Table:
+    """Of two blocks of a key's rows (or one) the pairs of different parts whose bitmaps allow them to be similar."""
+    i, j = group["i"][0].as_py(), group["j"][0].as_py()
+    block = group["block"].to_numpy()
+    sides = []
+    for k in (i, j):
+        side = group.filter(pa.array(block == k)).sort_by([("n", "ascending"), ("sid", "ascending")])
+        sid, n, at, part = (side[c].to_numpy().astype(np.int64) for c in ("sid", "n", "at", "part"))
+        sides.append((sid, n, at, part, side["bits"].to_pylist()))
+    (sid, n, at, part, bits), (sid2, m, to, part2, bits2) = sides
+    a, b = [], []
+    for low in range(0, len(sid), CHUNK):
+        c = slice(low, low + CHUNK)
+        # in one block only rows that follow; lengths rise, in the second block and from the first block to it
+        first = low if i == j else int(np.searchsorted(m, (4 * n[c][0] + 4) // 5))
+        d = slice(first, int(np.searchsorted(m, 5 * n[c][-1] // 4, "right")))
+        if d.start >= d.stop:
+            continue
+        size = min(FOLDED, min(map(len, bits[c])), min(map(len, bits2[d])))
+        differing = np.zeros((len(sid[c]), len(sid2[d])), np.int32)
+        for x, y in zip(_words(bits[c], size), _words(bits2[d], size), strict=True):
+            differing += np.bitwise_count(x[:, None] ^ y[None, :])
+        fit = (9 * differing <= n[c, None] + m[None, d]) & (part[c, None] != part2[None, d]) & _may(n[c, None], at[c, None], m[None, d], to[None, d])
+        x, y = np.nonzero(fit)
+        a.append(sid[c][x])
+        b.append(sid2[d][y])
+    return pa.Table.from_batches([_pairs(a, b)])
+
+
+def _rest(shared: DataFrame, parts: DataFrame, classes: DataFrame, run_rows: int, block_rows: int) -> DataFrame:
+    """``a``, ``b``: the pairs of different ``parts`` (sid, part) that share a key of ``shared`` and may be similar, in part repeatedly."""
+    rows = shared.join(parts, "sid", "left").select("key", "sid", "n", "at", F.coalesce("part", "sid").alias("part"))
+    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key", "rows"))
+    mixed = rows.join(keys.where(F.col("rows") <= run_rows).select("key"), "key", "left_semi")
+    short = mixed.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(_offer_rest, "a long, b long")
+    long = keys.where(F.col("rows") > run_rows)
+    if long.isEmpty():
+        return short
+    place = F.row_number().over(Window.partitionBy("key").orderBy("n", "sid")) - 1
+    placed = rows.join(long, "key").withColumns({"block": F.floor(place / block_rows), "last": F.floor((F.col("rows") - 1) / block_rows)})
+    sides = F.expr("transform(sequence(0L, last), x -> struct(least(x, block) as i, greatest(x, block) as j))")
+    grid = placed.join(classes.select("sid", "bits"), "sid").select("key", "sid", "n", "at", "part", "bits", "block", F.explode(sides).alias("ij"))
+    blocks = grid.select("key", "sid", "n", "at", "part", "bits", "block", "ij.i", "ij.j").groupBy("key", "i", "j").applyInArrow(_offer_block, "a long, b long")
+    return short.union(blocks)
+
+
 def _verified(offers: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` of ``offers`` that are similar, stored. ``classes``: sid, n, bits and the row (low, digest) of each set."""
 
@@ -249,7 +322,7 @@ def _verified(offers: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     return links
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, run_rows: int = RUN_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``doc_id``, ``digest``, ``class_id``, ``component_id`` for every row of ``docs`` (doc_id, text).
 
     Rows are of one class if links of similarity 4/5 or more between sets of shingles of five words lead from one to the other. component_id
@@ -275,9 +348,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     ]
     links = _verified(some[0].union(some[1]).union(some[2]), docs, classes)
     parts = connected_components(links, "a", "b").toDF("sid", "part")
-    runs = shared.join(parts, "sid", "left").select("key", "sid", "n", "at", F.coalesce("part", "sid").alias("part"))
-    runs = runs.repartition("key").sortWithinPartitions("key", "n", "sid")
-    rest = _verified(runs.mapInArrow(_offer_rest, "a long, b long"), docs, classes)
+    rest = _verified(_rest(shared, parts, classes, run_rows, block_rows), docs, classes)
     release(shared)
     linked = connected_components(links.union(rest), "a", "b").withColumnRenamed("node", "sid")
     classed = classes.select("sid", "low").join(linked, "sid", "left").withColumn("class_id", F.coalesce("component", "sid"))

@@ -49,6 +49,35 @@ def test_near_copies_are_those_of_brute_force(spark, monkeypatch):
     assert 40 <= len(set(want.values())) < len(rows)
 
 
+def test_long_runs_are_cut_into_blocks(spark):
+    rows = edited_texts()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for run_rows, block_rows in ((1, 7), (20, 1000)):
+        found = near_copies.near_copies(frame, run_rows, block_rows)
+        assert {r.doc_id: r.component_id for r in found.collect()} == plain_components(rows)
+
+
+def some_sets(n, kin):
+    """(sid, n, bits, members) of ``n`` random sets that share one member; every one of the last ``kin`` is like the first."""
+    draw = np.random.default_rng(11)
+    first = np.unique(draw.integers(-(2**62), 2**62, 100))
+    rows = []
+    for sid in range(n):
+        members = np.unique(np.concatenate([first[:97], draw.integers(-(2**62), 2**62, 3)])) if sid == 0 or sid >= n - kin else np.unique(np.append(draw.integers(-(2**62), 2**62, 99), first[0]))
+        rows.append((sid, len(members), near_copies.parities(members), members))
+    return rows
+
+
+def test_a_key_of_very_many_unlike_sets_offers_few_pairs(spark):
+    sets = some_sets(6000, 3)
+    classes = spark.createDataFrame([(s, n, b) for s, n, b, _ in sets], "sid long, n int, bits binary")
+    shared = spark.createDataFrame([(5, s, n, 0) for s, n, _, _ in sets], "key long, sid long, n int, at int")
+    parts = spark.createDataFrame([], "sid long, part long")
+    offered = {(r.a, r.b) for r in near_copies._rest(shared, parts, classes, 512, 1500).collect()}
+    alike = {(a[0], b[0]) for i, a in enumerate(sets) if a[0] == 0 or a[0] >= 5997 for b in sets[i + 1 :] if b[0] >= 5997 and near_copies.similar(a[3], b[3])}
+    assert len(alike) == 6 and alike <= offered and len(offered) < 1000
+
+
 def test_the_stage_drops_near_copies_beyond_four_bits(spark):
     import corpus_pipeline
 
