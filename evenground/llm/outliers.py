@@ -34,6 +34,8 @@ FLOOR = (1.2, 0.25, 0.12, 0.12, 0.12, 0.2, 0.25)
 D, LATTICE = len(TRANSFORMED), 1024
 #: Distance bins to a doubling; concentration steps at most; shares of the chi-square distribution for reweighting and for the verdict.
 BINS, STEPS, REWEIGHT, KEEP = 64, 8, 0.975, 1 - 1e-4
+#: States of groups (some 400 bytes each) that are broadcast at most; parts that a group's rows are dealt to beyond that.
+FEW_STATES, SALTS = 20_000, 64
 _GROUP = ["lang", "source"]
 _BLANK, _INNER, _SYMBOLS = b" \t\n\x0b\x0c\r", bytes(range(0x80, 0xC0)), b"#*$%&|<>"
 _NOT_CAPITAL = bytes(b for b in range(256) if not 65 <= b <= 90)
@@ -110,6 +112,14 @@ def consistency(share: float) -> float:
     return 1.0 if share >= 1 else share / chi_square(chi_square_quantile(share, D), D + 2)
 
 
+def _told(rows: DataFrame, states: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their group's ``states``: broadcast if these are few, else by group and salt, so that no group is in one task."""
+    if states.count() <= FEW_STATES:
+        return rows.join(F.broadcast(states), _GROUP, how)
+    salted = states.withColumn("_salt", F.explode(F.lit(list(range(SALTS)))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*_Z), F.lit(SALTS))).join(salted, [*_GROUP, "_salt"], how).drop("_salt")
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance of a row's vector from ``mean`` by ``inverse`` (the upper triangle, row by row)."""
     off = [F.col(z) / LATTICE - F.element_at("mean", i + 1) for i, z in enumerate(_Z)]
@@ -171,7 +181,7 @@ def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     spot = F.when(F.col("d2") > 0, F.greatest(F.lit(-12 * BINS), F.least(F.lit(24 * BINS), F.floor(BINS * F.log2("d2"))))).otherwise(F.lit(-12 * BINS)).cast("int")
     state = materialize(_starts(vectors))
     for _ in range(steps):
-        measured = vectors.join(state.select(*_GROUP, "start", "mean", "inverse"), _GROUP).withColumn("d2", _distance())
+        measured = _told(vectors, state.select(*_GROUP, "start", "mean", "inverse")).withColumn("d2", _distance())
         bins = measured.groupBy(*_GROUP, "start", spot.alias("bin")).agg(*_moments())
         old, state = state, materialize(bins.groupBy(*_GROUP, "start").applyInPandas(_concentrate, _STATE))
         moved = state.join(old.select(*_GROUP, "start", F.col("log_det").alias("was"), F.col("used").alias("had")), [*_GROUP, "start"]).where("used <> had or abs(log_det - was) > 1e-9")
@@ -180,10 +190,11 @@ def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
         if done:
             break
     best = state.groupBy(*_GROUP).agg(F.min(F.struct("log_det", "start", "mean", "inverse")).alias("s")).select(*_GROUP, "s.start", "s.mean", "s.inverse")
-    near = vectors.join(best, _GROUP).where(_distance() <= chi_square_quantile(REWEIGHT, D))
+    best = materialize(best)
+    near = _told(vectors, best).where(_distance() <= chi_square_quantile(REWEIGHT, D))
     weighed = near.groupBy(*_GROUP, "start").agg(*_moments()).groupBy(*_GROUP).applyInPandas(_reweigh, _STATE)
     done = materialize(weighed.select(*_GROUP, "mean", "inverse"))
-    release(state)
+    release(state, best)
     return done
 
 
@@ -199,6 +210,6 @@ def judge(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     vectors = materialize(told.where("not base_failed").select(*_GROUP, *_Z).distinct())
     found = estimates(vectors)
     release(vectors)
-    judged = told.join(found, _GROUP, "left").withColumn("distance", F.sqrt(_distance()))
+    judged = _told(told, found, "left").withColumn("distance", F.sqrt(_distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= sqrt(chi_square_quantile(keep, D)), F.lit(False))
     return judged.select("doc_id", *_COUNTS, "base_failed", kept.alias("kept"), "distance")

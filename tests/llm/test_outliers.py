@@ -109,6 +109,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert outliers.judge(empty).count() == 0
 
 
+def test_many_groups_are_joined_by_salt(spark, llm_dir, monkeypatch):
+    docs = spark.read.parquet(f"{llm_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    want = sorted(map(str, outliers.judge(docs).collect()))
+    monkeypatch.setattr(outliers, "FEW_STATES", 3)
+    assert sorted(map(str, outliers.judge(docs).collect())) == want
+
+
 def test_outliers_go_and_copies_weigh_nothing(spark):
     draw = random.Random(5)
     prose = lambda: " ".join("".join(draw.choice("etaoinshr") for _ in range(draw.randint(2, 9))) for _ in range(draw.randint(60, 600)))
