@@ -11,8 +11,9 @@ page; not inside menus, headers, footers, sidebars, notices, adverts, forms or c
 mostly need the wrapper's evidence: constant over the pages, or mostly links); and outside article and main not the template's
 text, unless a page has nothing else.
 
-Every page of the host takes part. Wrappers are folded per task, then merged in rounds of MERGED tasks each, so a host of any
-size is inferred in parallel; alignment order may differ, the slots' kind doesn't.
+Every different page of the host takes part, in an order that its pages alone decide: by the hash of the html. A host's hashes are cut into
+ranges of some LEAF pages by their leading bits; a range is folded in rising order as its pages pass, then 64 neighbouring ranges are merged
+at a time, in order. So a host of any size is inferred in parallel, and neither partitions nor copies change its wrapper.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +34,9 @@ from evenground.llm.common import whole_texts
 from evenground.llm.html_blocks import Block, Element, parse_page
 from evenground.runtime import materialize
 
-#: Hosts whose wrappers a task holds before it passes them on, and wrappers of one host that one task merges.
-HELD_HOSTS, MERGED = 2000, 64
-#: Different keys of one group that a wrapper remembers; pages judge elements of any other key by themselves.
-MAX_KEYS = 1000
+#: Different pages of a host beyond which their hashes are cut into ranges; bits that a round of merging takes off (64 ranges become one);
+#: hashes that a task remembers to pass copies on once.
+LEAF, ROUND_BITS, REMEMBERED = 64, 6, 1_000_000
 #: Different pages (by their texts) that must agree on a text before it counts as the template's.
 CONSTANT_PAGES = 3
 #: In place of the region 0: text of the template outside article and main.
@@ -152,10 +151,7 @@ def _generalized(items: list) -> list:
     seen: dict = {}
     for part in _members(items):
         key = _kind(part)
-        if key in seen:
-            seen[key] = _join_item(seen[key], part, MIXED)
-        elif len(seen) < MAX_KEYS:
-            seen[key] = part
+        seen[key] = _join_item(seen[key], part, MIXED) if key in seen else part
     return ["g", "*", 1, 0, [[*x[:3], 1, x[4]] for x in seen.values()]]
 
 
@@ -390,45 +386,62 @@ def _read(text: str) -> list:
     return json.loads(text)
 
 
+def _ranged(pages: DataFrame) -> DataFrame:
+    """``host``, ``h`` (hash of the html), ``html``, ``leaf`` (leading bits of the hash) and ``depth`` (how many rounds of bits these are)."""
+    keyed = pages.select("host", F.xxhash64("html").alias("h"), "html")
+    # the fewest rounds that leave ranges of LEAF pages or fewer, on average; hosts without ranges aren't told
+    rounds = F.ceil(F.log2(F.col("count") / LEAF) / ROUND_BITS).cast("int")
+    large = materialize(keyed.select("host", "h").distinct().groupBy("host").count().where(F.col("count") > LEAF).select("host", rounds.alias("depth")))
+    told = keyed.join(large, "host", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    leaf = F.when(F.col("depth") > 0, F.expr(f"shiftrightunsigned(h, 64 - {ROUND_BITS} * depth)")).otherwise(F.lit(0).cast("long"))
+    return told.withColumn("leaf", leaf)
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """``host``, ``wrapper`` (JSON), ``expression`` for every host of ``pages`` (host, html), stored."""
     whole_texts(pages.sparkSession)
+    schema = "host string, leaf long, depth int, wrapper string"
 
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {}
-        task = TaskContext.get().partitionId()
-
-        def out() -> pd.DataFrame:
-            rows = pd.DataFrame({"host": list(held), "part": task, "wrapper": [json.dumps(w) for w in held.values()]})
-            held.clear()
-            return rows
+    def once(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set = set()
+        for part in parts:
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            keys = list(zip(part["host"], part["h"], strict=True))
+            fresh = [k not in seen and not seen.add(k) for k in keys]
+            yield part[fresh]
 
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last, held = None, None, None
+        row = lambda: pd.DataFrame([(*at, json.dumps(held))], columns=["host", "leaf", "depth", "wrapper"])
         for part in parts:
-            for host, page in zip(part["host"], part["html"], strict=True):
-                one = page_wrapper(page or "")
-                held[host] = align(held[host], one) if host in held else one
-            if len(held) > HELD_HOSTS:
-                yield out()
-        if held:
-            yield out()
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        merged = reduce(align, map(json.loads, sorted(group["wrapper"])))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "part": [group["part"].iloc[0]], "wrapper": [json.dumps(merged)]})
+            for *key, h, page in zip(*(part[c] for c in ("host", "leaf", "depth", "h", "html")), strict=True):
+                if key == at and h == last:
+                    continue
+                if key != at and at is not None:
+                    yield row()
+                held = align(held, page_wrapper(page)) if key == at else page_wrapper(page)
+                at, last = key, h
+        if at is not None:
+            yield row()
+
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        host, depth, above = key
+        merged = reduce(align, map(json.loads, group.sort_values("leaf")["wrapper"]))
+        return pd.DataFrame([(host, above, depth - 1, json.dumps(merged))], columns=["host", "leaf", "depth", "wrapper"])
 
     def shown(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([as_regex(json.loads(x)) for x in part], dtype=object)
 
     shown.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    schema = "host string, part int, wrapper string"
-    found = materialize(pages.select("host", "html").mapInPandas(fold, schema))
-    last = found.agg(F.max("part")).first()[0] or 0
-    while True:
-        last //= MERGED
-        found = found.withColumn("part", (F.col("part") / MERGED).cast("int")).groupBy("host", "part").applyInPandas(merge, schema)
-        if not last:
-            return materialize(found.select("host", "wrapper", F.pandas_udf(shown, "string")("wrapper").alias("expression")))
+    rows = _ranged(pages).select("host", "h", "leaf", "depth", "html")
+    dealt = rows.mapInPandas(once, "host string, h long, leaf long, depth int, html string").repartition("host", "leaf").sortWithinPartitions("host", "leaf", "h")
+    found = materialize(dealt.mapInPandas(fold, schema))
+    while not (ranges := found.where("depth > 0")).isEmpty():
+        merged = ranges.groupBy("host", "depth", F.expr(f"leaf >> {ROUND_BITS}").alias("_above")).applyInPandas(merge, schema)
+        found = materialize(found.where("depth = 0").union(merged))
+    return materialize(found.select("host", "wrapper", F.pandas_udf(shown, "string")("wrapper").alias("expression")))
 
 
 def host_of(url: str = "url") -> Column:

@@ -1,7 +1,11 @@
 """Main text of pages of one host: hidden inline elements, names inside articles, unlike templates, copies."""
 
+import random
 from functools import reduce
 
+import pytest
+import xxhash
+
 from evenground.llm import wrappers
 
 
@@ -80,8 +84,6 @@ def test_like_elements_are_told_apart_by_the_template_s_text():
 
 
 def test_long_irregular_lists_and_many_keys_lose_nothing():
-    import random
-
     draw = random.Random(5)
     pages, want = [], []
     for i in range(6):
@@ -93,10 +95,51 @@ def test_long_irregular_lists_and_many_keys_lose_nothing():
     assert texts(f"<article>{deep}</article>", f"<article>{deep.replace('after', 'behind')}</article>") == ["at the bottom\nafter", "at the bottom\nbehind"]
 
 
+def dealt_texts(spark, rows, how):
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    frame = {1: lambda: frame.coalesce(1), 3: lambda: frame.repartition(3, "page_id"), 5: lambda: frame.orderBy("page_id", ascending=False).repartition(5, "url"), 7: lambda: frame.repartition(7)}[how]()
+    return {r.page_id: r.text for r in wrappers.main_text(frame).collect()}
+
+
+def random_hosts(hosts, pages):
+    """Pages without an article whose blocks come and go, with lines that only some share."""
+    draw, rows = random.Random(9), []
+    for k in range(hosts):
+        lines = [f"line {k} {j}" for j in range(4)] + ["Footer like line", "Home News", "All ours"]
+        for i in range(pages):
+            blocks = [f"<{t}>{x}</{t}>" for t, x in ((draw.choice(["p", "div", "td", "span"]), draw.choice([*lines, f"own {k} {i} {j}"])) for j in range(draw.randint(1, 9)))]
+            rows.append((len(rows), f"http://h{k}.example/{i}", f"<div>{''.join(blocks)}</div><p>Footer like line</p>"))
+    return rows + [(len(rows) + i, "http://h0.example/copy", rows[0][2]) for i in range(30)]
+
+
+@pytest.mark.parametrize("leaf", [64, 2])
+def test_texts_do_not_depend_on_how_pages_are_dealt(spark, monkeypatch, leaf):
+    monkeypatch.setattr(wrappers, "LEAF", leaf)
+    monkeypatch.setattr(wrappers, "ROUND_BITS", 6 if leaf > 2 else 1)
+    rows = random_hosts(20, 10)
+    found = [dealt_texts(spark, rows, how) for how in (1, 3, 5, 7)]
+    assert found[0] == found[1] == found[2] == found[3]
+    assert len(found[0]) == len(rows)
+
+
+def test_texts_are_those_of_one_pass_in_the_order_of_hashes(spark):
+    rows = [*random_hosts(6, 10), *((5000 + i, "no host", page) for i, (page, _) in enumerate(unlike_pages()))]
+    hosts = {}
+    for _, url, page in rows:
+        hosts.setdefault(url.split("/")[2] if "//" in url else "", {})[page] = xxhash.xxh64_intdigest(page.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(page.encode(), 42) >> 63)
+    known = {h: reduce(wrappers.align, map(wrappers.page_wrapper, sorted(pages, key=pages.get))) for h, pages in hosts.items()}
+    want = {i: wrappers.extract(page, known[url.split("/")[2] if "//" in url else ""]) for i, url, page in rows}
+    assert dealt_texts(spark, rows, 3) == want
+
+
 def test_merging_in_rounds_gives_the_same_texts(spark, monkeypatch):
     made = unlike_pages()
     rows = [(i, "http://one.example/", page) for i, (page, _) in enumerate(made)]
-    monkeypatch.setattr(wrappers, "MERGED", 2)
-    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7, "page_id")
-    got = wrappers.main_text(frame).collect()
-    assert {r.page_id: r.text for r in got} == {i: text for i, (_, text) in enumerate(made)}
+    monkeypatch.setattr(wrappers, "LEAF", 2)
+    monkeypatch.setattr(wrappers, "ROUND_BITS", 1)
+    assert dealt_texts(spark, rows, 7) == {i: text for i, (_, text) in enumerate(made)}
+
+
+def test_a_group_of_very_many_keys_is_remembered_whole():
+    pages = ["<nav>menu</nav>" + "".join(f"<div class=k{j}>told {j}</div><p>text {i} {j}</p><div class=k{j}>again {i}</div>" for j in range(1500)) for i in range(4)]
+    assert texts(*pages) == ["\n".join(x for j in range(1500) for x in (f"text {i} {j}", f"again {i}")) for i in range(4)]
