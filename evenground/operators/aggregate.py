@@ -80,6 +80,11 @@ def rename_with_meta(df: DataFrame, meta: list[Variable], dataset: str | None =
     return df.withColumnsRenamed({m.variable: m.label for m in chosen})
 
 
+def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` that stand in several rows, and in how many (``n``)."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def join_correspondence(df: DataFrame, correspondence: DataFrame) -> DataFrame:
     """``df`` with its units' common ids, inner; an id in two units is an error."""
     keys = [c for c in df.columns if c in correspondence.columns and c not in (COMMON_ID, COMMON_UID)]
@@ -88,7 +93,7 @@ def join_correspondence(df: DataFrame, correspondence: DataFrame) -> DataFrame:
     if len(keys) > 1:
         warnings.warn(f"several geographic identifiers match: {', '.join(keys)}", stacklevel=2)
     units = correspondence.select(*keys, COMMON_ID, COMMON_UID).distinct()
-    if not units.groupBy(*keys).count().where("count > 1").isEmpty():
+    if not repeated(units, keys).isEmpty():
         raise ValueError("an identifier belongs to more than one unit")
     return natural_join(df, units, keys)
 

@@ -1,96 +1,29 @@
-"""Union of the polygons of a group, exact for tilings whose neighbours share their border's corners."""
+"""Union of the polygons of a group, whether they are neighbours, overlap, or share borders that only one has corners on."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenground.operators.geometry.shapes import edges, from_flat
-
-
-def chain_rings(x1: list[float], y1: list[float], x2: list[float], y2: list[float]) -> list[list[tuple[float, float]]]:
-    """Closed rings from directed edges; at a point with several ways out the sharpest right turn is taken, so rings don't cross."""
-    out: dict[tuple[float, float], list[tuple[float, float]]] = {}
-    for a, b, c, d in zip(x1, y1, x2, y2, strict=True):
-        out.setdefault((a, b), []).append((c, d))
-    found = []
-    for start in sorted(out):
-        while out.get(start):
-            ring, at = [start], out[start].pop()
-            while at != start and out.get(at):
-                ways, came = out[at], (at[0] - ring[-1][0], at[1] - ring[-1][1])
-                ring.append(at)
-
-                def turn(p: tuple[float, float], at=at, came=came) -> tuple[bool, float]:
-                    go = (p[0] - at[0], p[1] - at[1])
-                    cross, dot = came[0] * go[1] - came[1] * go[0], came[0] * go[0] + came[1] * go[1]
-                    length = (go[0] ** 2 + go[1] ** 2) ** 0.5 * (came[0] ** 2 + came[1] ** 2) ** 0.5 or 1.0
-                    return (-(1 - dot / length) if cross < 0 else 1 - dot / length, p)
-
-                best = min(ways, key=turn)
-                ways.remove(best)
-                at = best
-            ring.append(at)
-            found.append(ring)
-    return found
-
-
-def _inside(p: tuple[float, float], ring: list[tuple[float, float]]) -> bool:
-    hit = False
-    for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
-        if (y1 > p[1]) != (y2 > p[1]) and p[0] < x1 + (p[1] - y1) / (y2 - y1) * (x2 - x1):
-            hit = not hit
-    return hit
-
-
-def _area(ring: list[tuple[float, float]]) -> float:
-    return sum((x2 - x1) * (y1 + y2) / 2 for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False))
-
-
-def assemble(rings: list[list[tuple[float, float]]]) -> list[list[list[float]]]:
-    """Polygons of rings, each x, y, x, y and so on: clockwise rings are outlines; each hole goes to the smallest outline around it."""
-    outlines = sorted((r for r in rings if _area(r) > 0), key=_area)
-    polygons = [[r] for r in outlines]
-    for hole in (r for r in rings if _area(r) < 0):
-        # a point just right of the hole's first edge lies inside the polygon
-        (x1, y1), (x2, y2) = hole[0], hole[1]
-        probe = ((x1 + x2) / 2 + (y2 - y1) * 1e-6, (y1 + y2) / 2 - (x2 - x1) * 1e-6)
-        home = next((i for i, r in enumerate(outlines) if _inside(probe, r)), None)
-        if home is not None:
-            polygons[home].append(hole)
-    return [[[v for p in ring for v in p] for ring in polygon] for polygon in polygons]
-
-
-def _chained(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        out = []
-        for numbers in part:
-            e = np.asarray(numbers, float).reshape(-1, 4)
-            out.append(assemble(chain_rings(*e[np.lexsort(e.T)].T.tolist())))
-        yield pd.Series(out, dtype=object)
-
-
-_chained.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+from evenground.operators.geometry.arrangement import bounded, polygons
+from evenground.operators.geometry.shapes import edges
 
 
 def dissolve(df: DataFrame, by: list[str]) -> DataFrame:
     """``by`` and the union of each group's ``geometry``; no ``by``: one row for all.
 
-    Borders between members cancel in partial sums before anything is gathered, so what a group gathers is its outline, which is what its
-    row of the result holds, not its members; Python chains the outlines of many groups in one batch. Members that overlap stay separate
-    parts of the result, as do members whose common border has corners that only one has. Groups without edges have a NULL geometry.
+    Borders between members that are equal cancel in partial sums first. What is left is cut where it meets and loses the pieces that have
+    the union on both sides, by cells and not by groups; a group gathers the outline alone, which is what its row of the result
+    holds. Groups without edges have a NULL geometry. Geometries of longitude and latitude are united in the plane of their coordinates.
     """
-    parts = df.select(*by, F.col("geometry.srid").alias("_srid"), F.explode_outer(edges(F.col("geometry"))).alias("_e"))
+    group = F.to_json(F.struct(*by)) if by else F.lit("")  # tells NULLs from values, and is none itself
+    parts = df.select(group.alias("_g"), F.explode(edges(F.col("geometry"))).alias("_e"))
     ends = F.expr("if((_e.x1, _e.y1) < (_e.x2, _e.y2), _e, struct(_e.x2 as x1, _e.y2 as y1, _e.x1 as x2, _e.y1 as y2))").alias("_k")
-    way = F.expr("if((_e.x1, _e.y1) < (_e.x2, _e.y2), 1, -1)").alias("_way")
-    net = parts.select(*by, "_srid", ends, way).groupBy(*by, "_k").agg(F.max("_srid").alias("_srid"), F.sum("_way").alias("_way")).where("_way <> 0 or _k is null")
-    drawn = F.expr("if(_way > 0, array(_k.x1, _k.y1, _k.x2, _k.y2), array(_k.x2, _k.y2, _k.x1, _k.y1))")
-    outlines = net.withColumn("_k", F.when(F.col("_k.x1").isNotNull(), F.flatten(F.array_repeat(drawn, F.abs("_way").cast("int")))))
-    grouped = outlines.groupBy(*by).agg(F.max("_srid").alias("_srid"), F.flatten(F.collect_list("_k")).alias("_k"))
-    rings = F.pandas_udf(_chained, "array<array<array<double>>>")(F.col("_k"))
-    geometry = F.when(F.size("_k") > 0, from_flat(F.col("_rings"), F.col("_srid")))
-    return grouped.withColumn("_rings", rings).select(*by, geometry.alias("geometry"))
+    way = F.expr("if((_e.x1, _e.y1) < (_e.x2, _e.y2), 1, -1)").alias("w")
+    net = parts.select("_g", ends, way).groupBy("_g", "_k").agg(F.sum("w").alias("w")).where("w <> 0").select("_g", "_k.*", "w")
+    outlines = bounded(net, ["_g"], lambda w: w != 0, ["w"])
+    groups = df.groupBy(*by).agg(F.max("geometry.srid").alias("_srid")).withColumn("_g", group)
+    shaped = polygons(outlines, ["_g"]).withColumnRenamed("geometry", "_shape")
+    srid = F.col("_srid").cast("int").alias("srid")
+    geometry = F.when(F.col("_shape").isNotNull(), F.struct(srid, F.col("_shape.polygons").alias("polygons")))
+    return groups.join(shaped, "_g", "left").select(*by, geometry.alias("geometry"))

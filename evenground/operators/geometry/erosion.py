@@ -1,243 +1,262 @@
-"""Whether a polygon, eroded by a tolerance, meets another one; decided on edges, in closed form.
-
-The eroded ``a`` is what lies inside ``a`` and at least ``t`` from its outline. The points closer than ``t`` to one edge are a
-capsule, which is convex: along any straight line each edge of ``a`` rules out one interval. What the intervals leave of
-an edge of ``b`` is on the eroded polygon or outside ``a`` as a whole, so one point of each gap decides. If no edge of ``b`` meets the
-eroded polygon, each of its parts lies wholly in ``b`` or outside it, and one point of each part decides. A part has such a point on a
-straight piece of its outline (an edge moved inwards by ``t``, again less the intervals), or, if it is bounded by
-arcs alone, where circles around two corners meet. The work depends on the numbers of edges, not on lengths or on how close the
-decision is.
+"""Which polygons, eroded by a tolerance, meet others; decided on rows of edges, in closed form.
+
+The eroded polygon is what lies inside it and at least ``t`` from its outline. The points closer than ``t`` to one edge are a
+capsule, which is convex: on a line it rules out one stretch, on a circle a few. What the edges near a line or circle leave of it are
+its gaps, found by a running maximum over the stretches in order. Every part of an eroded polygon has a gap on its own outline: on an edge moved
+inwards by ``t``, or on the circle around a reflex corner. So one point per gap (the skeleton) tells whether a polygon outlasts a
+tolerance, and whether a part lies in another polygon; and where no such point does, the eroded polygon meets the other one only if
+an edge of the other has a gap inside the polygon. Edges meet the lines near them by cells of size classes, so the work grows with the edges
+and with how many lie within ``t`` of each other, not with the square of a polygon's corners.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import pi
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenground.operators.geometry.shapes import edges
+from evenground.operators.geometry.overlap import candidate_pairs
+from evenground.operators.geometry.shapes import bbox
+from evenground.runtime import materialize, release
 
 HALVINGS = 20
-#: Numbers in one work array.
-HELD = 1 << 21
-
-
-def _clean(e: np.ndarray) -> np.ndarray:
-    return e[(e[:, 0] != e[:, 2]) | (e[:, 1] != e[:, 3])]
-
-
-def _slack(e: np.ndarray, t: float) -> float:
-    """What distances may miss ``t`` by, for rounding."""
-    return 1e-9 * t + 1e-12 * float(np.abs(e).max(initial=0.0))
-
-
-def _inside(points: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Whether points (n, 2) lie in the area that edges (m, 4) bound, holes being outside."""
-    out = np.zeros(len(points), bool)
-    step = max(1, HELD // max(1, len(e)))
-    for low in range(0, len(points), step):
-        x, y = (points[low : low + step, k, None] for k in (0, 1))
-        spans = (e[None, :, 1] > y) != (e[None, :, 3] > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cross = e[None, :, 0] + (y - e[None, :, 1]) / (e[None, :, 3] - e[None, :, 1]) * (e[None, :, 2] - e[None, :, 0])
-        out[low : low + step] = (spans & (x < cross)).sum(axis=1) % 2 == 1
-    return out
-
-
-def _ruled_out(p: np.ndarray, u: np.ndarray, e: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
-    """(low, high), both (lines, edges): the stretch of each line p + s u (u of length 1) closer than ``r`` to each edge; low > high: none."""
-    low, high = np.full((len(p), len(e)), np.inf), np.full((len(p), len(e)), -np.inf)
-    for corner in (e[None, :, :2], e[None, :, 2:]):  # the discs at its ends
-        w = corner - p[:, None, :]
-        middle = (w * u[:, None, :]).sum(axis=2)
-        rest = r * r - ((w**2).sum(axis=2) - middle**2)
-        half = np.sqrt(np.maximum(rest, 0))
-        low, high = np.where(rest > 0, np.minimum(low, middle - half), low), np.where(rest > 0, np.maximum(high, middle + half), high)
-    d = e[:, 2:] - e[:, :2]
-    size = np.hypot(d[:, 0], d[:, 1])
-    d = d / size[:, None]
-    w = p[:, None, :] - e[None, :, :2]
-    # the rectangle along it: 0 < position < size and |side| < r, each linear in s
-    lo, hi = np.full(low.shape, -np.inf), np.full(low.shape, np.inf)
-    along, across = (w * d[None]).sum(axis=2), w[:, :, 1] * d[None, :, 0] - w[:, :, 0] * d[None, :, 1]
-    for value, slope, least, most in (
-        (along, u @ d.T, 0.0, size[None, :]),
-        (across, u[:, 1, None] * d[None, :, 0] - u[:, 0, None] * d[None, :, 1], -r, r),
-    ):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            one, two = (least - value) / slope, (most - value) / slope
+_ENDS = ["x1", "y1", "x2", "y2"]
+
+
+def outlines(df: DataFrame, key: str) -> DataFrame:
+    """``key``, edges with their place ``i`` in the ring and the place ``after`` of the next, from the lower left corner (``ox``, ``oy``) of their box.
+
+    Small numbers round less. Edges without length are left out; ``wide``: the box's smaller side; ``slip``: the largest number.
+    """
+    shaped = df.select(key, F.col("geometry").alias("g"), bbox(F.col("geometry")).alias("box")).where("box.x0 is not null")
+    rings = F.transform(F.flatten(F.col("g.polygons")), lambda ring: F.array_compact(F.transform(_steps(ring), lambda e: F.when((e["x1"] != e["x2"]) | (e["y1"] != e["y2"]), e))))
+    rows = shaped.select(key, "box", F.posexplode(rings).alias("ring", "es")).select(key, "box", "ring", F.size("es").alias("n"), F.posexplode("es").alias("i", "e"))
+    moved = [(F.col(f"e.{c}") - F.col(f"box.{c[0]}0")).alias(c) for c in _ENDS]
+    wide, slip = F.expr("least(box.x1 - box.x0, box.y1 - box.y0)"), F.expr("greatest(box.x1 - box.x0, box.y1 - box.y0)")
+    return rows.select(key, "ring", "i", ((F.col("i") + 1) % F.col("n")).alias("after"), *moved, F.col("box.x0").alias("ox"), F.col("box.y0").alias("oy"), wide.alias("wide"), slip.alias("slip"))
+
+
+def _steps(ring: Column) -> Column:
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
+
+
+def _reach() -> Column:
+    """The distance that rules out: the tolerance ``t`` less what rounding may take off."""
+    return F.greatest(F.col("t") - (1e-9 * F.col("t") + 1e-12 * F.col("slip")), F.col("t") / 2)
+
+
+def _near(probes: DataFrame, sides: DataFrame, key: str) -> DataFrame:
+    """Each probe (key, its own columns, box within reach) with every edge ``f`` of its polygon that the box meets."""
+    box = F.struct(F.least("x1", "x2").alias("x0"), F.least("y1", "y2").alias("y0"), F.greatest("x1", "x2").alias("x1"), F.greatest("y1", "y2").alias("y1"))
+    return candidate_pairs(probes, sides.select(key, box.alias("box"), F.struct(*_ENDS).alias("f")), by=(key,)).drop("ba", "bb")
+
+
+def _stretches(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, low, high): places on each row's line or circle closer than r to its edge. A line starts at (px, py) and runs along (ux, uy);
+    a circle of radius t around (px, py) counts angles from 0 to a full turn."""
+    ends = [(w[f"x{i}"] - w["px"], w[f"y{i}"] - w["py"]) for i in (1, 2)]
+    dx, dy = ends[1][0] - ends[0][0], ends[1][1] - ends[0][1]
+    size = np.hypot(dx, dy)
+    dx, dy = dx / size, dy / size
+    along, side = -(ends[0][0] * dx + ends[0][1] * dy), ends[0][0] * dy - ends[0][1] * dx
+    r, t, row, found = w["r"], w["t"], np.arange(len(size)), []
+    line, full = ~w["arc"], 2 * np.pi
+    # lines: of the capsule's discs and rectangle (0 < position < size, |side| < r, each linear) the outermost places
+    lows, highs = [], []
+    for x, y in ends:
+        middle = x * w["ux"] + y * w["uy"]
+        rest = r * r - (x * x + y * y - middle * middle)
+        half = np.sqrt(np.where(rest > 0, rest, np.nan))
+        lows.append(middle - half)
+        highs.append(middle + half)
+    low, high = np.full(len(size), -np.inf), np.full(len(size), np.inf)
+    for value, slope, least, most in ((along, w["ux"] * dx + w["uy"] * dy, 0.0, size), (side, w["uy"] * dx - w["ux"] * dy, -r, r)):
+        one, two = (least - value) / slope, (most - value) / slope
         level, within = np.abs(slope) < 1e-15, (value > least) & (value < most)
-        lo = np.where(level, np.where(within, lo, np.inf), np.maximum(lo, np.minimum(one, two)))
-        hi = np.where(level, np.where(within, hi, -np.inf), np.minimum(hi, np.maximum(one, two)))
-    met = lo < hi
-    return np.where(met, np.minimum(low, lo), low), np.where(met, np.maximum(high, hi), high)
-
-
-def _gaps(p: np.ndarray, q: np.ndarray, e: np.ndarray, r: float) -> Iterator[np.ndarray]:
-    """Points (n, 2), in batches, on the segments p to q: one in each stretch that is nowhere closer than ``r`` to an edge of ``e``."""
-    step = max(1, HELD // (8 * max(1, len(e))))
-    for first in range(0, len(p), step):
-        a, b = p[first : first + step], q[first : first + step]
-        size = np.hypot(*(b - a).T)
-        u = (b - a) / np.where(size > 0, size, 1)[:, None]
-        low, high = _ruled_out(a, u, e, r)
-        order = np.argsort(low, axis=1)
-        low, high = np.take_along_axis(low, order, 1), np.take_along_axis(high, order, 1)
-        till = np.maximum.accumulate(np.maximum(high, 0), axis=1)  # ruled out from the start to here
-        start = np.concatenate([np.zeros((len(a), 1)), till], axis=1)
-        end = np.minimum(np.concatenate([low, np.full((len(a), 1), np.inf)], axis=1), size[:, None])
-        last = np.isfinite(low).sum(axis=1)  # what follows the last interval is one stretch
-        row, column = np.nonzero((start <= end) & (start <= size[:, None]) & (np.arange(start.shape[1]) <= last[:, None]))
-        s = (start[row, column] + end[row, column]) / 2
-        yield a[row] + s[:, None] * u[row]
-
-
-def _meetings(e: np.ndarray, t: float, r: float) -> np.ndarray:
-    """Where circles of radius ``t`` around two corners meet, if no other corner is closer than ``r``."""
-    corners = np.unique(np.concatenate([e[:, :2], e[:, 2:]]), axis=0)
-    found = []
-    step = max(1, HELD // (8 * max(1, len(corners))))
-    for first in range(0, len(corners), step):
-        own = corners[first : first + step]
-        w = corners[None, :, :] - own[:, None, :]
-        gap = np.hypot(w[:, :, 0], w[:, :, 1])
-        near = (gap > 0) & (gap <= 2 * t)
-        half = np.where(near, np.arccos(np.clip(gap / (2 * t), -1, 1)), 0)
-        angle = np.arctan2(w[:, :, 1], w[:, :, 0])
-        for row in np.flatnonzero(near.any(axis=1)):
-            mid, wide = angle[row, near[row]], half[row, near[row]]
-            ends = np.concatenate([mid - wide, mid + wide])
-            points = own[row] + t * np.stack([np.cos(ends), np.sin(ends)], axis=1)
-            # the ends that no other disc covers: sorted starts, furthest end so far, all turned into one round
-            low, high = np.mod(mid - wide, 2 * np.pi), np.mod(mid - wide, 2 * np.pi) + 2 * wide
-            low, high = np.concatenate([low, low - 2 * np.pi, low + 2 * np.pi]), np.concatenate([high, high - 2 * np.pi, high + 2 * np.pi])
-            order = np.argsort(low)
-            low, high = low[order], high[order]
-            slip = 1e-6  # a point that is barely covered is judged by its distances
-            at = np.mod(ends, 2 * np.pi)
-            before = np.searchsorted(low, at - slip, "left")
-            reach = np.maximum.accumulate(np.concatenate([[-np.inf], high]))[before]
-            found.append(points[reach <= at + slip])
-    points = np.concatenate(found) if found else np.zeros((0, 2))
-    return points[_far(points, e, r)]
-
-
-def _far(points: np.ndarray, e: np.ndarray, r: float) -> np.ndarray:
-    """Whether points lie at least ``r`` from every edge."""
-    out = np.ones(len(points), bool)
-    d = e[:, 2:] - e[:, :2]
-    step = max(1, HELD // (4 * max(1, len(e))))
-    for first in range(0, len(points), step):
-        w = points[first : first + step, None, :] - e[None, :, :2]
-        along = np.clip((w * d[None]).sum(axis=2) / (d**2).sum(axis=1), 0, 1)
-        out[first : first + step] = (((w - along[:, :, None] * d[None]) ** 2).sum(axis=2) >= r * r).all(axis=1)
-    return out
-
-
-def _parts(e: np.ndarray, t: float, r: float) -> Iterator[np.ndarray]:
-    """Points of the eroded polygon, in batches; some batch has one of each of its parts."""
-    d = e[:, 2:] - e[:, :2]
-    side = t * np.stack([d[:, 1], -d[:, 0]], axis=1) / np.hypot(d[:, 0], d[:, 1])[:, None]
-    for way in (side, -side):
-        for found in _gaps(e[:, :2] + way, e[:, 2:] + way, e, r):
-            yield found[_inside(found, e)]
-    found = _meetings(e, t, r)
-    yield found[_inside(found, e)]
-
-
-def _touch(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two closed areas share a point."""
-    if _inside(a[:1, :2], b).any() or _inside(b[:1, :2], a).any():
-        return True
-
-    def turn(p: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return np.sign((q[..., 0] - p[..., 0]) * (x[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (x[..., 0] - p[..., 0]))
-
-    step = max(1, HELD // (4 * len(b)))
-    for first in range(0, len(a), step):
-        p, q = a[first : first + step, None, :2], a[first : first + step, None, 2:]
-        x, y = b[None, :, :2], b[None, :, 2:]
-        boxes = ((np.minimum(p, q) <= np.maximum(x, y)) & (np.minimum(x, y) <= np.maximum(p, q))).all(axis=2)
-        if (boxes & (turn(p, q, x) * turn(p, q, y) <= 0) & (turn(x, y, p) * turn(x, y, q) <= 0)).any():
-            return True
-    # all of one inside the other without touching, its first corner aside (parts of a multipolygon)
-    return bool(_inside(a[:, :2], b).any() or _inside(b[:, :2], a).any())
-
-
-def reaches(a: np.ndarray, t: float, b: np.ndarray | None = None) -> bool:
-    """Whether some point is at least ``t`` inside ``a`` and (if given) in ``b``: the eroded ``a`` meets ``b``. Edges are (n, 4)."""
-    a = _clean(np.asarray(a, float))
-    b = None if b is None else _clean(np.asarray(b, float))
-    if not len(a) or b is not None and not len(b):
-        return False
-    origin = np.tile(np.minimum(a[:, :2], a[:, 2:]).min(axis=0), 2)  # small numbers round less
-    a = a - origin
-    high = np.maximum(a[:, :2], a[:, 2:]).max(axis=0)
-    if t <= 0:
-        return b is None or _touch(a, b - origin)
-    r = max(t - _slack(a, t), t / 2)
-    if (high < 2 * r).any():
-        return False
-    if b is None:
-        return any(len(found) for found in _parts(a, t, r))
-    b = b - origin
-    low_b, high_b = np.minimum(b[:, :2], b[:, 2:]), np.maximum(b[:, :2], b[:, 2:])
-    if (high_b.max(axis=0) < r).any() or (low_b.min(axis=0) > high - r).any():
-        return False
-    close = ((high_b >= r) & (low_b <= high - r)).all(axis=1)
-    some = np.concatenate([b[:: 1 + len(b) // 16, :2], [(np.maximum(low_b.min(axis=0), 0) + np.minimum(high_b.max(axis=0), high)) / 2]])
-    some = some[_inside(some, a)]  # mostly one of these decides
-    some = some[_far(some, a, r)]
-    if _inside(some[-1:], b).any() or (some[:, None, :] == b[None, :, :2]).all(axis=2).any():
-        return True
-    if any(_inside(found, a).any() for found in _gaps(b[close, :2], b[close, 2:], a, r)):
-        return True
-    return any(_inside(found, b).any() for found in _parts(a, t, r))
-
-
-def effective_tolerance(a: np.ndarray, t: float) -> float:
-    """``t``, halved until the polygon isn't eroded away; an error after 20 times."""
-    for k in range(HALVINGS + 1):
-        if reaches(a, t / 2**k):
-            return t / 2**k
-    raise ValueError("a polygon vanishes at every tolerance")
-
-
-def _flat(geometry: Column) -> Column:
-    """A polygon's edges as one array of numbers, four per edge."""
-    return F.flatten(F.transform(edges(geometry), lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
-
-
-def _edge_array(numbers: np.ndarray | None) -> np.ndarray:
-    return np.zeros((0, 4)) if numbers is None else np.asarray(numbers, float).reshape(-1, 4)
-
-
-def kept_tolerance(geometry: Column, tolerance: float) -> Column:
-    """Double column: ``tolerance``, halved as in effective_tolerance; NULL for a geometry without edges."""
-
-    def tell(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            told = [effective_tolerance(e, tolerance) if len(_clean(e)) else None for e in map(_edge_array, part)]
-            yield pd.Series(told, dtype="float64")
-
-    tell.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(tell, "double")(_flat(geometry))
-
-
-def meets_eroded(a: Column, b: Column, a_tolerance: Column, b_tolerance: Column) -> Column:
-    """Boolean column: ``a`` eroded by ``a_tolerance`` meets ``b``, or ``b`` eroded by ``b_tolerance`` meets ``a``."""
-
-    def judge(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for rows in parts:
-            out = []
-            for x, y, t, s in zip(*rows, strict=True):
-                p, q = _edge_array(x), _edge_array(y)
-                out.append(bool(t == t and reaches(p, t, q) or s == s and reaches(q, s, p)))
-            yield pd.Series(out, dtype=bool)
-
-    kinds = tuple[pd.Series, pd.Series, pd.Series, pd.Series]
-    judge.__annotations__ = {"parts": Iterator[kinds], "return": Iterator[pd.Series]}
-    return F.pandas_udf(judge, "boolean")(_flat(a), _flat(b), a_tolerance, b_tolerance)
+        low = np.where(level, np.where(within, low, np.inf), np.maximum(low, np.minimum(one, two)))
+        high = np.where(level, np.where(within, high, -np.inf), np.minimum(high, np.maximum(one, two)))
+    met = low < high
+    found.append((row[line], np.fmin.reduce([*lows, np.where(met, low, np.nan)])[line], np.fmax.reduce([*highs, np.where(met, high, np.nan)])[line]))
+    # circles: what each disc covers, and where one of two ranges of the side meets one of three of the position
+    for x, y in ends:
+        far = np.hypot(x, y)
+        share = (t * t + far * far - r * r) / (2 * t * far)
+        half = np.arccos(np.clip(np.where(share < 1, share, np.nan), -1, 1))
+        found.append((row[~line], (np.arctan2(y, x) - half)[~line], (np.arctan2(y, x) + half)[~line]))
+    bounded = lambda v: np.clip(v, -1, 1)
+    a, b = np.arcsin(bounded((-r - side) / t)), np.arcsin(bounded((r - side) / t))
+    first, last, way = np.arccos(bounded((size - along) / t)), np.arccos(bounded(-along / t)), np.arctan2(dy, dx)
+    for one, two in ((a, b), (np.pi - b, np.pi - a)):
+        for begin, end in ((first, last), (-last, -first), (full - last, full - first)):
+            start, stop = np.maximum(one, begin), np.minimum(two, end)
+            start = np.where(start < stop, start, np.nan)
+            found.append((row[~line], (start + way)[~line], (stop + way)[~line]))
+    row, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+    good = low < high
+    row, low, high = row[good], low[good], high[good]
+    turned = w["arc"][row]
+    begin = np.where(turned, np.mod(low, full), low)
+    row, low, high = np.concatenate([row, row[turned]]), np.concatenate([begin, begin[turned] - full]), np.concatenate([begin + (high - low), (begin + (high - low))[turned] - full])
+    return row, low, high
+
+
+def _gap_points(rows: pa.Table) -> pa.RecordBatch:
+    """One point in every gap that the edges of whole probes leave of places 0 to ``span``; a gap may be a point."""
+    w = {c: rows[c].to_numpy() for c in rows.column_names}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        row, low, high = _stretches(w)
+    inside = (high > 0) & (low < w["span"][row])
+    heads = np.flatnonzero(np.diff(w["pid"], prepend=w["pid"][0] - 1))  # a stretch without an end closes each probe
+    seg = np.cumsum(np.diff(w["pid"], prepend=w["pid"][0]) != 0)
+    told = pd.DataFrame({"seg": np.concatenate([seg[row[inside]], seg[heads]]), "low": np.concatenate([low[inside], w["span"][heads]]), "high": np.concatenate([high[inside], np.full(len(heads), np.inf)])})
+    told = told.sort_values(["seg", "low", "high"], kind="stable")
+    till = told.groupby("seg")["high"].cummax().groupby(told["seg"]).shift(1).fillna(0.0).to_numpy()
+    head = heads[told["seg"].to_numpy()]
+    end = np.minimum(told["low"].to_numpy(), w["span"][head])
+    head, s = head[till <= end], ((till + end) / 2)[till <= end]
+    x = w["px"][head] + np.where(w["arc"][head], w["t"][head] * np.cos(s), s * w["ux"][head])
+    y = w["py"][head] + np.where(w["arc"][head], w["t"][head] * np.sin(s), s * w["uy"][head])
+    return pa.RecordBatch.from_arrays([pa.array(w["pid"][head]), pa.array(x), pa.array(y)], ["pid", "x", "y"])
+
+
+_PROBE = ["pid", "arc", "px", "py", "ux", "uy", "span", "t", "r"]
+
+
+def gap_points(probes: DataFrame, sides: DataFrame, key: str) -> DataFrame:
+    """``pid``, ``x``, ``y``: a point in every gap that the edges ``sides`` (key, ends) leave of the probes (key, box, columns of _PROBE), which are stored."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = (rows if rest is None else pa.concat_tables([rest, rows])).combine_chunks()
+            if not rows.num_rows:
+                continue
+            pid = rows["pid"].to_numpy()
+            last = int(np.searchsorted(pid, pid[-1], "left"))  # the last probe may go on
+            if last:
+                yield _gap_points(rows.slice(0, last))
+            rest = rows.slice(last)
+        if rest is not None and rest.num_rows:
+            yield _gap_points(rest)
+
+    near = _near(probes.select(key, "box", *_PROBE), sides, key).select(*_PROBE, *[F.col(f"f.{c}").alias(c) for c in _ENDS])
+    alone = probes.select(*_PROBE, *[F.lit(float("nan")).alias(c) for c in _ENDS])  # probes without an edge near them
+    return near.unionByName(alone).repartition("pid").sortWithinPartitions("pid").mapInArrow(scan, "pid long, x double, y double")
+
+
+def _probes(lines: DataFrame, key: str, *more: str) -> DataFrame:
+    """Lines and circles stored with a number each and the box in which edges are within reach."""
+    far = F.expr("if(arc, t, 0d)")
+    ends = {"x": ("px", "px + span * ux"), "y": ("py", "py + span * uy")}
+    reach = lambda k, low: F.expr(f"{'least' if low else 'greatest'}({ends[k][0]}, if(arc, {ends[k][0]}, {ends[k][1]}))") - (1 if low else -1) * (F.col("t") + far)
+    box = F.struct(reach("x", True).alias("x0"), reach("y", True).alias("y0"), reach("x", False).alias("x1"), reach("y", False).alias("y1"))
+    return materialize(lines.select(key, *more, *_PROBE[1:], box.alias("box")).withColumn("pid", F.monotonically_increasing_id()))
+
+
+def skeleton(sides: DataFrame, key: str) -> DataFrame:
+    """``key`` and points ``x``, ``y`` (as the edges' places) of the polygons eroded by ``t``: one at least of every part.
+
+    ``sides``: from ``outlines``, with the column ``t``. Polygons run clockwise around their inside, so it is on the right of their edges.
+    """
+    length = F.expr("sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))")
+    at = sides.where("wide >= 2 * t * (1 - 1e-9)").withColumns({"r": _reach(), "span": length})
+    at = materialize(at.withColumns({"ux": F.expr("x2 - x1") / F.col("span"), "uy": F.expr("y2 - y1") / F.col("span")}))
+    lines = at.select(key, F.lit(False).alias("arc"), F.expr("x1 + t * uy").alias("px"), F.expr("y1 - t * ux").alias("py"), "ux", "uy", "span", "t", "r")
+    # corners at which the outline turns left: the inside is wider than half a turn
+    nexts = at.select(key, "ring", F.col("i").alias("after"), F.col("ux").alias("vx"), F.col("uy").alias("vy"))
+    left = at.join(nexts, [key, "ring", "after"]).where("ux * vy - uy * vx > 0 or ux * vy - uy * vx = 0 and ux * vx + uy * vy < 0")
+    corners = left.select(key, F.lit(True).alias("arc"), F.col("x2").alias("px"), F.col("y2").alias("py"), "ux", "uy", F.lit(2 * pi).alias("span"), "t", "r")
+    probes = _probes(lines.unionByName(corners), key)
+    found = materialize(gap_points(probes, at, key).join(probes.select("pid", key), "pid").select(key, "x", "y").distinct())
+    release(probes)
+    # at a sharp corner the end of an edge moved inwards lies outside
+    return inside(found, at, key)
+
+
+def kept(df: DataFrame, key: str, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """(``key``, ``t``; ``key``, ``x``, ``y``), stored: the tolerance, halved until a polygon isn't eroded away, and its skeleton at that.
+
+    Polygons without edges are left out; one that is eroded away after 20 halvings too is an error. Ids are unique.
+    """
+    # halvings that the box alone asks for are taken at once
+    halved = F.greatest(F.lit(0), F.ceil(F.log2(2 * tolerance * (1 - 1e-9) / F.col("wide")))).cast("int")
+    todo = materialize(outlines(df, key).withColumn("k", F.when(F.col("wide") > 0, halved).otherwise(HALVINGS + 1)))
+    told, points = [], []
+    while not todo.isEmpty():
+        if not todo.where(F.col("k") > HALVINGS).isEmpty():
+            raise ValueError("a polygon vanishes at every tolerance")
+        now = todo.withColumn("t", F.lit(tolerance) / F.pow(F.lit(2.0), F.col("k")))
+        whole = now.select(key, "ox", "oy", "t").distinct()
+        found = materialize(skeleton(now, key).join(whole, key).select(key, "t", (F.col("x") + F.col("ox")).alias("x"), (F.col("y") + F.col("oy")).alias("y")))
+        points.append(found.select(key, "x", "y"))
+        told.append(found.select(key, "t").distinct())
+        left = materialize(todo.join(told[-1].select(key), key, "left_anti").withColumn("k", F.col("k") + 1))
+        release(todo)
+        todo = left
+    release(todo)
+    if not told:
+        none = df.sparkSession.range(0).select(F.lit(None).cast(df.schema[key].dataType).alias(key), *[F.lit(0.0).alias(c) for c in "txy"])
+        return none.select(key, "t"), none.select(key, "x", "y")
+    return tuple(reduce(DataFrame.unionByName, tables) for tables in (told, points))
+
+
+def inside(points: DataFrame, sides: DataFrame, key: str) -> DataFrame:
+    """The rows of ``points`` (key, x, y and more) that lie in the area which the edges ``sides`` (key, ends) of their polygon bound.
+
+    An odd number of edges above tells. Edges meet the points over their place by cells of their size class.
+    """
+    wide = sides.where("x1 <> x2").select(key, F.struct(*_ENDS).alias("f"), F.ceil(F.log2(F.expr("abs(x2 - x1)"))).cast("int").alias("size"))
+    classes = sorted(r["size"] for r in wide.select("size").distinct().collect())  # powers of two: few
+    cell = lambda x, k: F.floor(x / F.pow(F.lit(2.0), k))
+    dealt = wide.withColumn("cell", F.explode(F.sequence(cell(F.expr("least(f.x1, f.x2)"), F.col("size")), cell(F.expr("greatest(f.x1, f.x2)"), F.col("size")))))
+    asked = points.withColumn("size", F.explode(F.lit(classes or [0]))).withColumn("cell", cell(F.col("x"), F.col("size")))
+    met = asked.join(dealt, [key, "size", "cell"]).where("(f.x1 > x) <> (f.x2 > x) and f.y1 + (x - f.x1) / (f.x2 - f.x1) * (f.y2 - f.y1) > y")
+    return met.groupBy(*points.columns).count().where("count % 2 = 1").drop("count")
+
+
+def met_skeletons(pairs: DataFrame, points: DataFrame, sides: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    """The pairs (a_id, b_id) of which a point of a's skeleton (a_id, x, y) lies in b, whose edges (b_id, ends, whole places) are ``sides``."""
+    asked = materialize(pairs.join(points, a_id).where("bb.x0 <= x and x <= bb.x1 and bb.y0 <= y and y <= bb.y1").select(a_id, b_id, "x", "y").distinct())
+    on = _on_border(asked, sides, b_id)
+    return inside(asked, sides, b_id).select(a_id, b_id).unionByName(on.select(a_id, b_id)).distinct()
+
+
+def _on_border(points: DataFrame, sides: DataFrame, key: str) -> DataFrame:
+    """The points that lie on an edge, but for rounding: an eroded polygon may be a line on the other's border."""
+    slip = F.expr("1e-9 * (1 + abs(x) + abs(y))")
+    box = F.struct((F.col("x") - slip).alias("x0"), (F.col("y") - slip).alias("y0"), (F.col("x") + slip).alias("x1"), (F.col("y") + slip).alias("y1"))
+    met = _near(points.withColumn("box", box), sides, key)
+    dx, dy = F.expr("f.x2 - f.x1"), F.expr("f.y2 - f.y1")
+    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.expr("x - f.x1") * dx + F.expr("y - f.y1") * dy) / (dx * dx + dy * dy)))
+    gap = [F.col(k) - (F.col(f"f.{k}1") + along * d) for k, d in (("x", dx), ("y", dy))]
+    return met.where(gap[0] * gap[0] + gap[1] * gap[1] <= 1e-24 * (1 + F.abs("x") + F.abs("y")) * (1 + F.abs("x") + F.abs("y")))
+
+
+def met_edges(pairs: DataFrame, sides: DataFrame, others: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    """The pairs (a_id, b_id) of which an edge of b (``others``: b_id, ends, whole places) has a gap in a (``sides``: from outlines, with ``t``)."""
+    origin = sides.groupBy(a_id).agg(*[F.first(c).alias(c) for c in ("ox", "oy", "t", "slip", "wide")]).where("wide >= 2 * t * (1 - 1e-9)").withColumn("r", _reach())
+    lines = pairs.select(a_id, b_id).join(origin, a_id).join(others.select(b_id, F.struct("ring", "i").alias("probe"), *_ENDS), b_id)
+    for c in _ENDS:
+        lines = lines.withColumn(c, F.col(c) - F.col(f"o{c[0]}"))
+    # only edges that reach into a's box less the tolerance; the box of a starts at 0
+    sizes = sides.groupBy(a_id).agg(F.max(F.greatest("x1", "x2")).alias("w"), F.max(F.greatest("y1", "y2")).alias("h"))
+    close = "greatest(x1, x2) >= r and least(x1, x2) <= w - r and greatest(y1, y2) >= r and least(y1, y2) <= h - r"
+    lines = lines.join(sizes, a_id).where(close).withColumn("span", F.expr("sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))"))
+    lines = lines.select(a_id, b_id, F.lit(False).alias("arc"), F.col("x1").alias("px"), F.col("y1").alias("py"), F.expr("(x2 - x1) / span").alias("ux"), F.expr("(y2 - y1) / span").alias("uy"), "span", "t", "r")
+    probes = _probes(lines, a_id, b_id)
+    gaps = gap_points(probes, sides, a_id).join(probes.select("pid", a_id, b_id), "pid").select(a_id, b_id, "x", "y")
+    return inside(gaps.distinct(), sides, a_id).select(a_id, b_id).distinct()
+
+
+def whole_edges(df: DataFrame, key: str) -> DataFrame:
+    """``key``, ``ring``, ``i`` and the ends of every edge that has a length, at their own places."""
+    sides = outlines(df, key)
+    return sides.select(key, "ring", "i", *[(F.col(c) + F.col(f"o{c[0]}")).alias(c) for c in _ENDS])

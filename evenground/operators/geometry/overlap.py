@@ -2,8 +2,12 @@
 
 Every directed edge of a normalized polygon bounds a signed trapezoid down to a common baseline; a polygon is the signed sum of its
 edges' trapezoids. The area of an intersection is therefore the sum, over pairs of edges, of the product of their signs
-times the integral of the lower edge over the shared stretch of x. Plain arithmetic on exploded edges: the sum per pair is
-partial within the task that exploded it, so one row per pair is shuffled.
+times the integral of the lower edge over the shared stretch of x. On longitude and latitude edges are great circles, heights are sines of
+latitudes (equal areas) and the baseline is the equator, so the same sum is the area on the sphere.
+
+Pairs of polygons with few edges sum over their edges where they are. The edges of larger ones are cut at the borders of slabs, about
+one for four edges, and meet in an equi-join on pair and slab: an edge meets those that stand over the same stretch, not all. Slabs
+cut the axis along which fewer edges stand over each other. The sum per pair is partial in every task.
 """
 
 from __future__ import annotations
@@ -11,17 +15,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenground.operators.geometry.shapes import bbox, edges
+from evenground.operators.geometry.shapes import EARTH_RADIUS, arc_box, bbox, edges, lonlat, rings
+from evenground.runtime import materialize
+
+#: Pairs of edges that a pair of polygons compares without slabs, and edges of both that a slab is made for.
+DIRECT_PAIRS, SLAB_EDGES = 1024, 4
 
 
-def boxes(df: DataFrame, key: str, *more: str) -> DataFrame:
-    """``key``, ``box`` and ``more`` of the rows of ``df`` whose geometry has corners."""
-    return df.select(F.col(key), bbox(F.col("geometry")).alias("box"), *more).where("box.x0 is not null")
+def boxes(df: DataFrame, key: str, *more: str | Column) -> DataFrame:
+    """``key``, ``box`` and ``more`` of the rows of ``df`` whose geometry has corners; great circles may reach beyond their corners."""
+    box = F.when(lonlat(F.col("geometry")), arc_box(F.col("geometry"))).otherwise(bbox(F.col("geometry")))
+    return df.select(F.col(key), box.alias("box"), *more).where("box.x0 is not null")
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float | None = None) -> DataFrame:
+def candidate_pairs(a: DataFrame, b: DataFrame, cell: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of rows of ``a`` and ``b`` (from ``boxes``) whose boxes meet, each once: both sides' columns, box as ``ba`` and ``bb``.
 
+    ``by``: columns of both, not NULL, that are equal in a pair.
+
     Boxes have size classes, powers of two (``cell``: none under this size). A box lies in at most four square cells of its class's
     side, and in as few of any larger class that the other table has. Two boxes meet in the cells of the larger of their classes: once
     ``a``'s own cells are joined with those of ``b``'s boxes that are no larger, once the other way round. So a large box among
@@ -49,8 +60,8 @@ def candidate_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: floa
         return at.withColumn("cx", F.explode(cells["x"])).withColumn("cy", F.explode(cells["y"])).drop("size")
 
     met = [
-        dealt(left, "ba", None).join(dealt(right, "bb", sorted({*classes[0], least}), True), ["class", "cx", "cy"]),
-        dealt(left, "ba", sorted({*classes[1], least})).join(dealt(right, "bb", None), ["class", "cx", "cy"]),
+        dealt(left, "ba", None).join(dealt(right, "bb", sorted({*classes[0], least}), True), [*by, "class", "cx", "cy"]),
+        dealt(left, "ba", sorted({*classes[1], least})).join(dealt(right, "bb", None), [*by, "class", "cx", "cy"]),
     ]
     both = met[0].unionByName(met[1])
     share = [(F.col(f"ba.{k}0") <= F.col(f"bb.{k}1")) & (F.col(f"bb.{k}0") <= F.col(f"ba.{k}1")) for k in "xy"]
@@ -58,31 +69,49 @@ def candidate_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: floa
     return both.where(share[0] & share[1] & own[0] & own[1]).drop("class", "cx", "cy")
 
 
-def _integral_of_lower() -> Column:
-    """Integral of min(e, f) - base over the stretch of x that edges e and f share."""
-    left = F.greatest(F.least("e.x1", "e.x2"), F.least("f.x1", "f.x2"))
-    right = F.least(F.greatest("e.x1", "e.x2"), F.greatest("f.x1", "f.x2"))
+def _height(edge: str, x: str) -> Column:
+    """Height of an edge over x: y less the baseline, or on the sphere the tangent of the great circle's latitude."""
+    share = f"({x} - {edge}.x1) / nullif({edge}.x2 - {edge}.x1, 0d)"
+    arc = f"(tan(radians({edge}.y1)) * sin(radians({edge}.x2 - {x})) + tan(radians({edge}.y2)) * sin(radians({x} - {edge}.x1))) / nullif(sin(radians({edge}.x2 - {edge}.x1)), 0d)"
+    return F.expr(f"if(sphere, {arc}, {edge}.y1 + {share} * ({edge}.y2 - {edge}.y1) - base)")
 
-    def height(edge: str, x: Column) -> Column:
-        part = (x - F.col(f"{edge}.x1")) / F.when(F.col(f"{edge}.x2") != F.col(f"{edge}.x1"), F.col(f"{edge}.x2") - F.col(f"{edge}.x1"))
-        return F.col(f"{edge}.y1") + part * (F.col(f"{edge}.y2") - F.col(f"{edge}.y1")) - F.col("base")
 
-    width = right - left
-    heights = [height(edge, x) for edge in "ef" for x in (left, right)]
-    gap = [heights[0] - heights[2], heights[1] - heights[3]]
-    crossed = F.when(gap[0] * gap[1] < 0, (gap[0] * gap[0] + gap[1] * gap[1]) / (2 * (F.abs(gap[0]) + F.abs(gap[1])))).otherwise((F.abs(gap[0]) + F.abs(gap[1])) / 2)
-    total = (heights[0] + heights[1] + heights[2] + heights[3]) / 2
-    sign = F.signum(F.expr("e.x2 - e.x1")) * F.signum(F.expr("f.x2 - f.x1"))
-    return F.when(width > 0, sign * width * (total - crossed) / 2).otherwise(F.lit(0.0))
+def _under_arc(one: str, two: str, width: str) -> str:
+    """Integral of sin(latitude) under an arc ``width`` (radians) long, by the tangents of the latitudes at its ends."""
+    half = [f"({t} / (1 + sqrt(1 + {t} * {t})))" for t in (one, two)]
+    return f"2 * atan2(tan(({width}) / 2) * ({half[0]} + {half[1]}), 1 + {half[0]} * {half[1]})"
 
 
-def _touch() -> Column:
-    """Whether edges e and f share a point."""
-    turn = lambda p, q: F.expr(f"signum(({p}.x2 - {p}.x1) * ({q[1]} - {p}.y1) - ({p}.y2 - {p}.y1) * ({q[0]} - {p}.x1))")
-    f1, f2 = ("f.x1", "f.y1"), ("f.x2", "f.y2")
-    e1, e2 = ("e.x1", "e.y1"), ("e.x2", "e.y2")
-    boxes = F.expr("greatest(f.y1, f.y2) >= least(e.y1, e.y2) and greatest(e.y1, e.y2) >= least(f.y1, f.y2)")
-    return boxes & (turn("e", f1) * turn("e", f2) <= 0) & (turn("f", e1) * turn("f", e2) <= 0)
+def _side(edge: str, x: str, y: str) -> str:
+    """On which side of an edge's line, or of its great circle's plane, a point lies."""
+    flat = f"({edge}.x2 - {edge}.x1) * ({y} - {edge}.y1) - ({edge}.y2 - {edge}.y1) * ({x} - {edge}.x1)"
+    arc = f"tan(radians({edge}.y1)) * sin(radians({x} - {edge}.x2)) + tan(radians({edge}.y2)) * sin(radians({edge}.x1 - {x})) + tan(radians({y})) * sin(radians({edge}.x2 - {edge}.x1))"
+    return f"signum(if(sphere, {arc}, {flat}))"
+
+
+def _compared(met: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``sphere``, ``part`` (signed area under the lower of edges e and f between low and high), ``touch`` (whether they share a point).
+
+    Step by step, so that no step repeats another's terms.
+    """
+    left, right = "greatest(least(e.x1, e.x2), least(f.x1, f.x2), low)", "least(greatest(e.x1, e.x2), greatest(f.x1, f.x2), high)"
+    steps = met.select(*keys, "sphere", "base", "e", "f", F.expr(left).alias("left"), F.expr(right).alias("right"))
+    sides = {"f1": _side("e", "f.x1", "f.y1"), "f2": _side("e", "f.x2", "f.y2"), "e1": _side("f", "e.x1", "e.y1"), "e2": _side("f", "e.x2", "e.y2")}
+    steps = steps.withColumns({n: F.expr(x) for n, x in sides.items()} | {f"{edge}_{x}": _height(edge, x) for edge in "ef" for x in ("left", "right")})
+    boxes = "(greatest(f.y1, f.y2) >= least(e.y1, e.y2) and greatest(e.y1, e.y2) >= least(f.y1, f.y2) or sphere and (e.x1 <> e.x2 or f.x1 <> f.x2))"
+    touch = F.expr(f"{boxes} and f1 * f2 <= 0 and e1 * e2 <= 0").alias("touch")
+    sign = F.expr("if(right > left, signum(e.x2 - e.x1) * signum(f.x2 - f.x1), 0d)").alias("sign")
+    steps = steps.select(*keys, "sphere", "e", "left", "right", touch, sign, F.expr("e_left - f_left").alias("g"), F.expr("e_right - f_right").alias("h"), F.expr("least(e_left, f_left)").alias("one"), F.expr("least(e_right, f_right)").alias("two"))
+    # where the edges cross: as far from the left as their gaps there and on the right say
+    till = "if(sphere, atan2(abs(g) * sin(radians(right - left)), abs(g) * cos(radians(right - left)) + abs(h)), (right - left) * abs(g) / nullif(abs(g) + abs(h), 0d))"
+    steps = steps.withColumn("till", F.expr(f"if(sign <> 0 and g * h < 0, {till}, null)"))
+    at = "if(sphere, (tan(radians(e.y1)) * sin(radians(e.x2 - left) - till) + tan(radians(e.y2)) * sin(radians(left - e.x1) + till)) / nullif(sin(radians(e.x2 - e.x1)), 0d), null)"
+    steps = steps.withColumns({"at": F.expr(at), "width": F.expr("if(sphere, radians(right - left), right - left)")})
+    arcs = f"if(till is null, {_under_arc('one', 'two', 'width')}, {_under_arc('one', 'at', 'till')} + {_under_arc('at', 'two', 'width - till')})"
+    # of edges on the plane the higher one takes off, from the mean of both, half the gap on the whole
+    gaps = "if(till is null, (abs(g) + abs(h)) / 2, (g * g + h * h) / (2 * (abs(g) + abs(h))))"
+    flat = f"width * ((2 * one + abs(g) + 2 * two + abs(h)) / 2 - {gaps}) / 2"
+    return steps.select(*keys, "sphere", "touch", F.expr(f"if(sign = 0, 0d, sign * if(sphere, {arcs}, {flat}))").alias("part"))
 
 
 def with_geometries(pairs: DataFrame, a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
@@ -91,16 +120,71 @@ def with_geometries(pairs: DataFrame, a: DataFrame, b: DataFrame, a_id: str, b_i
     return pairs.join(left, a_id).join(right, b_id)
 
 
-def overlaps(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float | None = None) -> DataFrame:
+def _facing(geometry: str, low: str, high: str, axis: str) -> Column:
+    """A geometry's edges over a stretch of an axis."""
+    return F.filter(edges(F.col(geometry)), lambda e: (F.greatest(e[f"{axis}1"], e[f"{axis}2"]) >= F.col(low)) & (F.least(e[f"{axis}1"], e[f"{axis}2"]) <= F.col(high)))
+
+
+def _stacked(name: str, low: str, high: str, axis: str) -> Column:
+    """How many edges stand over each other on average along a stretch, times its length."""
+    part = lambda e: F.least(F.greatest(e[f"{axis}1"], e[f"{axis}2"]), F.col(high)) - F.greatest(F.least(e[f"{axis}1"], e[f"{axis}2"]), F.col(low))
+    return F.aggregate(F.col(name), F.lit(0.0), lambda total, e: total + F.greatest(part(e), F.lit(0.0)))
+
+
+def _turned(name: str) -> Column:
+    """Edges with x and y exchanged."""
+    return F.transform(F.col(name), lambda e: F.struct(e["y1"].alias("x1"), e["x1"].alias("y1"), e["y2"].alias("x2"), e["x2"].alias("y2")))
+
+
+def _in_slabs(based: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    """Pairs of edges of large polygons: those that stand in one slab."""
+    upright = based.withColumns({"ey": _facing("ga", "y0", "y1", "y"), "fy": _facing("gb", "y0", "y1", "y")})
+    wide, high = (F.greatest(F.col(f"{k}1") - F.col(f"{k}0"), F.lit(1e-300)) for k in "xy")
+    stacks = [(_stacked(e, f"{k}0", f"{k}1", k) + _stacked(f, f"{k}0", f"{k}1", k)) / size for e, f, k, size in (("es", "fs", "x", wide), ("ey", "fy", "y", high))]
+    told = upright.withColumn("turn", ~F.col("sphere") & (stacks[1] < stacks[0]))
+    sides = {"es": F.when(F.col("turn"), _turned("ey")).otherwise(F.col("es")), "fs": F.when(F.col("turn"), _turned("fy")).otherwise(F.col("fs"))}
+    place = {"from": F.expr("if(turn, y0, x0)"), "till": F.expr("if(turn, y1, x1)"), "base": F.expr("if(turn, least(ba.x0, bb.x0), base)")}
+    sized = told.select(a_id, b_id, "sphere", *[c.alias(n) for n, c in (sides | place).items()])
+    slabs = F.ceil((F.size("es") + F.size("fs")) / SLAB_EDGES)
+    # a stretch of no width is one slab
+    cut = materialize(sized.withColumn("slabs", F.when(F.col("till") > F.col("from"), slabs).otherwise(F.lit(1).cast("long"))))
+    width = F.expr("if(slabs > 1, (till - from) / slabs, 1d)")
+
+    def dealt(name: str, edge: str) -> DataFrame:
+        one = cut.select(a_id, b_id, "sphere", "base", "from", "till", "slabs", width.alias("width"), F.explode(name).alias(edge))
+        at = lambda x: F.expr(f"least(greatest(floor(({x} - from) / width), 0), slabs - 1)")
+        slab = F.explode(F.sequence(at(f"least({edge}.x1, {edge}.x2)"), at(f"greatest({edge}.x1, {edge}.x2)")))
+        return one.withColumn("slab", slab)
+
+    left = dealt("es", "e").withColumns({"low": F.expr("if(slab = 0, from, from + slab * width)"), "high": F.expr("if(slab = slabs - 1, till, from + (slab + 1) * width)")})
+    return left.select(a_id, b_id, "slab", "sphere", "base", "low", "high", "e").join(dealt("fs", "f").select(a_id, b_id, "slab", "f"), [a_id, b_id, "slab"])
+
+
+def overlaps(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float | None = None, direct: int = DIRECT_PAIRS) -> DataFrame:
     """``a_id``, ``b_id``, ``overlap`` (area, at least 0) of all pairs of polygons that share area or touch; ids are unique.
 
-    Pairs are found by their boxes alone; the geometries join those. Of either only the edges over the shared stretch of x are taken.
+    Both tables are of one reference system (see crs.reconciled); on longitude and latitude the area is in square metres on the sphere.
+    Pairs are found by their boxes alone; the geometries join those. Of either only the edges over the shared stretch are taken.
+    ``direct``: the pairs of edges up to which two polygons are compared without slabs.
     """
-    pairs = candidate_pairs(boxes(a, a_id), boxes(b, b_id), a_id, b_id, cell)
-    based = with_geometries(pairs, a, b, a_id, b_id).withColumns({"base": F.least("ba.y0", "bb.y0"), "x0": F.greatest("ba.x0", "bb.x0"), "x1": F.least("ba.x1", "bb.x1")})
-    inside = lambda g: F.filter(edges(F.col(g)), lambda e: (F.greatest(e["x1"], e["x2"]) >= F.col("x0")) & (F.least(e["x1"], e["x2"]) <= F.col("x1")))
-    one = based.select(a_id, b_id, "base", F.explode(inside("ga")).alias("e"), inside("gb").alias("fs"))
-    two = one.select(a_id, b_id, "base", "e", F.explode("fs").alias("f"))
-    shared = two.where("greatest(e.x1, e.x2) >= least(f.x1, f.x2) and greatest(f.x1, f.x2) >= least(e.x1, e.x2)")
-    summed = shared.groupBy(a_id, b_id).agg(F.sum(_integral_of_lower()).alias("overlap"), F.bool_or(_touch()).alias("touch"))
-    return summed.withColumn("overlap", F.greatest("overlap", F.lit(0.0))).where("touch or overlap > 1e-12").drop("touch")
+    # what makes the geometries may be long: it is done once
+    a, b = (materialize(df.select(key, "geometry")) for df, key in ((a, a_id), (b, b_id)))
+    corners = F.size(F.flatten(rings(F.col("geometry")))).cast("long").alias("corners")
+    told = [materialize(boxes(df, key, corners)) for df, key in ((a, a_id), (b, b_id))]
+    pairs = candidate_pairs(*[t.drop("corners") for t in told], cell)
+    shared = {f"{k}{i}": (F.greatest if i == 0 else F.least)(f"ba.{k}{i}", f"bb.{k}{i}") for k in "xy" for i in (0, 1)}
+    sphere = lonlat(F.col("ga"))
+    based = with_geometries(pairs, a, b, a_id, b_id).withColumns({**shared, "sphere": sphere, "base": F.least("ba.y0", "bb.y0")})
+    based = based.withColumns({"es": _facing("ga", "x0", "x1", "x"), "fs": _facing("gb", "x0", "x1", "x")})
+    few = F.size("es").cast("long") * F.size("fs") <= direct
+    small = based.where(few).select(a_id, b_id, "sphere", "base", F.col("x0").alias("low"), F.col("x1").alias("high"), F.explode("es").alias("e"), "fs")
+    met = small.select(a_id, b_id, "sphere", "base", "low", "high", "e", F.explode("fs").alias("f"))
+    most = [t.agg(F.max("corners")).first()[0] or 0 for t in told]
+    if most[0] * most[1] > direct:
+        met = met.unionByName(_in_slabs(based.where(~few), a_id, b_id).select(met.columns))
+    met = _compared(met.where("greatest(e.x1, e.x2) >= least(f.x1, f.x2) and greatest(f.x1, f.x2) >= least(e.x1, e.x2)"), [a_id, b_id])
+    summed = met.groupBy(a_id, b_id).agg(F.sum("part").alias("sum"), F.sum(F.abs("part")).alias("gross"), F.bool_or("touch").alias("touch"), F.first("sphere").alias("sphere"))
+    # what is left of terms that cancel is no area
+    told = summed.where(F.col("touch") | (F.col("sum") > 1e-12 * F.greatest("gross", F.lit(1e-300))))
+    scale = F.when(F.col("sphere"), F.lit(EARTH_RADIUS**2)).otherwise(F.lit(1.0))
+    return told.select(a_id, b_id, (F.greatest("sum", F.lit(0.0)) * scale).alias("overlap"))

@@ -7,8 +7,8 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: EPSG number of longitude and latitude, and the radius in metres that areas on the sphere are taken with.
-LONLAT, EARTH_RADIUS = 4326, 6371010.0
+#: EPSG numbers of longitude and latitude, and the radius in metres that areas on the sphere are taken with.
+LONLATS, EARTH_RADIUS = (4326, 4269), 6371010.0
 TYPE = "struct<srid:int,polygons:array<array<array<struct<x:double,y:double>>>>>"
 
 
@@ -33,6 +33,11 @@ def circle(x: Column, y: Column, radius: Column | float, sides: int = 64, srid:
     return normalized(F.struct(F.lit(srid).alias("srid"), F.array(F.array(turn)).alias("polygons")))
 
 
+def lonlat(geometry: Column) -> Column:
+    """Whether a geometry is of longitude and latitude; false for NULL."""
+    return F.coalesce(geometry["srid"].isin(*LONLATS), F.lit(False))
+
+
 def _ring_area(ring: Column) -> Column:
     """Positive for clockwise rings; relative to the first point, for precision far from the origin."""
     first = F.get(ring, F.lit(0))
@@ -82,7 +87,7 @@ def _excess(ring: Column) -> Column:
 def area(geometry: Column) -> Column:
     """Area of a normalized geometry, holes negative: in the plane, or for longitude and latitude (EPSG 4326) in square metres on the sphere."""
     sphere = F.aggregate(rings(geometry), F.lit(0.0), lambda total, ring: total + _excess(ring)) * EARTH_RADIUS**2
-    return F.when(geometry["srid"] == LONLAT, sphere).otherwise(planar_area(geometry))
+    return F.when(lonlat(geometry), sphere).otherwise(planar_area(geometry))
 
 
 def from_flat(polygons: Column, srid: Column) -> Column:
@@ -100,10 +105,11 @@ def sound(geometry: Column) -> Column:
     return F.when(geometry.isNotNull(), F.struct(geometry["srid"].alias("srid"), F.transform(kept, lambda p: F.filter(p, good)).alias("polygons")))
 
 
-def clip(geometry: Column, mask: Column) -> Column:
+def clip_convex(geometry: Column, mask: Column) -> Column:
     """What of a geometry lies in a convex mask (one ring, such as a box or a circle), ring by ring and edge by edge of the mask.
 
-    A part that the mask cuts in several pieces stays one ring that runs along the mask's border between them; its area is right.
+    A part that the mask cuts in several pieces stays one ring that runs along the mask's border between them; its area is right. A mask
+    that isn't convex is an error: see overlay.clipped for any mask.
     """
     turn = lambda e, p: (e["x2"] - e["x1"]) * (p["y"] - e["y1"]) - (e["y2"] - e["y1"]) * (p["x"] - e["x1"])
 
@@ -122,7 +128,11 @@ def clip(geometry: Column, mask: Column) -> Column:
 
     ring = lambda r: F.aggregate(edges(mask), r, cut)
     polygons = F.filter(F.transform(geometry["polygons"], lambda p: F.filter(F.transform(p, ring), lambda r: F.size(r) >= 4)), lambda p: F.size(p) > 0)
-    return F.when(geometry.isNotNull() & mask.isNotNull(), F.struct(geometry["srid"].alias("srid"), polygons.alias("polygons")))
+    corners = F.slice(F.flatten(rings(mask)), 1, F.greatest(F.size(F.flatten(rings(mask))) - 1, F.lit(0)))
+    convex = (F.size(rings(mask)) == 1) & F.forall(edges(mask), lambda e: F.forall(corners, lambda p: turn(e, p) <= 1e-9 * (F.abs(e["x2"] - e["x1"]) + F.abs(e["y2"] - e["y1"])) * (F.abs(p["x"]) + F.abs(p["y"]))))
+    cut_out = F.struct(geometry["srid"].alias("srid"), polygons.alias("polygons"))
+    told = F.when(convex, cut_out).otherwise(F.raise_error("the mask isn't convex").cast(TYPE))
+    return F.when(geometry.isNotNull() & mask.isNotNull(), told)
 
 
 def _extent(geometry: Column, axis: str) -> Column:
@@ -135,6 +145,24 @@ def bbox(geometry: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def arc_box(geometry: Column) -> Column:
+    """bbox of a geometry of longitude and latitude whose edges are great circles: these reach beyond their ends' latitudes."""
+
+    def peaks(e: Column) -> Column:
+        turned = e["x2"] < e["x1"]
+        at = lambda name, other: F.when(turned, e[other]).otherwise(e[name])
+        width = F.radians(F.abs(e["x2"] - e["x1"]))
+        one, two = F.tan(F.radians(at("y1", "y2"))), F.tan(F.radians(at("y2", "y1")))
+        side = (two - one * F.cos(width)) / F.when(F.sin(width) != 0, F.sin(width))
+        top, low = F.atan2(side, one), F.atan2(-side, -one)
+        most = F.degrees(F.atan(F.sqrt(one * one + side * side)))
+        return F.array(F.when((top > 0) & (top < width), most), F.when((low > 0) & (low < width), -most))
+
+    flat, ys = bbox(geometry), F.flatten(F.transform(edges(geometry), peaks))
+    # least and greatest pass over NULL
+    return F.struct(flat["x0"].alias("x0"), F.least(flat["y0"], F.array_min(ys)).alias("y0"), flat["x1"].alias("x1"), F.greatest(flat["y1"], F.array_max(ys)).alias("y1"))
+
+
 def edges(geometry: Column) -> Column:
     """Directed edges: array of struct(x1, y1, x2, y2)."""
     n = lambda ring: F.greatest(F.size(ring) - 1, F.lit(0))
@@ -142,7 +170,13 @@ def edges(geometry: Column) -> Column:
     return F.flatten(F.transform(rings(geometry), lambda ring: F.zip_with(F.slice(ring, 1, n(ring)), F.slice(ring, 2, n(ring)), edge)))
 
 
-def is_sound(geometry: Column) -> Column:
-    """True for a geometry of at least one ring, every ring closed, of four points or more and of some area."""
-    good = F.forall(rings(geometry), lambda r: (F.size(r) >= 4) & (F.get(r, F.lit(0)) == F.element_at(r, -1)) & (_ring_area(r) != 0))
+def _folds(ring: Column) -> Column:
+    """Whether a ring has corners off the line through its first two: a bow tie's lobes may cancel, but aren't of no area."""
+    p, q = F.get(ring, F.lit(0)), F.get(ring, F.lit(1))
+    return F.exists(ring, lambda r: (q["x"] - p["x"]) * (r["y"] - p["y"]) != (q["y"] - p["y"]) * (r["x"] - p["x"]))
+
+
+def has_sound_rings(geometry: Column) -> Column:
+    """True for a geometry of at least one ring, every ring closed, of four points or more and of some area; whether rings cross is overlay.with_soundness's matter."""
+    good = F.forall(rings(geometry), lambda r: (F.size(r) >= 4) & (F.get(r, F.lit(0)) == F.element_at(r, -1)) & ((_ring_area(r) != 0) | _folds(r)))
     return F.coalesce(geometry.isNotNull() & (F.size(rings(geometry)) > 0) & good, F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evenground.functions.semantics import annual_rate
 from evenground.operators import aggregate, correspondence, estimate, reaggregate, reshape
 from evenground.operators.geometry import crs, dissolve, shapes
-from evenground.plans import catalogue_sources, meta
+from evenground.plans import catalogue_geometry, catalogue_sources, meta
 from evenground.plans.meta import Variable
 from evenground.runtime import read_table
 from evenground.sources import census_us, elections
@@ -30,11 +30,11 @@ def _query(sql: str) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | catalogue_sources.QUERIES
+    return _QUERIES | catalogue_sources.QUERIES | catalogue_geometry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | catalogue_sources.SQL
+    return _SQL | catalogue_sources.SQL | catalogue_geometry.SQL
 
 
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:
@@ -49,12 +49,12 @@ def _text(expression: str) -> Column:
 
 
 @_query(
-    """SELECT * FROM (VALUES ('pop', 'people', 'CA16', 'Manual', 'Additive', 'Additive'), ('hh', 'hh_CA16', 'CA16', 'Manual', 'Additive', 'Additive'))
-    t(variable, label, dataset, type, aggregation, rule)"""
+    """SELECT n_name AS variable, CASE WHEN n_nationkey % 2 = 0 THEN 'label ' || CAST(n_nationkey AS varchar) ELSE n_name || '_CA' || CAST(n_regionkey AS varchar) END AS label, 'CA' || CAST(n_regionkey AS varchar) AS dataset,
+    'Manual' AS type, 'Additive' AS aggregation, 'Additive' AS rule FROM nation"""
 )
 def meta_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = meta.meta_for_additive_variables("CA16", {"people": "pop"}) + meta.meta_for_additive_variables("CA16", ["hh"])
-    return meta.meta_to_df(spark, made).select("variable", "label", "dataset", "type", "aggregation", "rule")
+    named = read_table(spark, sf_dir, "nation").withColumns({"variable": F.col("n_name"), "label": F.expr("if(n_nationkey % 2 = 0, concat('label ', n_nationkey), '')")})
+    return meta.additive_columns(named, F.expr("concat('CA', n_regionkey)"))
 
 
 _TEXTS = "CASE r_regionkey % 5 WHEN 0 THEN 'Average of v_{k}' WHEN 1 THEN 'Median of v_{k}' WHEN 2 THEN 'Additive' WHEN 3 THEN 'Average to v_{k}' ELSE 'Not additive' END".replace(
@@ -439,7 +439,7 @@ def geo_correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.expr("(s_suppkey % 10) * 10.0D"), F.expr("(s_suppkey div 10) * 10.0D")
     a = s.select(_text("s_suppkey").alias("a"), shapes.rectangle(x, y, x + 10, y + 10).alias("geometry"))
     bx, by = F.expr("(s_suppkey % 10 div 2) * 20.0D + 0.2D"), y + 0.2
-    b = s.where("s_suppkey % 2 = 0").select(_text("s_suppkey div 2").alias("b"), shapes.rectangle(bx, by, bx + 20, by + 10).alias("geometry"))
+    b = s.select(_text("s_suppkey div 2").alias("b"), shapes.rectangle(bx, by, bx + 20, by + 10).alias("geometry")).dropDuplicates(["b"])
     done = estimate.estimate_correspondence({"one": a, "two": b}, {"one": "a", "two": "b"}, tolerance=1.0)
     return done.select("a", "b", "method", "common_id")
 

@@ -5,7 +5,6 @@ Files that a source reads are written first, from the tables of the session, to
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Callable, Iterator
 
@@ -20,7 +19,7 @@ from evenground.plans import meta, pipelines
 from evenground.plans.meta import Variable
 from evenground.runtime import new_folder, read_table
 from evenground.sources import census_ca, census_us, elections, examples, geometries
-from evenground.sources.provider import CACHE_SETTING, CACHE_VARIABLE, OLDER_SETTING, FolderProvider, cache_folder, intersecting_regions
+from evenground.sources.provider import FolderProvider, intersecting_regions, preferred
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,8 +201,7 @@ def ca_census_estimate_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT DISTINCT 'c' || CAST(s_suppkey // 4 AS varchar) AS region FROM supplier WHERE s_suppkey // 100 = 0")
 def region_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = spark.range(1).select(shapes.rectangle(F.lit(0.5), F.lit(0.25), F.lit(99.5), F.lit(0.75)).alias("geometry"))
-    found = intersecting_regions(_census(spark, sf_dir), "CA11", "CT", target)
-    return spark.createDataFrame([(x,) for x in found], "region string")
+    return intersecting_regions(_census(spark, sf_dir), "CA11", "CT", target)
 
 
 # --- United States ---
@@ -213,10 +211,19 @@ def _states(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("AA", "0"), ("AA", "0"), ("BB", "1"), ("CC", "2")], "state string, state_code string")
 
 
-@_query("SELECT * FROM (VALUES ('0', 'AA', '0', 'r/aa0trf.txt'), ('BB', 'BB', '1', 'r/bb1trf.txt'), ('CC', 'CC', '2', 'r/cc2trf.txt')) t(asked, state, state_code, path)")
+@_query(
+    """WITH n AS (SELECT UPPER(n_name[1:4]) || CAST(n_nationkey AS varchar) AS state, LPAD(CAST(n_nationkey AS varchar), 2, '0') AS state_code, n_nationkey FROM nation),
+    a AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN state ELSE state_code END AS asked, state, state_code FROM customer JOIN n ON n_nationkey = c_nationkey WHERE c_custkey % 7 <> 0)
+    SELECT c_custkey, asked, state, state_code, 'r/' || LOWER(state) || state_code || 'trf.txt' AS path FROM a"""
+)
 def us_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [(x, *census_us.state_of(_states(spark), x)) for x in ("0", "BB", "CC")]
-    return spark.createDataFrame([(*x, census_us.tract_path("r", x[1:], "2010")) for x in found], "asked string, state string, state_code string, path string")
+    """States asked for by either name, some of them unknown, and where their files lie."""
+    nation = read_table(spark, sf_dir, "nation")
+    named = nation.select("n_nationkey", F.expr("concat(upper(substring(n_name, 1, 4)), n_nationkey)").alias("state"), F.expr("lpad(cast(n_nationkey as string), 2, '0')").alias("state_code"))
+    customers = read_table(spark, sf_dir, "customer").join(named, F.col("c_nationkey") == F.col("n_nationkey"))
+    asked = customers.select("c_custkey", F.expr("case when c_custkey % 7 = 0 then 'nowhere' when c_custkey % 2 = 0 then state else state_code end").alias("asked"))
+    found = census_us.states_of(asked, named.union(named))
+    return found.select("c_custkey", "asked", "state", "state_code", census_us.tract_path_column("r", "2010").alias("path"))
 
 
 def _tract_file(spark: SparkSession, sf_dir: str, state: str | None = None) -> str:
@@ -267,53 +274,66 @@ def us_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DATASETS = [{"dataset": d, "description": f"{y} Canada Census", "geo_dataset": d} for d, y in (("CA06", 2006), ("CA11", 2011), ("CA16", 2016))] + [{"dataset": "TX2016", "description": "Taxes", "geo_dataset": "CA16"}]
-_VECTORS = [{"vector": "v_CA16_1", "aggregation": "Average of v_CA16_9", "units": "Number"}, {"vector": "v_CA11F_2", "aggregation": "Additive", "units": "Number"}]
 
 
 @_query(
-    """SELECT * FROM (VALUES ('2006', 'CA06', 2006), ('CA16', 'CA16', 2016), ('CA1996', 'CA1996', 1996), ('2021', 'CA21', 2021)) t(asked, dataset, year)"""
+    """WITH a AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CAST(2001 + 5 * (c_custkey % 5) AS varchar) WHEN 1 THEN 'CA16' WHEN 2 THEN 'CA1996' ELSE 'TX' || CAST(c_custkey % 100 AS varchar) END AS asked FROM customer)
+    SELECT c_custkey, asked, CASE WHEN c_custkey % 4 = 0 THEN 'CA' || asked[3:4] ELSE asked END AS dataset,
+        CAST(CASE c_custkey % 4 WHEN 0 THEN asked WHEN 1 THEN '2016' WHEN 2 THEN '1996' ELSE CAST(2000 + c_custkey % 100 AS varchar) END AS integer) AS year FROM a"""
 )
 def meta_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = ["2006", "CA16", "CA1996", "2021"]
-    return spark.createDataFrame([(a, n, meta.year_of(n)) for a, n in zip(asked, meta.normalize_datasets(asked), strict=True)], "asked string, dataset string, year int")
+    """Names of datasets from census years, and the years in the names."""
+    text = "case c_custkey % 4 when 0 then cast(2001 + 5 * (c_custkey % 5) as string) when 1 then 'CA16' when 2 then 'CA1996' else concat('TX', c_custkey % 100) end"
+    asked = read_table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("asked")).withColumn("dataset", meta.dataset_column(F.col("asked")))
+    return asked.withColumn("year", meta.years_column(F.col("dataset")))
+
+
+_DATASET_SQL = "(VALUES ('CA06', 2006, 'CA06'), ('CA11', 2011, 'CA11'), ('CA16', 2016, 'CA16'), ('CA11F', 2011, 'CA11')) d(dataset, year, geo_dataset)"
 
 
 @_query(
-    """SELECT * FROM (VALUES ('v_CA16_1', 'income', 'CA16', 'Original', 'Average', 'v_CA16_9', 'CA16', 2016), ('v_CA11F_2', 'v_CA11F_2', 'CA11F', 'Original', 'Additive', NULL, 'CA11', 2011),
-    ('v_2006_3', 'other', 'CA06', 'Original', '0', NULL, 'CA06', 2006), ('v_CA16_9', 'v_CA16_9', 'CA16', 'Extra', 'Additive', NULL, 'CA16', 2016)) t(variable, label, dataset, type, rule, parent, geo_dataset, year)"""
+    f"""WITH v AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'CA16' WHEN 1 THEN 'CA11F' ELSE 'CA06' END AS dataset, CASE p_partkey % 3 WHEN 0 THEN 'v_CA16_' WHEN 1 THEN 'v_CA11F_' ELSE 'v_2006_' END AS stem FROM part),
+    o AS (SELECT stem || CAST(p_partkey AS varchar) AS variable, CASE WHEN p_partkey % 2 = 0 THEN 'label ' || CAST(p_partkey AS varchar) ELSE stem || CAST(p_partkey AS varchar) END AS label, dataset, 'Original' AS type,
+        CASE p_partkey % 5 WHEN 0 THEN 'Average' WHEN 1 THEN 'Additive' WHEN 2 THEN 'Median' WHEN 3 THEN 'Not additive' ELSE '0' END AS rule, CASE WHEN p_partkey % 5 IN (0, 2) THEN stem || 'base' || CAST(p_partkey % 7 AS varchar) END AS parent FROM v),
+    e AS (SELECT DISTINCT parent AS variable, parent AS label, dataset, 'Extra' AS type, 'Additive' AS rule, CAST(NULL AS varchar) AS parent FROM o WHERE parent IS NOT NULL)
+    SELECT variable, label, dataset, type, rule, parent, geo_dataset, year FROM (SELECT * FROM o UNION ALL SELECT * FROM e) JOIN {_DATASET_SQL} USING (dataset)"""
 )
 def meta_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules and parents from aggregation texts, extras for parents, datasets and geographies from the catalog."""
-    made = meta.meta_for_census_vectors({"income": "v_CA16_1", "": "v_CA11F_2", "other": "v_2006_3"}, _VECTORS, _DATASETS)
-    return meta.meta_to_df(spark, made).select("variable", "label", "dataset", "type", "rule", "parent", "geo_dataset", "year")
+    """Rules and parents from aggregation texts, extras for parents, datasets and geographies from the catalog, for a vector per part."""
+    stem = "case p_partkey % 3 when 0 then 'v_CA16_' when 1 then 'v_CA11F_' else 'v_2006_' end"
+    vectors = read_table(spark, sf_dir, "part").select("p_partkey", F.expr(f"concat({stem}, p_partkey)").alias("variable"), F.expr("if(p_partkey % 2 = 0, concat('label ', p_partkey), '')").alias("label"), F.expr(stem).alias("stem"))
+    text = "case p_partkey % 5 when 0 then concat('Average of ', stem, 'base', p_partkey % 7) when 1 then 'Additive' when 2 then concat('Median of ', stem, 'base', p_partkey % 7) when 3 then 'Not additive' end"
+    catalog = vectors.select(F.col("variable").alias("vector"), F.expr(text).alias("aggregation")).where("aggregation is not null")
+    datasets = spark.createDataFrame([tuple(d.values()) for d in _DATASETS], "dataset string, description string, geo_dataset string")
+    made = meta.vector_columns(vectors, catalog, datasets)
+    return made.select("variable", "label", "dataset", "type", "rule", "parent", "geo_dataset", "year")
 
 
 @_query(
-    """SELECT * FROM (VALUES ('Population', 'people', 'CA16'), ('Dwellings', 'Dwellings_CA16', 'CA16'), ('Households', 'Households_CA16', 'CA16'), ('v', 'v_CA11', 'CA11'),
-    ('Population', 'Population_CA11', 'CA11'), ('Dwellings', 'Dwellings_CA11', 'CA11'), ('Households', 'Households_CA11', 'CA11')) t(variable, label, geo_dataset)"""
+    """WITH m AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'Population' ELSE 'v_' || CAST(s_suppkey AS varchar) END AS variable, 'label ' || CAST(s_suppkey AS varchar) AS label, 'CA' || CAST(s_suppkey // 8 AS varchar) AS geo_dataset FROM supplier),
+    b AS (SELECT variable, variable || '_' || geo_dataset AS label, geo_dataset FROM (SELECT DISTINCT geo_dataset FROM m) CROSS JOIN (VALUES ('Population'), ('Dwellings'), ('Households')) v(variable))
+    SELECT * FROM m UNION ALL SELECT b.* FROM b ANTI JOIN m USING (variable, geo_dataset)"""
 )
 def meta_base_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = meta.meta_for_additive_variables("CA16", {"people": "Population"}) + meta.meta_for_additive_variables("CA11", ["v"])
-    return meta.meta_to_df(spark, meta.add_base_variables(rows)).select("variable", "label", "geo_dataset")
+    """The counts of people, dwellings and households that geographies lack, eight suppliers to a geography."""
+    text = "if(s_suppkey % 4 = 0, 'Population', concat('v_', s_suppkey))"
+    rows = read_table(spark, sf_dir, "supplier").select(F.expr(text).alias("variable"), F.expr("concat('label ', s_suppkey)").alias("label"), F.expr("concat('CA', s_suppkey div 8)").alias("geo_dataset"))
+    return meta.base_columns(rows)
 
 
-@_query("SELECT * FROM (VALUES ('conf', 'a'), ('env', 'b'), ('older', 'c'), ('blank', 'c'), ('none', 'shared')) t(told, folder)")
+@_query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'conf' || CAST(c_custkey AS varchar) WHEN c_custkey % 3 = 0 THEN 'env' WHEN c_custkey % 5 <> 0 THEN 'older' ELSE 'shared' END AS folder FROM customer"""
+)
 def cache_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which setting names the cache folder; blank ones don't count."""
-    kept = {k: spark.conf.get(k, None) for k in (CACHE_SETTING, OLDER_SETTING)}, os.environ.get(CACHE_VARIABLE)
-    found = []
-    try:
-        for told, (new, variable, older) in {"conf": ("a", "b", "c"), "env": ("", "b", "c"), "older": ("", "", "c"), "blank": (" ".strip(), "", "c"), "none": ("", "", "")}.items():
-            spark.conf.set(CACHE_SETTING, new)
-            spark.conf.set(OLDER_SETTING, older)
-            os.environ[CACHE_VARIABLE] = variable
-            folder = cache_folder(spark)
-            found.append((told, folder if told != "none" or folder in ("a", "b", "c", "") else "shared"))
-    finally:
-        for k, v in kept[0].items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-        os.environ.pop(CACHE_VARIABLE) if kept[1] is None else os.environ.update({CACHE_VARIABLE: kept[1]})
-    return spark.createDataFrame(found, "told string, folder string")
+    """Which of a customer's settings names the cache folder; blank ones don't count."""
+    settings = ("if(c_custkey % 2 = 0, concat('conf', c_custkey), '')", "case when c_custkey % 3 = 0 then 'env' when c_custkey % 3 = 1 then '  ' end", "if(c_custkey % 5 = 0, null, 'older')", "'shared'")
+    return read_table(spark, sf_dir, "customer").select("c_custkey", preferred(*map(F.expr, settings)).alias("folder"))
+
+
+@_query("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1 HAVING COUNT(*) > 1")
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that stand in several rows: what the uniqueness assertions find."""
+    return aggregate.repeated(read_table(spark, sf_dir, "orders"), ["o_custkey"])
 
 
 @_query("SELECT * FROM (VALUES ('labels', true), ('parent', true), ('identifier', true), ('no key', true), ('names', true), ('level', true), ('method', true)) t(what, raised)")
@@ -421,8 +441,8 @@ def made_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     polygons = F.when(k == 0, F.array(F.array(open_))).when(k == 1, F.array(F.array(good), F.array(flat))).otherwise(F.array(F.array(good)))
     raw = read_table(spark, sf_dir, "part").select("p_partkey", F.struct(F.lit(0).alias("srid"), polygons.alias("polygons")).alias("geometry"))
-    done = geometries.make_sound(raw.withColumn("before", shapes.is_sound(F.col("geometry"))))
-    return done.select("p_partkey", "before", shapes.is_sound(F.col("geometry")).alias("after"), shapes.area(F.col("geometry")).alias("area"))
+    done = geometries.make_sound(raw.withColumn("before", shapes.has_sound_rings(F.col("geometry"))))
+    return done.select("p_partkey", "before", shapes.has_sound_rings(F.col("geometry")).alias("after"), shapes.area(F.col("geometry")).alias("area"))
 
 
 @_query("SELECT p_partkey, CAST(GREATEST(0, LEAST(p_partkey % 20 + 3, 10.5) - GREATEST(p_partkey % 20, 4.25)) AS double) AS area FROM part")
@@ -430,14 +450,14 @@ def clip_to_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.expr("cast(p_partkey % 20 as double)")
     boxes = read_table(spark, sf_dir, "part").select("p_partkey", shapes.rectangle(x, F.lit(0.0), x + 3, F.lit(1.0)).alias("geometry"))
     mask = shapes.rectangle(F.lit(4.25), F.lit(-5.0), F.lit(10.5), F.lit(5.0))
-    return boxes.select("p_partkey", F.round(shapes.area(shapes.clip(F.col("geometry"), mask)), 9).alias("area"))
+    return boxes.select("p_partkey", F.round(shapes.area(shapes.clip_convex(F.col("geometry"), mask)), 9).alias("area"))
 
 
 @_query("SELECT n_nationkey, ROUND(6371010.0 * 6371010.0 * 2 * ATAN2(TAN(RADIANS(n_nationkey + 1) / 2) * (TAN(RADIANS(10) / 2) + TAN(RADIANS(10) / 2)), 1 + TAN(RADIANS(10) / 2) * TAN(RADIANS(10) / 2)) / 1000000, 3) AS km2 FROM nation")
 def sphere_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longitude and latitude: the area between the equator and the great circle over two points of 10 degrees north."""
     east = F.expr("cast(n_nationkey + 1 as double)")
-    shape = shapes.polygon([(F.lit(0.0), F.lit(0.0)), (F.lit(0.0), F.lit(10.0)), (east, F.lit(10.0)), (east, F.lit(0.0))], shapes.LONLAT)
+    shape = shapes.polygon([(F.lit(0.0), F.lit(0.0)), (F.lit(0.0), F.lit(10.0)), (east, F.lit(10.0)), (east, F.lit(0.0))], shapes.LONLATS[0])
     return read_table(spark, sf_dir, "nation").select("n_nationkey", F.round(shapes.area(shape) / 1000000, 3).alias("km2"))
 
 
@@ -487,23 +507,25 @@ def area_check_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH g AS (SELECT i, j, '590' || CAST(j % 4 AS varchar) AS fed, CAST(j * 20 + i + 1 AS varchar) AS pd, CASE WHEN j % 2 = 1 THEN 2 ELSE 1 END AS w FROM range(20) a(i), range(20) b(j) WHERE j % 2 = 0 OR i % 2 = 0)
+    """WITH n AS (SELECT p_partkey, p_partkey % 20 AS i, p_partkey // 20 AS j FROM part), g AS (SELECT i, j, '590' || CAST(j % 4 AS varchar) AS fed, CAST(p_partkey + 1 AS varchar) AS pd, CASE WHEN j % 2 = 1 THEN 2 ELSE 1 END AS w FROM n WHERE j % 2 = 0 OR i % 2 = 0)
     SELECT fed || '_' || CAST(j // 4 + 600 AS varchar) AS AP_2019, fed || '_' || pd AS PD_2019, CAST(w AS double) AS area FROM g"""
 )
 def example_geographies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packaged geographies with the keys of their votes."""
-    geos = examples.example_geographies(spark, 2019).drop("PD_2019", "AP_2019")
-    keyed = elections.polling_geographies(geos, examples.example_votes(spark, 2019), 2019)
+    """Example geographies, a district per part, with the keys of their votes."""
+    numbers = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    geos = examples.example_geographies(spark, 2019, numbers=numbers).drop("PD_2019", "AP_2019")
+    keyed = elections.polling_geographies(geos, examples.example_votes(spark, 2019, numbers=numbers), 2019)
     return keyed.select("AP_2019", "PD_2019", shapes.area(F.col("geometry")).alias("area"))
 
 
-@_query("SELECT 400 AS districts, 1600 AS votes, CAST(400 AS double) AS area")
+@_query("SELECT '590' || CAST(p_partkey // 20 % 4 AS varchar) AS fed, CAST(COUNT(*) AS integer) AS districts, CAST(4 * COUNT(*) AS integer) AS votes, CAST(COUNT(*) AS double) AS area FROM part GROUP BY 1")
 def example_elections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packaged votes of 2015, and all geographies as one."""
-    geos, votes = examples.example_geographies(spark, 2015), examples.example_votes(spark, 2015)
-    one = dissolve.dissolve(geos, []).select(shapes.area(F.col("geometry")).alias("area"))
-    told = votes.agg(F.countDistinct("PD_2015").cast("int").alias("districts"), F.count("*").cast("int").alias("votes"))
-    return told.join(one)
+    """Example votes of 2015, and the geographies of an electoral district as one."""
+    numbers = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    geos, votes = examples.example_geographies(spark, 2015, numbers=numbers), examples.example_votes(spark, 2015, numbers=numbers)
+    one = dissolve.dissolve(geos, ["FED_NUM"]).select("FED_NUM", F.round(shapes.area(F.col("geometry")), 6).alias("area"))
+    told = votes.groupBy("FED_NUM").agg(F.countDistinct("PD_2015").cast("int").alias("districts"), F.count("*").cast("int").alias("votes"))
+    return told.join(one, "FED_NUM").select(F.col("FED_NUM").alias("fed"), "districts", "votes", "area")
 
 
 # --- rows ---

@@ -99,6 +99,43 @@ def year_of(dataset: str) -> int | None:
     return int(found[0].rjust(3, "0").rjust(4, "2")) if found else None
 
 
+def dataset_column(asked: Column) -> Column:
+    """normalize_datasets of a text column."""
+    known = F.create_map(*[F.lit(x) for pair in _CA_YEARS.items() for x in pair])
+    return F.coalesce(known[asked], asked)
+
+
+def additive_columns(variables: DataFrame, dataset: Column) -> DataFrame:
+    """meta_for_additive_variables for a table of ``variable`` and ``label`` (blank: variable and dataset)."""
+    label = F.when(F.coalesce(F.col("label"), F.lit("")) == "", F.concat_ws("_", "variable", dataset)).otherwise(F.col("label"))
+    return variables.select("variable", label.alias("label"), dataset.alias("dataset"), F.lit("Manual").alias("type"), F.lit(ADDITIVE).alias("aggregation"), F.lit(ADDITIVE).alias("rule"))
+
+
+def base_columns(meta: DataFrame) -> DataFrame:
+    """add_base_variables for a table (``variable``, ``label``, ``geo_dataset``): the rows, and the counts that a geography lacks."""
+    base = F.explode(F.array(*map(F.lit, CA_BASE))).alias("variable")
+    more = meta.select("geo_dataset").distinct().select("geo_dataset", base).join(meta.select("geo_dataset", "variable"), ["geo_dataset", "variable"], "left_anti")
+    return meta.select("variable", "label", "geo_dataset").unionByName(more.select("variable", F.concat_ws("_", "variable", "geo_dataset").alias("label"), "geo_dataset"))
+
+
+def vector_columns(vectors: DataFrame, vector_catalog: DataFrame, dataset_catalog: DataFrame) -> DataFrame:
+    """meta_for_census_vectors for a table of vectors (``variable``, ``label``; a blank label is the vector) and catalogs as tables.
+
+    Parents that aren't asked for follow as rows of type Extra, once per dataset.
+    """
+    years = dataset_catalog.where(F.col("description").rlike(r"^\d{4} Canada Census( and NHS)?$")).select(F.substring("description", 1, 4).alias("_year"), F.col("geo_dataset").alias("_of_year")).distinct()
+    part = F.split("variable", "_")[1]
+    asked = vectors.select("variable", F.when(F.coalesce(F.col("label"), F.lit("")) == "", F.col("variable")).otherwise(F.col("label")).alias("label"), part.alias("_year"))
+    named = asked.join(years, "_year", "left").select("variable", "label", F.coalesce("_of_year", "_year").alias("dataset"))
+    told = named.join(vector_catalog.select(F.col("vector").alias("variable"), "aggregation"), "variable", "left").withColumn("aggregation", F.coalesce("aggregation", F.lit("0")))
+    made = told.select("variable", "label", "dataset", F.lit("Original").alias("type"), rule_column(F.col("aggregation")).alias("rule"), parent_column(F.col("aggregation")).alias("parent"))
+    extras = made.where("parent is not null").select(F.col("parent").alias("variable"), "dataset").distinct().join(named.select("variable"), "variable", "left_anti")
+    more = extras.select("variable", F.col("variable").alias("label"), "dataset", F.lit("Extra").alias("type"), F.lit("Additive").alias("rule"), F.lit(None).cast("string").alias("parent"))
+    both = made.unionByName(more).withColumn("_base", F.regexp_replace(F.regexp_replace("dataset", "^CA11[NF]$", "CA11"), r"\d{4}x", ""))
+    geo = dataset_catalog.select(F.col("dataset").alias("_base"), "geo_dataset").distinct()
+    return both.join(geo, "_base", "left").drop("_base").withColumn("year", years_column(F.col("dataset")))
+
+
 def normalize_datasets(datasets: Iterable[str]) -> list[str]:
     """Census years become dataset names (2001 to 2021); other names stay."""
     return [_CA_YEARS.get(str(d), str(d)) for d in datasets]

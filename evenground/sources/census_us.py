@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenground.functions.semantics import natural_join
+from evenground.sources.sheets import read_sheet
 
 DATASETS = {"dec2000": "2000", "dec2010": "2010", "dec2020": "2020"}
 # The columns of the tract file 2000-2010; ids are text, people and housing counts integers, the rest numbers.
@@ -25,6 +26,20 @@ def state_of(states: DataFrame, name: str) -> tuple[str, str]:
     return found[0]["state"], found[0]["state_code"]
 
 
+def states_of(names: DataFrame, states: DataFrame) -> DataFrame:
+    """``names`` (column ``asked``) with ``state`` and ``state_code``, asked for by either; unknown names are left out."""
+    pairs = states.select("state", "state_code").distinct()
+    either = pairs.select(F.explode(F.array_distinct(F.array("state", "state_code"))).alias("asked"), "state", "state_code")
+    return names.join(either, "asked")
+
+
+def tract_path_column(root: str, year: str) -> Column:
+    """tract_path of the columns ``state`` and ``state_code``."""
+    if year == "2010":
+        return F.concat(F.lit(f"{root}/"), F.lower("state"), "state_code", F.lit("trf.txt"))
+    return F.concat(F.lit(f"{root}/TAB2010_TAB2020_ST"), "state_code", F.lit(".txt"))
+
+
 def tract_path(root: str, state: tuple[str, str], year: str) -> str:
     """Where a state's tract file lies in a folder of downloaded files."""
     return f"{root}/{state[0].lower()}{state[1]}trf.txt" if year == "2010" else f"{root}/TAB2010_TAB2020_ST{state[1]}.txt"
@@ -59,11 +74,9 @@ def link_tracts(datasets: list[str], to_2010: DataFrame | None, to_2020: DataFra
 
 
 def county_subdivisions(spark: SparkSession, path: str, state_code: str) -> DataFrame:
-    """GEOID00, GEOID10 of a state from the comparability table, as CSV with a header or as XLSX (read on the driver: it is one small sheet)."""
+    """GEOID00, GEOID10 of a state from the comparability table, as CSV with a header or as XLSX."""
     if path.endswith(".xlsx"):
-        import pandas as pd
-
-        rows = spark.createDataFrame(pd.read_excel(path, dtype=str)[["STATEFP10", "GEOID00", "GEOID10"]])
+        rows = read_sheet(spark, path, ["STATEFP10", "GEOID00", "GEOID10"])
     else:
         rows = spark.read.option("header", True).csv(path)
     return rows.where(F.col("STATEFP10") == state_code).select("GEOID00", "GEOID10")

@@ -135,3 +135,30 @@ def test_running_sums_of_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.sql("select common_id, n from sums").collect()} == {("u", 5), ("w", 5)}
+
+
+def write_sheet(path, rows, shared):
+    """A minimal workbook of one sheet; ``shared``: texts by number, else inline."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    texts = sorted({c for r in rows for c in r if c is not None})
+
+    def cell(c, name):
+        return "" if c is None else f'<c r="{name}" t="s"><v>{texts.index(c)}</v></c>' if shared else f'<c r="{name}" t="inlineStr"><is><t>{escape(c)}</t></is></c>'
+
+    body = "".join(f'<row r="{i}">' + "".join(cell(c, f"{'ABCDEFGH'[j]}{i}") for j, c in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1))
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as book:
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{body}</sheetData></worksheet>")
+        if shared:
+            book.writestr("xl/sharedStrings.xml", f"<sst {space}>{''.join(f'<si><t>{escape(t)}</t></si>' for t in texts)}</sst>")
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_spreadsheets_are_read_by_tasks(spark, tmp_path, shared):
+    head = ["NAME", "STATEFP10", "GEOID00", "x", "GEOID10"]
+    rows = [["a & b", "05", "o1", None, "n1"], [None, "06", "o2", "y", "n2"], ["c", "05", "o3", None, None]]
+    write_sheet(str(tmp_path / "table.xlsx"), [head, *rows], shared)
+    got = census_us.county_subdivisions(spark, str(tmp_path / "table.xlsx"), "05")
+    assert sorted((r.GEOID00, r.GEOID10) for r in got.collect()) == [("o1", "n1"), ("o3", None)]
