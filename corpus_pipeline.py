@@ -35,7 +35,8 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Of several texts of that id in one group the one with the smallest digest stays; a row that stands there repeatedly stays once. Rows
     without an id stay, all of them. A row is told by its id and its text's digest, so an id with two texts may keep either, both or
-    none. Ids and digests alone meet in the join that finds the rows to drop; of repeated rows alone whole texts are shuffled.
+    none. Which rows go is found on ids and digests alone; the join that drops them has the whole rows on its left, so beyond the
+    broadcast limit of its right side whole texts are shuffled once, and of repeated rows again.
     """
     whole_texts(spark)
     named = materialize(near_copies.near_copies(docs.select("doc_id", "text")).where("doc_id is not null").groupBy("doc_id", "digest").agg(F.first("class_id").alias("class_id"), F.count("*").alias("n")))
