@@ -125,17 +125,18 @@ class PieceEncoder:
         self.judge = sentencepiece.SentencePieceProcessor(model_file=path)
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.model.pieces if kind == NORMAL)
         self.known: dict[str, bytes] = {}
+        self.shown: dict[str, str] = {}
         self.differing: set[str] = set()
-        self.tokenizer.decoder = self._decoder()
+        self.whole, self.part = (self._decoder(strip) for strip in (True, False))
 
-    def _decoder(self):
-        """Unknown and control pieces, marks and byte pieces as text, in one; the dummy prefix's blank goes."""
+    def _decoder(self, strip: bool):
+        """Unknown and control pieces, marks and byte pieces as text, in one; ``strip``: the dummy prefix's blank goes."""
         from tokenizers import decoders
 
         told = {UNKNOWN: " ⁇ ", CONTROL: ""}
         steps = [decoders.Replace(piece, told[kind]) for piece, _, kind in self.model.pieces if kind in told]
         steps += [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-        return decoders.Sequence(steps + [decoders.Strip(" ", 1, 0)] * self.model.dummy_prefix)
+        return decoders.Sequence(steps + [decoders.Strip(" ", 1, 0)] * (strip and self.model.dummy_prefix))
 
     def marked(self, text: str) -> str:
         """Normalized, blanks as marks, with the dummy prefix; empty stays empty."""
@@ -156,14 +157,21 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Little-endian unsigned 32-bit ids of every text, and whether both libraries agree on all of its runs."""
+        return [(ids, agreed) for ids, agreed, _ in self.round_trips(texts)]
+
+    def round_trips(self, texts: list[str]) -> list[tuple[bytes, bool, str]]:
+        """encode, and the text that the ids decode to: a run is decoded once, since no character's bytes lie in two runs."""
         split = [self.runs(t) for t in texts]
         wanted = set().union(*split)
         if len(self.known) + len(wanted) > REMEMBERED or not self.splits:  # whole texts aren't remembered
             self.known.clear()
+            self.shown.clear()
             self.differing.clear()
         self._learn(sorted(wanted - self.known.keys()))
-        get = self.known.__getitem__
-        return [(b"".join(map(get, runs)), not (self.differing and self.differing.intersection(runs))) for runs in split]
+        get, show = self.known.__getitem__, self.shown.__getitem__
+        told = ("".join(map(show, runs)) for runs in split)
+        bare = (t[1:] if self.model.dummy_prefix and t[:1] == " " else t for t in told)
+        return [(b"".join(map(get, runs)), not (self.differing and self.differing.intersection(runs)), text) for runs, text in zip(split, bare, strict=True)]
 
     def _learn(self, runs: list[str]) -> None:
         if not runs:
@@ -176,9 +184,12 @@ class PieceEncoder:
                 self.differing.add(run)
                 ids = judged
             self.known[run] = np.array(ids, "<u4").tobytes()
+        self.tokenizer.decoder = self.part
+        self.shown.update(zip(runs, self.tokenizer.decode_batch([np.frombuffer(self.known[r], "<u4").tolist() for r in runs], skip_special_tokens=False), strict=True))
 
     def decode(self, texts: list[bytes]) -> list[str]:
         """The texts of little-endian unsigned 32-bit ids; bytes that form no character become U+FFFD."""
+        self.tokenizer.decoder = self.whole
         return self.tokenizer.decode_batch([np.frombuffer(ids, "<u4").tolist() for ids in texts], skip_special_tokens=False)
 
 
@@ -202,8 +213,8 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
         coder = piece_encoder(model_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows, coded = [], coder.encode(texts)
-            for text, (ids, agreed), decoded in zip(texts, coded, coder.decode([ids for ids, _ in coded]), strict=True):
+            rows = []
+            for text, (ids, agreed, decoded) in zip(texts, coder.round_trips(texts), strict=True):
                 rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text, agreed, ids))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), *[pa.binary()] * with_ids]
             columns = zip(*rows, strict=True) if rows else [()] * 6
