@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenground.operators.geometry.shapes import TYPE, from_flat, normalized, rings, sound
+from evenground.operators.geometry.shapes import TYPE, bound, from_flat, normalized, rings, sound
 
 _RING = r"\([^()]*\)"
 _RINGS = rf"\(\s*{_RING}(?:\s*,\s*{_RING})*\s*\)"
@@ -26,18 +26,17 @@ def from_wkt(wkt: Column, srid: int = 0) -> Column:
 
     NULL stays NULL; a text without polygons is a geometry of none; coordinates after the second of a point are not read.
     """
-    own = F.regexp_extract(wkt, r"^\s*SRID\s*=\s*(\d+)\s*;", 1)
-    plain = F.regexp_replace(wkt, rf"(?i)MULTI(?:LINESTRING|POINT)\s*[ZM]*\s*{_RINGS}", "")
+    own = lambda text: F.regexp_extract(text, r"^\s*SRID\s*=\s*(\d+)\s*;", 1)
+    plain = lambda text: F.regexp_replace(text, rf"(?i)MULTI(?:LINESTRING|POINT)\s*[ZM]*\s*{_RINGS}", "")
 
     def point(text: Column) -> Column:
-        numbers = F.split(F.trim(text), r"\s+")
-        return F.struct(F.get(numbers, F.lit(0)).try_cast("double").alias("x"), F.get(numbers, F.lit(1)).try_cast("double").alias("y"))
+        return bound(F.split(F.trim(text), r"\s+"), lambda numbers: F.struct(*[F.get(numbers, F.lit(i)).try_cast("double").alias(k) for i, k in enumerate("xy")]))
 
     ring = lambda text: F.transform(F.split(text, ","), point)
     polygon = lambda text: F.transform(F.regexp_extract_all(text, F.lit(r"\(([^()]*)\)"), F.lit(1)), ring)
-    polygons = F.transform(F.regexp_extract_all(plain, F.lit(_RINGS), F.lit(0)), polygon)
-    number = F.coalesce(own.try_cast("int"), F.lit(srid))
-    return F.when(wkt.isNotNull(), normalized(F.struct(number.alias("srid"), polygons.alias("polygons")).cast(TYPE)))
+    polygons = lambda text: F.transform(F.regexp_extract_all(plain(text), F.lit(_RINGS), F.lit(0)), polygon)
+    number = lambda text: F.coalesce(own(text).try_cast("int"), F.lit(srid))
+    return bound(wkt, lambda text: F.when(text.isNotNull(), normalized(F.struct(number(text).alias("srid"), polygons(text).alias("polygons")).cast(TYPE))))
 
 
 def to_wkt(geometry: Column) -> Column:
@@ -45,8 +44,8 @@ def to_wkt(geometry: Column) -> Column:
     point = lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))
     ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, point), ", "), F.lit(")"))
     polygon = lambda p: F.concat(F.lit("("), F.array_join(F.transform(p, ring), ", "), F.lit(")"))
-    text = F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform(geometry["polygons"], polygon), ", "), F.lit(")"))
-    return F.when(F.size(geometry["polygons"]) == 0, F.lit("MULTIPOLYGON EMPTY")).when(geometry.isNotNull(), text)
+    text = lambda g: F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform(g["polygons"], polygon), ", "), F.lit(")"))
+    return bound(geometry, lambda g: F.when(F.size(g["polygons"]) == 0, F.lit("MULTIPOLYGON EMPTY")).when(g.isNotNull(), text(g)))
 
 
 def from_geojson(text: Column, srid: int = 4326) -> Column:
