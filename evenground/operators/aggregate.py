@@ -93,8 +93,10 @@ def join_correspondence(df: DataFrame, correspondence: DataFrame) -> DataFrame:
     if len(keys) > 1:
         warnings.warn(f"several geographic identifiers match: {', '.join(keys)}", stacklevel=2)
     units = correspondence.select(*keys, COMMON_ID, COMMON_UID).distinct()
-    if not repeated(units, keys).isEmpty():
-        raise ValueError("an identifier belongs to more than one unit")
+    # common_uid names all ids of a unit: it is not shuffled to refuse what common_id alone refuses, and by its digest else
+    for named in ([], [F.sha2(COMMON_UID, 256).alias("_uid")]):
+        if not repeated(correspondence.select(*keys, COMMON_ID, *named).distinct(), keys).isEmpty():
+            raise ValueError("an identifier belongs to more than one unit")
     return natural_join(df, units, keys)
 
 
