@@ -92,3 +92,30 @@ def test_pairs_of_a_heavy_key_are_dealt_to_blocks(spark, monkeypatch):
     assert "_block" in executed(found) and "Broadcast" not in executed(found)
     none = right.where("b < 0")
     assert reshape.all_matches(left, none, "k").count() == 0
+
+
+def test_pieces_of_a_mask_of_few_edges_go_to_where_the_many_rows_are(spark):
+    many = spark.range(FEW_ROWS + 1).selectExpr("id as _row", "cast(id % 5 as double) as x1", "0d as y1", "cast(id % 5 + 1 as double) as x2", "0d as y2", "1 as w")
+    few = spark.createDataFrame([(0.0, 1.0, 6.0, 1.0, 1)], "x1 double, y1 double, x2 double, y2 double, m int")
+    rows, mask = stored(arrangement.pieces(many, ["_row"], ["w"])), stored(arrangement.pieces(few, [], ["m"]))
+    ends = ["x1", "y1", "x2", "y2"]
+    over, under = arrangement.covered(rows, mask, ["_row", *ends], [], ["m"]), arrangement.covered(mask, rows, ends, ["_row"], ["w"])
+    for found in (over, under):
+        assert "BroadcastHashJoin" in executed(found) and "SortMergeJoin" not in executed(found)
+    assert over.where("m_up = 1").count() == FEW_ROWS + 1
+    assert under.where("w_up <> 0").count() == 0 < under.count()
+
+
+def test_edges_that_share_an_end_are_not_paired(spark, monkeypatch):
+    ring = [(0.0, 0.0, 0.0, 1.0), (0.0, 1.0, 1.0, 1.0), (1.0, 1.0, 1.0, 0.0), (1.0, 0.0, 0.0, 0.0), (0.5, -1.0, 0.5, 0.5)]
+    placed = spark.createDataFrame([(i, *e) for i, e in enumerate(ring)], "id long, x1 double, y1 double, x2 double, y2 double")
+    seen = []
+
+    def cuts(pairs, step, keys, found=arrangement._cuts):
+        seen.extend(tuple(r) for r in pairs.select("id", "jd").collect())
+        return found(pairs, step, keys)
+
+    monkeypatch.setattr(arrangement, "_cuts", cuts)
+    met, _ = arrangement.meetings(placed, None, 2.0**-40, ())
+    assert [sorted(p) for p in seen] == [[3, 4]]
+    assert {r.id: [tuple(p) for p in r.cuts] for r in met.collect()} == {3: [(0.5, 0.0)], 4: [(0.5, 0.0)]}
