@@ -14,15 +14,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def _clean(labels: DataFrame, label: str) -> DataFrame:
+    """``id``, ``y``: ids with several labels count by their highest; NULL ids, held-out ones and labels other than 0 and 1 go."""
+    clean = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y"))
+    return clean.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(``y``, ``text``) of all documents with a label that may be learnt from."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    clean = _clean(labels, label)
+    return texts.join(clean, texts["doc_id"] == clean["id"]).select("y", "text")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS_PER_LABEL) -> tuple[DataFrame, dict[int, int]]:
     """(``y``, ``text``) of at most ``rows`` documents of either label, and how many rows each label has in all.
 
     The rows with the smallest hash of their id are taken: the same ones at every run. The sample is drawn from the
-    labels alone, so only its ids (2 x ``rows`` at most) are broadcast to the documents. Ids with several labels count by
-    their highest; NULL ids and labels other than 0 and 1 are not learnt from.
+    labels alone, so only its ids (2 x ``rows`` at most) are broadcast to the documents.
     """
-    clean = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y"))
-    clean = clean.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
+    clean = _clean(labels, label)
     sizes = {r["y"]: r["count"] for r in clean.groupBy("y").count().collect()}
     drawn = [clean.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
     ids = F.broadcast(drawn[0].union(drawn[1]))

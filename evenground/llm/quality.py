@@ -1,32 +1,40 @@
 """Quality: Bradley-Terry ranking learnt from preference pairs, cut at a quantile of the scores.
 
 A text is described by counts (letters, symbols, repeats, lines, words); each is coded by the quantile bin of the training
-texts it falls in. Pairs of one good and one bad training text are preferences; logistic loss on the difference of their
+texts it falls in. All pairs of one good and one bad training text are preferences; logistic loss on the difference of their
 codes gives a weight per bin, and a text's strength is the sum of its bins' weights. The strength at the quantile
 that the share of bad labels names is the threshold: it maps to the score 0.3, by a logistic curve whose slope is
 fitted on the training texts.
+
+All labelled texts that aren't held out are learnt from. They are described once and stored as blocks of codes; a round
+passes over the blocks twice. How often a text loses to those of the other label depends on its strength alone, so the first pass
+counts strengths in bins, which say it for every bin, and the second sums the codes by it: all pairs, in time
+linear in the texts. Sums are of whole numbers, so they don't depend on partitions or their order.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from evenground.llm.common import whole_texts
-from evenground.llm.labelled import held_out, training_rows
+from evenground.llm.labelled import held_out, labelled_rows
+from evenground.runtime import materialize, release
 
 THRESHOLD = 0.3
 BINS = 12
-PAIRS = 60_000
-ROUNDS = 300
+ROUNDS = 40
 RIDGE = 1e-3
+#: Bins of strengths; texts in a stored block; binary digits of weights and shares; of the counts' values that quantiles are told by.
+STRENGTHS, BLOCK, DIGITS, VALUE_DIGITS = 4096, 20_000, 24, 9
 #: Code points that are counted at once.
 SLICE = 1 << 20
 
@@ -101,40 +109,99 @@ class BradleyTerry:
         return F.pandas_udf(score, "double")(F.col(text))
 
 
-def fit_pairs(described: np.ndarray, y: np.ndarray, sizes: dict[int, int]) -> BradleyTerry:
-    """Fit on described texts with labels ``y``; ``sizes``: rows of each label in all."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        share = (len(good) + 0.5) / (len(y) + 1)
-        cut = np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(share / (1 - share))
-        return BradleyTerry([np.zeros(0)] * len(FEATURES), [np.zeros(1)] * len(FEATURES), float(cut), 1.0)
-    edges = [np.unique(np.quantile(np.concatenate([described[good, i], described[bad, i]]), np.arange(1, BINS) / BINS)) for i in range(len(FEATURES))]
+def _unlabelled(n: np.ndarray) -> BradleyTerry:
+    """Without texts of both labels: every text gets the smoothed share of label 1."""
+    share = (n[1] + 0.5) / (n.sum() + 1)
+    cut = np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(share / (1 - share))
+    return BradleyTerry([np.zeros(0)] * len(FEATURES), [np.zeros(1)] * len(FEATURES), float(cut), 1.0)
+
+
+def _values(described: np.ndarray) -> np.ndarray:
+    """Values with VALUE_DIGITS binary digits, so that few are different."""
+    share, power = np.frexp(described)
+    return np.ldexp(np.rint(np.ldexp(share, VALUE_DIGITS)), power - VALUE_DIGITS)
+
+
+def choose_edges(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A feature's edges: ``counts`` (values, 2) of texts of either label with each of the sorted values; labels weigh the same."""
+    share = np.cumsum(counts / counts.sum(axis=0), axis=0)
+    at = lambda below, q: values[np.minimum(np.searchsorted(below, q - 1e-12), len(values) - 1)]
     # the tails of either class get edges of their own: a rare kind of text lies beyond all quantiles of the common kind
-    edges = [np.unique(np.concatenate([e, *(np.quantile(described[c, i], [0.01, 0.05, 0.95, 0.99]) for c in (good, bad))])) for i, e in enumerate(edges)]
+    tails = [at(share[:, y], np.array([0.01, 0.05, 0.95, 0.99])) for y in (0, 1)]
+    return np.unique(np.concatenate([at(share.mean(axis=1), np.arange(1, BINS) / BINS), *tails]))
+
+
+def _summed(blocks: RDD, f: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of ``f`` of every block (label, codes)."""
+    return blocks.map(lambda block: f(block[0], np.frombuffer(block[1], np.uint16).reshape(-1, len(FEATURES)))).treeReduce(np.add)
+
+
+def fit_pairs(blocks: RDD, n: np.ndarray, edges: list[np.ndarray]) -> BradleyTerry:
+    """Fit on all pairs of a text of label 1 and one of label 0; ``blocks``: (label, codes of texts); ``n``: texts of either label.
+
+    Steps go by a bound of the loss's second derivative, which the codes alone give, with momentum.
+    """
     first = np.cumsum([0, *(len(e) + 1 for e in edges)])
-    codes = np.stack([np.searchsorted(e, described[:, i], "right") + first[i] for i, e in enumerate(edges)], axis=1)
-    draw = np.random.default_rng(7)
-    won, lost = codes[draw.choice(good, PAIRS)], codes[draw.choice(bad, PAIRS)]
-    weight, mean, square = np.zeros(first[-1]), np.zeros(first[-1]), np.zeros(first[-1])
+    size = int(first[-1])
+
+    def met(y: int, codes: np.ndarray) -> np.ndarray:
+        held = np.zeros((len(codes), size), np.float32)
+        held[np.arange(len(codes))[:, None], codes] = 1
+        out = np.zeros((2, size, size), np.int64)
+        out[y] = np.rint(held.T @ held)
+        return out
+
+    both = _summed(blocks, met) / n[:, None, None]
+    mean = np.stack([np.diag(m) for m in both])
+    bound = (both[0] + both[1] - np.outer(mean[0], mean[1]) - np.outer(mean[1], mean[0])) / 4 + RIDGE * np.eye(size)
+
+    def strengths(weight: np.ndarray) -> tuple[float, float, np.ndarray]:
+        """Where the bins begin, their width, and how many texts of either label each holds."""
+        parts = [weight[first[i] : first[i + 1]] for i in range(len(edges))]
+        low, high = sum(p.min() for p in parts), sum(p.max() for p in parts)
+        width = max(high - low, 1e-6) / (STRENGTHS - 1)
+
+        def counted(y: int, codes: np.ndarray) -> np.ndarray:
+            out = np.zeros((2, STRENGTHS), np.int64)
+            out[y] = np.bincount(np.rint((weight[codes].sum(axis=1) - low) / width).astype(np.int64), minlength=STRENGTHS)
+            return out
+
+        return low, width, _summed(blocks, counted)
+
+    def rounded(weight: np.ndarray) -> np.ndarray:
+        return np.ldexp(np.rint(np.ldexp(weight, DIGITS)), -DIGITS)
+
+    weight = at = np.zeros(size)
     for step in range(1, ROUNDS + 1):
-        lead = weight[won].sum(axis=1) - weight[lost].sum(axis=1)
-        pull = np.repeat(1 / (1 + np.exp(np.clip(lead, -30, 30))) / PAIRS, codes.shape[1])
-        gradient = np.bincount(lost.ravel(), pull, first[-1]) - np.bincount(won.ravel(), pull, first[-1]) + RIDGE * weight
-        mean = 0.9 * mean + 0.1 * gradient
-        square = 0.99 * square + 0.01 * gradient**2
-        weight -= 0.02 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
-    strength = weight[codes].sum(axis=1)
-    row_weight = np.array([sizes[c] / (y == c).sum() for c in (0, 1)], float)[y]
-    order = np.argsort(strength, kind="stable")
-    below = np.cumsum(row_weight[order]) / row_weight.sum()
-    at = min(int(np.searchsorted(below, sizes[0] / (sizes[0] + sizes[1]))), len(order) - 2)
-    cut = float(strength[order[at]] + strength[order[at + 1]]) / 2
-    # the slope of the logistic curve through (cut, THRESHOLD) with the least weighted loss
-    slopes, sign = np.geomspace(0.05, 20, 60), 2 * y - 1
-    offset = np.log(THRESHOLD / (1 - THRESHOLD))
-    losses = [(row_weight * np.logaddexp(0, -sign * (s * (strength - cut) + offset))).sum() for s in slopes]
+        low, width, held = strengths(at)
+        gaps = 1 / (1 + np.exp(np.clip(width * np.arange(1 - STRENGTHS, STRENGTHS), -30, 30)))  # by the winner's lead
+        lost = np.stack([_against(held[1] / n[1], gaps[::-1]), _against(held[0] / n[0], gaps)])
+        shares = np.rint(np.ldexp(lost, DIGITS))
+
+        def pulled(y: int, codes: np.ndarray, weight=at, low=low, width=width, shares=shares) -> np.ndarray:
+            share = shares[y][np.rint((weight[codes].sum(axis=1) - low) / width).astype(np.int64)]
+            out = np.zeros((2, size), np.int64)
+            out[y] = np.rint(np.bincount(codes.ravel(), np.repeat(share, codes.shape[1]), size))
+            return out
+
+        pull = np.ldexp(_summed(blocks, pulled) / n[:, None], -DIGITS)
+        last, weight = weight, at - np.linalg.solve(bound, pull[0] - pull[1] + RIDGE * at)
+        at = rounded(weight + (step - 1) / (step + 2) * (weight - last))
+    weight = rounded(weight)
+    low, width, held = strengths(weight)
+    below = np.cumsum(held.sum(axis=0))
+    cut = low + width * (min(int(np.searchsorted(below, n[0])), STRENGTHS - 2) + 0.5)
+    # the slope of the logistic curve through (cut, THRESHOLD) with the least loss
+    slopes, offset = np.geomspace(0.05, 20, 60), np.log(THRESHOLD / (1 - THRESHOLD))
+    lead = low + width * np.arange(STRENGTHS) - cut
+    losses = [sum((held[y] * np.logaddexp(0, (1 - 2 * y) * (s * lead + offset))).sum() for y in (0, 1)) for s in slopes]
     weights = [weight[first[i] : first[i + 1]] for i in range(len(edges))]
-    return BradleyTerry(edges, weights, cut, float(slopes[int(np.argmin(losses))]))
+    return BradleyTerry(edges, weights, float(cut), float(slopes[int(np.argmin(losses))]))
+
+
+def _against(held: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """For every bin the sum over all bins of ``held`` times the gap's value, ``gaps`` running from the least difference to the largest."""
+    return np.convolve(held, gaps)[len(held) - 1 : 2 * len(held) - 1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> BradleyTerry:
@@ -145,12 +212,46 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> BradleyTe
     whole_texts(docs.sparkSession)
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[list, list] = ([], [])
+        for part in parts:
+            for y, text in zip(part["y"], part["text"], strict=True):
+                held[y].append(describe(text))
+                if len(held[y]) == BLOCK:
+                    yield pd.DataFrame({"y": [y], "n": [BLOCK], "x": [np.array(held[y], float).tobytes()]})
+                    held[y].clear()
+        for y in (0, 1):
+            if held[y]:
+                yield pd.DataFrame({"y": [y], "n": [len(held[y])], "x": [np.array(held[y], float).tobytes()]})
+
+    described = materialize(labelled_rows(docs, labels, label).mapInPandas(features, "y int, n long, x binary"))
+    sizes = {r["y"]: r["n"] for r in described.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    n = np.array([sizes.get(y, 0) for y in (0, 1)])
+    if not n.all():
+        return _unlabelled(n)
+
+    def valued(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"y": part["y"], "x": [describe(t) for t in part["text"]]})
+            for y, x in zip(part["y"], part["x"], strict=True):
+                values = _values(np.frombuffer(x).reshape(-1, len(FEATURES)))
+                for i in range(len(FEATURES)):
+                    different, count = np.unique(values[:, i], return_counts=True)
+                    yield pd.DataFrame({"i": i, "v": different, "n0": count * (y == 0), "n1": count * (y == 1)})
+
+    told = described.mapInPandas(valued, "i int, v double, n0 long, n1 long").groupBy("i", "v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = np.array(told.orderBy("i", "v").collect(), float)  # 2^VALUE_DIGITS values to a doubling at most
+    edges = [choose_edges(found[found[:, 0] == i, 1], found[found[:, 0] == i, 2:]) for i in range(len(FEATURES))]
+    first = np.cumsum([0, *(len(e) + 1 for e in edges)])
+
+    def coded(row: Row) -> tuple[int, bytes]:
+        x = np.frombuffer(row["x"]).reshape(-1, len(FEATURES))
+        codes = np.stack([np.searchsorted(e, x[:, i], "right") + first[i] for i, e in enumerate(edges)], axis=1)
+        return row["y"], codes.astype(np.uint16).tobytes()
 
-    rows, sizes = training_rows(docs, labels, label)
-    found = sorted((r["y"], r["x"]) for r in rows.mapInPandas(features, "y int, x array<double>").collect())
-    return fit_pairs(np.array([x for _, x in found]).reshape(-1, len(FEATURES)), np.array([y for y, _ in found], np.int64), sizes)
+    blocks = described.rdd.map(coded).persist(StorageLevel.MEMORY_AND_DISK)
+    model = fit_pairs(blocks, n, edges)
+    blocks.unpersist()
+    release(described)
+    return model
 
 
 def quality(docs: DataFrame, model: BradleyTerry) -> DataFrame:

@@ -71,3 +71,26 @@ def test_ratios_follow_the_class_counts():
     kept, ratio, evidence = toxicity.choose_buckets(np.array([[50, 1], [1, 50], [20, 20]]), np.array([100.0, 100.0]))
     assert kept.tolist() == [0, 1] and ratio[0] < 0 < ratio[1] and (evidence >= toxicity.EVIDENCE).all()
     assert ratio[1] == pytest.approx(np.log(50.5 / 101) - np.log(1.5 / 101))
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 5][:4400]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    ranked = {y: [r.doc_id for r in labels.where(f"quality = {y}").selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").collect()] for y in (0, 1)}
+    late = {i for y in (0, 1) for i in ranked[y][2000:]}
+    assert late
+
+    def docs(last):
+        return spark.createDataFrame([(i, last if i in late else f"word{i % 7} good text." if i % 2 else f"#{i % 5} @@") for i in ids], "doc_id long, text string")
+
+    one, two = (quality.fit(docs(last), labels) for last in ("plain words here", "A, B, C! " * 9))
+    assert any(not np.array_equal(a, b) for a, b in zip(one.edges, two.edges, strict=True))
+
+
+def test_all_pairs_are_counted_by_strengths():
+    draw = np.random.default_rng(3)
+    strengths = [draw.integers(0, 50, 40), draw.integers(0, 50, 30)]
+    held = [np.bincount(s, minlength=50) for s in strengths]
+    gaps = 1 / (1 + np.exp(0.1 * np.arange(-49, 50)))
+    lost = quality._against(held[0], gaps)
+    assert lost[strengths[1]] == pytest.approx([sum(1 / (1 + np.exp(0.1 * (s - t))) for t in strengths[0]) for s in strengths[1]])
