@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenground.functions.semantics import natural_join
+from evenground.operators.reshape import all_matches
 from evenground.sources.sheets import read_sheet
 
 DATASETS = {"dec2000": "2000", "dec2010": "2010", "dec2020": "2020"}
@@ -57,17 +60,40 @@ def tracts_2020(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*ids).distinct()
 
 
+def _linked(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The different (GEOID00, GEOID20) of a full join of different rows on GEOID10, missing equal to missing.
+
+    Two rows of the join are equal only where both ids have several ids of 2010, or where one is missing: those alone are shuffled as pairs.
+    """
+    # a key that tells a missing id from all others and is never missing
+    keyed = [t.withColumn("_k", F.coalesce(F.concat(F.lit("="), "GEOID10"), F.lit(""))) for t in (old, new)]
+    sides = []
+    for df, name, flag in zip(keyed, ("GEOID00", "GEOID20"), ("_m", "_n"), strict=True):
+        several = df.groupBy(name).agg((F.count("*") > 1).alias(flag))
+        known = df.where(F.col(name).isNotNull()).join(several, name).select(name, "_k", flag)
+        sides.append(known.unionByName(df.where(F.col(name).isNull()).select(name, "_k", F.lit(True).alias(flag))))
+    left, right = sides
+    single = F.col("GEOID00").isNotNull() & F.col("GEOID20").isNotNull() & ~(F.col("_m") & F.col("_n"))
+    ids = ["GEOID00", "GEOID20"]
+    alone = [a.join(b.select("_k").distinct(), "_k", "left_anti") for a, b in (keyed, keyed[::-1])]
+    # each of these joins reads the rows that may repeat only
+    parts = (left.where("_m"), right.where("_n")), (left.where("GEOID00 is null"), right), (left, right.where("GEOID20 is null"))
+    rest = reduce(DataFrame.union, [all_matches(a, b, "_k").select(*ids) for a, b in parts])
+    rest = rest.union(alone[0].select("GEOID00", F.lit(None).cast("string"))).union(alone[1].select(F.lit(None).cast("string"), "GEOID20"))
+    return all_matches(left, right, "_k").where(single).select(*ids).union(rest.distinct())
+
+
 def link_tracts(datasets: list[str], to_2010: DataFrame | None, to_2020: DataFrame | None) -> DataFrame:
     """Ids of the asked censuses in one table: either file's, or both by a full join on 2010 (dropped unless asked for)."""
     if set(datasets) - set(DATASETS):
         raise ValueError("censuses 2000, 2010 and 2020 can be matched")
     if "dec2000" in datasets:
         out = to_2010.select("GEOID00", "GEOID10").distinct()
-        if "dec2020" in datasets:
-            out = natural_join(out, to_2020.select("GEOID10", "GEOID20"), ["GEOID10"], "full")
-        if "dec2010" not in datasets:
-            out = out.drop("GEOID10")
-        return out.distinct()
+        if "dec2020" not in datasets:
+            return out if "dec2010" in datasets else out.drop("GEOID10").distinct()
+        if "dec2010" in datasets:
+            return natural_join(out, to_2020.select("GEOID10", "GEOID20"), ["GEOID10"], "full").distinct()
+        return _linked(out, to_2020.select("GEOID10", "GEOID20").distinct())
     if "dec2020" not in datasets:
         raise ValueError("two different censuses are needed")
     return to_2020.select("GEOID10", "GEOID20").distinct()

@@ -7,7 +7,7 @@ from evenground.operators import aggregate, reshape
 from evenground.operators.geometry import arrangement, shapes
 from evenground.operators.geometry.overlap import boxes, candidate_pairs
 from evenground.runtime import FEW_ROWS, read_spread, stored
-from evenground.sources import geometries
+from evenground.sources import census_us, geometries
 
 
 def plan(df):
@@ -119,3 +119,18 @@ def test_edges_that_share_an_end_are_not_paired(spark, monkeypatch):
     met, _ = arrangement.meetings(placed, None, 2.0**-40, ())
     assert [sorted(p) for p in seen] == [[3, 4]]
     assert {r.id: [tuple(p) for p in r.cuts] for r in met.collect()} == {3: [(0.5, 0.0)], 4: [(0.5, 0.0)]}
+
+
+def test_pairs_of_single_links_are_not_shuffled_again(spark):
+    old = [("a", "1"), ("a", "2"), ("b", "2"), ("c", "9"), ("c", "8"), ("d", None), (None, "2"), (None, "7"), ("a", "1"), ("e", "4")]
+    new = [("1", "x"), ("2", "x"), ("2", "y"), (None, "z"), ("5", "w"), ("6", "w"), ("2", None), ("4", None), ("3", None), ("2", "y")]
+    tables = spark.createDataFrame(old, "GEOID00 string, GEOID10 string"), spark.createDataFrame(new, "GEOID10 string, GEOID20 string")
+    found = census_us.link_tracts(["dec2000", "dec2020"], *tables)
+    key = lambda r: tuple(v or "" for v in r)
+    joined = {(a, b) for a, i in old for j, b in new if i == j}
+    joined |= {(a, None) for a, i in old if i not in {j for j, _ in new}} | {(None, b) for j, b in new if j not in {i for _, i in old}}
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(joined, key=key)
+    ids = spark.range(1000).selectExpr("cast(id as string) as GEOID00", "cast(id % 2 as string) as GEOID10")
+    many = census_us.link_tracts(["dec2000", "dec2020"], ids, ids.selectExpr("GEOID10", "GEOID00 as GEOID20"))
+    assert many.count() == 500_000
+    assert "_block" in executed(many)
