@@ -20,11 +20,13 @@ def _clean(labels: DataFrame, label: str) -> DataFrame:
     return clean.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(``y``, ``text``) of all documents with a label that may be learnt from."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    clean = _clean(labels, label)
-    return texts.join(clean, texts["doc_id"] == clean["id"]).select("y", "text")
+def labelled_rows(told: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(``y``, ``described``) of all rows of ``told`` (doc_id, described) with a label that may be learnt from.
+
+    The rows are dealt by id whatever the labels' size: a broadcast would gather the labels on the driver as long as they seem few.
+    """
+    clean, rows = _clean(labels, label), told.where(F.col("doc_id").isNotNull() & ~held_out())
+    return rows.hint("merge").join(clean.hint("merge"), rows["doc_id"] == clean["id"]).select("y", "described")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS_PER_LABEL) -> tuple[DataFrame, dict[int, int]]:

@@ -6,8 +6,9 @@ codes gives a weight per bin, and a text's strength is the sum of its bins' weig
 that the share of bad labels names is the threshold: it maps to the score 0.3, by a logistic curve whose slope is
 fitted on the training texts.
 
-All labelled texts that aren't held out are learnt from. They are described once and stored as blocks of codes; a round
-passes over the blocks twice. How often a text loses to those of the other label depends on its strength alone, so the first pass
+All labelled texts that aren't held out are learnt from. Texts are described where they are read; the descriptions, of one size each
+however long the text, are stored and meet the labels in a join, and may be scored as they are. Labelled ones are stored as blocks of codes;
+a round passes over the blocks twice. How often a text loses to those of the other label depends on its strength alone, so the first pass
 counts strengths in bins, which say it for every bin, and the second sums the codes by it: all pairs, in time
 linear in the texts. Sums are of whole numbers, so they don't depend on partitions or their order.
 """
@@ -108,6 +109,28 @@ class BradleyTerry:
         score.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(score, "double")(F.col(text))
 
+    def described_column(self, described: str = "described") -> Column:
+        """The same of a column from ``described``."""
+
+        def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for part in parts:
+                yield pd.Series(self.scores(np.frombuffer(b"".join(part)).reshape(-1, len(FEATURES))))
+
+        score.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(score, "double")(F.col(described))
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``described`` (the numbers in FEATURES as doubles) for every row of ``docs`` (doc_id, text), stored; texts are moved nowhere."""
+    whole_texts(docs.sparkSession)
+
+    def numbers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([np.array(describe(t or ""), float).tobytes() for t in part], dtype=object)
+
+    numbers.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return materialize(docs.select("doc_id", F.pandas_udf(numbers, "binary")("text").alias("described")))
+
 
 def _unlabelled(n: np.ndarray) -> BradleyTerry:
     """Without texts of both labels: every text gets the smoothed share of label 1."""
@@ -209,21 +232,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> BradleyTe
 
     Without rows of both labels every text gets the smoothed share of label 1.
     """
-    whole_texts(docs.sparkSession)
+    told = described(docs.where(~held_out()))
+    model = fit_described(told, labels, label)
+    release(told)
+    return model
+
 
-    def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def fit_described(told: DataFrame, labels: DataFrame, label: str = "quality") -> BradleyTerry:
+    """``fit`` on a table from ``described``."""
+
+    def gathered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[list, list] = ([], [])
         for part in parts:
-            for y, text in zip(part["y"], part["text"], strict=True):
-                held[y].append(describe(text))
+            for y, x in zip(part["y"], part["described"], strict=True):
+                held[y].append(x)
                 if len(held[y]) == BLOCK:
-                    yield pd.DataFrame({"y": [y], "n": [BLOCK], "x": [np.array(held[y], float).tobytes()]})
+                    yield pd.DataFrame({"y": [y], "n": [BLOCK], "x": [b"".join(held[y])]})
                     held[y].clear()
         for y in (0, 1):
             if held[y]:
-                yield pd.DataFrame({"y": [y], "n": [len(held[y])], "x": [np.array(held[y], float).tobytes()]})
+                yield pd.DataFrame({"y": [y], "n": [len(held[y])], "x": [b"".join(held[y])]})
 
-    described = materialize(labelled_rows(docs, labels, label).mapInPandas(features, "y int, n long, x binary"))
+    described = materialize(labelled_rows(told, labels, label).mapInPandas(gathered, "y int, n long, x binary"))
     sizes = {r["y"]: r["n"] for r in described.groupBy("y").agg(F.sum("n").alias("n")).collect()}
     n = np.array([sizes.get(y, 0) for y in (0, 1)])
     if not n.all():
@@ -261,5 +291,15 @@ def quality(docs: DataFrame, model: BradleyTerry) -> DataFrame:
     empty table; other columns are not read.
     """
     whole_texts(docs.sparkSession)
-    scored = docs.select("doc_id", held_out().alias("held_out"), model.column().alias("score"))
+    return _scored(docs, model.column())
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """``quality`` of ``docs`` by the model that their labelled rows give: every text is described once."""
+    told = described(docs)
+    return _scored(told, fit_described(told, labels, label).described_column())
+
+
+def _scored(rows: DataFrame, score: Column) -> DataFrame:
+    scored = rows.select("doc_id", held_out().alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

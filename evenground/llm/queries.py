@@ -42,8 +42,7 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return quality.quality(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    return quality.fit_and_score(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

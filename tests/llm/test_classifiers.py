@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from evenground.llm import quality, queries, toxicity
+from evenground.llm import labelled, quality, queries, toxicity
 from evenground.runtime import read_table
 
 FITTED = "/root/testdata/sf0.01"
@@ -94,3 +94,15 @@ def test_all_pairs_are_counted_by_strengths():
     gaps = 1 / (1 + np.exp(0.1 * np.arange(-49, 50)))
     lost = quality._against(held[0], gaps)
     assert lost[strengths[1]] == pytest.approx([sum(1 / (1 + np.exp(0.1 * (s - t))) for t in strengths[0]) for s in strengths[1]])
+
+
+def test_quality_moves_no_texts(spark, odd_docs):
+    """Labels meet descriptions, dealt by id at any size; what is scored are the descriptions that the model was learnt from."""
+    labels = spark.createDataFrame([(1, 0), (2, 1), (4, 1), (6, 0), (7, 0), (8, 1)], "doc_id long, quality int")
+    told = quality.described(odd_docs)
+    plan = labelled.labelled_rows(told, labels, "quality")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "text" not in plan
+    scored = quality.fit_and_score(odd_docs, labels)
+    assert "text" not in scored._jdf.queryExecution().executedPlan().toString()
+    expected = quality.quality(odd_docs, quality.fit(odd_docs, labels))
+    assert sorted(map(str, scored.collect())) == sorted(map(str, expected.collect()))
