@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from evenground.operators import correspondence
 from evenground.operators.components import connected_components
 from evenground.operators.correspondence import chain_correspondences, close_correspondence, combine_correspondences, identifier_correspondence
 
@@ -87,3 +88,16 @@ def test_combining_and_chaining(spark):
 def test_identifiers_that_all_have(spark):
     data = {"x": spark.createDataFrame([("1",), ("2",), (None,)], "p string"), "y": spark.createDataFrame([("2",), ("3",)], "q string")}
     assert [tuple(r) for r in identifier_correspondence(data, {"x": "p", "y": "q"}).collect()] == [("2", "2", "identifier")]
+
+
+def test_rows_of_a_large_unit_are_dealt_over_copies_of_its_list(spark, monkeypatch):
+    """No row of the list meets all rows of its unit, in whichever way Spark would join them at that size."""
+    monkeypatch.setattr(correspondence, "UNIT_ROWS", 3)
+    rows = [(f"{i}", None) for i in range(20)] + [("a", "b"), ("a", "c"), (None, None), (None, None)]
+    done = correspondence.close_correspondence(spark.createDataFrame(rows, "x string, y string"), "literal")
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [common_id" in plan and "_copy" in plan
+    got = done.collect()
+    assert sorted(map(str, ((r.x, r.y) for r in got))) == sorted(map(str, rows))
+    assert {r.common_id for r in got if r.x != "a"} == {"0"} and {r.common_uid for r in got if r.x == "a"} == {"x:a y:b,c"}
+    assert {r.common_uid for r in got if r.x != "a"} == {"x:" + ",".join(sorted(map(str, range(20)))) + " y:"}
