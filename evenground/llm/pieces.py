@@ -167,7 +167,7 @@ class PieceEncoder:
             self.known.clear()
             self.shown.clear()
             self.differing.clear()
-        self._learn(sorted(wanted - self.known.keys()))
+        self._learn(sorted(w for w in wanted if w not in self.known))
         get, show = self.known.__getitem__, self.shown.__getitem__
         told = ("".join(map(show, runs)) for runs in split)
         bare = (t[1:] if self.model.dummy_prefix and t[:1] == " " else t for t in told)

@@ -17,7 +17,7 @@ import numpy as np
 REMEMBERED = 1_000_000
 #: Characters on which this module's splitting and the library's might differ.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e -±´-¸º»¿-ɏ‐-‧‰-›₠-₿]|<\|")
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class WordEncoder:
@@ -38,7 +38,7 @@ class WordEncoder:
         wanted = set().union(*split)
         if len(self.known) + len(wanted) > REMEMBERED:
             self.known.clear()
-        self._learn(list(wanted - self.known.keys()))
+        self._learn([w for w in wanted if w not in self.known])
         whole = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) if p else np.array(next(whole).ids, "<u4").tobytes() for words, p in zip(split, plain, strict=True)]
@@ -46,7 +46,7 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         for low in range(0, len(words), 4096):
             part = words[low : low + 4096]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 data, places = ids.tobytes(), [0, *(4 * cuts).tolist()]

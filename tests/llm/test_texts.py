@@ -323,3 +323,21 @@ def test_a_model_with_marks_inside_pieces_is_compared_whole(tmp_path):
     coder.tokenizer = pieces.PieceModel.read(unigram_model(("ab▁c", -9.5, 1))).tokenizer()
     assert [agreed for _, agreed in coder.encode(cases)] == [False, False, False, True]
     assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in coder.encode(cases)] == [judge.encode(t) for t in cases]
+
+
+def test_words_that_are_known_are_not_looked_through_again():
+    """What a batch wants is looked up among the known words: these aren't passed over, however many they are."""
+    from evenground.llm import words
+
+    class Known(dict):
+        def __iter__(self):
+            raise AssertionError("all known words are passed over")
+
+        def keys(self):
+            return self.__iter__()
+
+    encoder, text = words.WordEncoder(tokenizer_path()), "It's well-known; word word2 WORD, naïve — ok"
+    encoder.known = Known()
+    first = encoder.encode([text, "more words"])
+    assert encoder.encode(["more words", text]) == first[::-1]
+    assert np.frombuffer(first[0], "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
