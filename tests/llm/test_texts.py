@@ -341,3 +341,29 @@ def test_words_that_are_known_are_not_looked_through_again():
     first = encoder.encode([text, "more words"])
     assert encoder.encode(["more words", text]) == first[::-1]
     assert np.frombuffer(first[0], "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_new_runs_go_to_the_libraries_together():
+    """Many new words are few texts to both libraries, and each gets the ids that it has on its own; odd ones go one by one."""
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    coder, judge = pieces.PieceEncoder(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    words = [f"w{i * i}x{i}" for i in range(3000)]
+    texts = [" ".join(words), "", " ", "  a   b ", "é 日本\n\nx \t", "▁▁ ▁a", "<s> <unk> </s> <0x0A>", "\x00 \U0001f600"]
+    seen = []
+
+    class Judge:
+        def encode(self, given, **how):
+            seen.extend(given)
+            return judge.encode(given, **how)
+
+    coder.judge = Judge()
+    told = coder.round_trips(texts)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _, _ in told] == [judge.encode(t) for t in texts]
+    assert [decoded for _, _, decoded in told] == [judge.decode(judge.encode(t)) for t in texts]
+    assert len(seen) < 30 and coder.round_trips(texts) == told
+    coder.known.clear()
+    coder.judge = type("Other", (), {"encode": lambda self, given, **how: [[5] if t == words[7] else [0] + judge.encode(t) if words[7] in t else judge.encode(t) for t in given]})()
+    assert [agreed for _, agreed, _ in coder.round_trips([words[7], words[8]])] == [False, True]
+    assert np.frombuffer(coder.encode([words[7]])[0][0], "<u4").tolist() == [5]
