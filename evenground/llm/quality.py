@@ -155,8 +155,12 @@ def choose_edges(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _summed(blocks: RDD, f: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum of ``f`` of every block (label, codes)."""
-    return blocks.map(lambda block: f(block[0], np.frombuffer(block[1], np.uint16).reshape(-1, len(FEATURES)))).treeReduce(np.add)
+    """The sum of ``f`` of every block (label, codes): one partial sum of some KB per task goes to the driver, without a shuffle in every round."""
+    return _each(blocks, f).reduce(np.add)
+
+
+def _each(blocks: RDD, f: Callable[[int, np.ndarray], np.ndarray]) -> RDD:
+    return blocks.map(lambda block: f(block[0], np.frombuffer(block[1], np.uint16).reshape(-1, len(FEATURES))))
 
 
 def fit_pairs(blocks: RDD, n: np.ndarray, edges: list[np.ndarray]) -> BradleyTerry:
@@ -174,7 +178,7 @@ def fit_pairs(blocks: RDD, n: np.ndarray, edges: list[np.ndarray]) -> BradleyTer
         out[y] = np.rint(held.T @ held)
         return out
 
-    both = _summed(blocks, met) / n[:, None, None]
+    both = _each(blocks, met).treeReduce(np.add) / n[:, None, None]  # once, and some MB per task
     mean = np.stack([np.diag(m) for m in both])
     bound = (both[0] + both[1] - np.outer(mean[0], mean[1]) - np.outer(mean[1], mean[0])) / 4 + RIDGE * np.eye(size)
 
@@ -277,7 +281,9 @@ def fit_described(told: DataFrame, labels: DataFrame, label: str = "quality") ->
         codes = np.stack([np.searchsorted(e, x[:, i], "right") + first[i] for i, e in enumerate(edges)], axis=1)
         return row["y"], codes.astype(np.uint16).tobytes()
 
-    blocks = described.rdd.map(coded).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = described.rdd.map(coded)
+    # a task per core at most, however many partitions the rows came in: every round starts them all twice
+    blocks = blocks.coalesce(max(1, min(blocks.getNumPartitions(), described.sparkSession.sparkContext.defaultParallelism))).persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_pairs(blocks, n, edges)
     blocks.unpersist()
     release(described)

@@ -106,3 +106,33 @@ def test_quality_moves_no_texts(spark, odd_docs):
     assert "text" not in scored._jdf.queryExecution().executedPlan().toString()
     expected = quality.quality(odd_docs, quality.fit(odd_docs, labels))
     assert sorted(map(str, scored.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_rounds_of_the_fit_shuffle_nothing(spark, monkeypatch):
+    """However many partitions the rows come in, a round is a task per core at most and no shuffle."""
+    from pyspark import RDD
+
+    shuffled, fitted, dealt, fit = [], [], RDD.partitionBy, quality.fit_pairs
+
+    def partition_by(self, n, *more):
+        shuffled.append(n)
+        return dealt(self, n, *more)
+
+    def fit_pairs(blocks, n, edges):
+        fitted.append(blocks.getNumPartitions())
+        return fit(blocks, n, edges)
+
+    monkeypatch.setattr(RDD, "partitionBy", partition_by)
+    monkeypatch.setattr(quality, "fit_pairs", fit_pairs)
+    monkeypatch.setattr(quality, "ROUNDS", 5)
+    labels = spark.range(1, 400).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    docs = labels.selectExpr("doc_id", "repeat(if(quality = 1, 'A good text. ', 'bad|| '), cast(doc_id % 7 + 1 as int)) as text")
+    told = quality.described(docs)
+    with monkeypatch.context() as patch:
+        patch.setattr(quality, "labelled_rows", lambda *of, found=quality.labelled_rows: found(*of).repartition(40))
+        patch.setattr(quality, "materialize", lambda df: df)
+        patch.setattr(quality, "release", lambda *of: None)
+        many = quality.fit_described(told, labels)
+    assert fitted == [min(40, spark.sparkContext.defaultParallelism)] and len(shuffled) <= 2
+    few = quality.fit_described(told, labels)
+    assert (many.cut, many.slope) == (few.cut, few.slope) and all(np.array_equal(a, b) for a, b in zip(many.weights, few.weights, strict=True))
