@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenground.operators import aggregate, reshape
-from evenground.operators.geometry import arrangement, shapes
+from evenground.operators.geometry import arrangement, overlap, shapes
 from evenground.operators.geometry.overlap import boxes, candidate_pairs
 from evenground.runtime import FEW_ROWS, read_spread, stored
 from evenground.sources import census_us, geometries
@@ -134,3 +134,19 @@ def test_pairs_of_single_links_are_not_shuffled_again(spark):
     many = census_us.link_tracts(["dec2000", "dec2020"], ids, ids.selectExpr("GEOID10", "GEOID00 as GEOID20"))
     assert many.count() == 500_000
     assert "_block" in executed(many)
+
+
+def test_zones_are_compared_with_their_own_halves_alone(spark, monkeypatch):
+    """Zones of a column overlap several neighbours' halves, which aren't asked for: no edges of such a pair meet."""
+    from evenground.plans import catalogue_geometry
+
+    seen = []
+
+    def compared(met, keys, found=overlap._compared):
+        seen.extend(tuple(r) for r in met.select(*keys).distinct().collect())
+        return found(met, keys)
+
+    monkeypatch.setattr(overlap, "_compared", compared)
+    catalogue_geometry.sphere_shares(spark, "/root/testdata/sf0.001")
+    assert seen and all(half.split(" ")[0] == str(zone) for half, zone in seen)
+    assert len(seen) == 2 * spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
