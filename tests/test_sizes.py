@@ -150,3 +150,51 @@ def test_zones_are_compared_with_their_own_halves_alone(spark, monkeypatch):
     catalogue_geometry.sphere_shares(spark, "/root/testdata/sf0.001")
     assert seen and all(half.split(" ")[0] == str(zone) for half, zone in seen)
     assert len(seen) == 2 * spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+
+
+def test_few_edges_of_a_group_meet_without_cells(spark, monkeypatch):
+    """Small groups make one row per edge or piece, not one per cell and class; large ones go by cells; both give the same borders."""
+    rows = [(g, x, y, x + w, y + 2.0) for g in range(6) for x, y, w in ((0.0, 0.0, 3.0), (1.5, 1.0, 0.25), (2.0, 0.5, 4.0), (6.0, 0.0, 1.0))]
+    squares = spark.createDataFrame(rows, "g int, x0 double, y0 double, x1 double, y1 double").select("g", shapes.rectangle(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("geometry"))
+    net = arrangement.exploded(squares, "g").withColumn("w", F.lit(1))
+    seen = []
+
+    def pairs(a, b, *more, found=arrangement.candidate_pairs, **how):
+        out = found(a, b, *more, **how)
+        seen.append(plan(out).count("sequence("))
+        return out
+
+    monkeypatch.setattr(arrangement, "candidate_pairs", pairs)
+    ends = ["g", "x1", "y1", "x2", "y2"]
+    told = {}
+    for few in (48, 0, 15):
+        monkeypatch.setattr(arrangement, "FEW_EDGES", few)
+        told[few] = sorted(map(tuple, arrangement.bounded(net.where("g < 5 or x1 < 5"), ["g"], lambda w: w != 0, ["w"]).select(*ends).collect()))
+    assert told[48] == told[0] == told[15] and len(told[0]) > 30
+    assert seen and all(seen)
+
+
+def test_cuts_are_not_part_of_the_join_of_edges(spark):
+    """The join's loop is compiled alone: the cuts' terms would make it too long for that."""
+    seen, cuts = [], arrangement._cuts
+
+    def told(pairs, *more):
+        seen.append(executed(pairs))
+        return cuts(pairs, *more)
+
+    rows = [(0, 0.0, 0.0, 1.0, 1.0), (1, 0.0, 1.0, 1.0, 0.0)]
+    crossing = spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(arrangement, "_cuts", told)
+        found, _ = arrangement.meetings(crossing, None, 2.0**-40, ())
+    assert found.count() == 2 and len(seen) == 1 and "Join" not in seen[0]
+
+
+def test_rows_of_few_are_dealt_to_one_cell(spark):
+    square = lambda n: shapes.rectangle(F.lit(0.0), F.lit(0.0), F.lit(1.0) * n, F.lit(1.0) * n)
+    table = spark.range(1, 41).select("id", square(F.col("id") * 3).alias("geometry"), (F.col("id") % 2 == 0).alias("few"), (F.col("id") % 2).alias("k"))
+    one = boxes(table, "id", "few", "k")
+    found = candidate_pairs(one, one.withColumnRenamed("id", "jd"), by=("k",), once=("id", "jd"))
+    pairs = [tuple(sorted(r)) for r in found.select("id", "jd").collect()]
+    assert sorted(pairs) == sorted((i, j) for i in range(1, 41) for j in range(i + 1, 41) if (i - j) % 2 == 0)
+    assert found.where("k = 0").count() == 190
