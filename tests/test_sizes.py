@@ -198,3 +198,19 @@ def test_rows_of_few_are_dealt_to_one_cell(spark):
     pairs = [tuple(sorted(r)) for r in found.select("id", "jd").collect()]
     assert sorted(pairs) == sorted((i, j) for i in range(1, 41) for j in range(i + 1, 41) if (i - j) % 2 == 0)
     assert found.where("k = 0").count() == 190
+
+
+def test_edges_are_not_compared_in_the_loop_of_a_join(spark, monkeypatch):
+    """Pairs of polygons with few edges are stored with these: the loop over pairs of edges is compiled without the joins before it."""
+    seen = []
+
+    def compared(met, keys, found=overlap._compared):
+        seen.append(executed(met))
+        return found(met, keys)
+
+    monkeypatch.setattr(overlap, "_compared", compared)
+    square = lambda shift: shapes.rectangle(F.col("id") + shift, F.lit(0.0), F.col("id") + shift + 1, F.lit(1.0))
+    one, two = (spark.range(30).select(F.col("id").alias(key), square(shift).alias("geometry")) for key, shift in (("a", 0.0), ("b", 0.25)))
+    found = overlap.overlaps(one, two, "a", "b")
+    assert sorted(map(tuple, found.where("overlap > 0").collect())) == sorted([(i, i, 0.75) for i in range(30)] + [(i, i - 1, 0.25) for i in range(1, 30)])
+    assert len(seen) == 1 and "Join" not in seen[0]
