@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from evenground.operators.geometry import overlay, shapes
 from evenground.operators.geometry.dissolve import dissolve
 from evenground.operators.geometry.overlap import overlaps
+from evenground.operators.geometry.rings import assemble, chain_rings
 from tests.test_geometry import HOLED, polygons, ring, square
 
 
@@ -81,3 +83,87 @@ def test_clips(spark):
     hole = measures(overlay.clipped(polygons(spark, [("s", [square(0, 0, 4)]), ("i", [square(1.5, 1.5)])]), polygons(spark, [("m", HOLED)])), "id")
     assert hole[("s",)] == (12.0, 1, 2) and hole[("i",)][0] == 0.0
     assert overlay.clipped(df, masks.where("false")).select(F.sum(shapes.area(F.col("geometry")))).first()[0] == 0.0
+
+
+def edges_of(*rings):
+    ends = [(*a, *b) for r in rings for a, b in zip(r, [*r[1:], r[0]], strict=True)]
+    return list(map(list, zip(*ends, strict=True)))
+
+
+def test_borders_that_do_not_close_are_an_error():
+    outline = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0)]
+    assert assemble(chain_rings(*edges_of(outline))) == [[[0.0, 0.0, 0.0, 2.0, 2.0, 2.0, 2.0, 0.0, 0.0, 0.0]]]
+    with pytest.raises(ValueError):  # an edge is missing
+        chain_rings(*[c[:-1] for c in edges_of(outline)])
+    with pytest.raises(ValueError):  # a hole without an outline
+        assemble(chain_rings(*edges_of(outline[::-1])))
+
+
+def test_a_hole_that_touches_its_outline_is_a_ring_of_its_own():
+    outline, hole = [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0)], [(4.0, 4.0), (1.0, 2.0), (2.0, 1.0)]
+    found = chain_rings(*edges_of(outline, hole))
+    assert sorted(map(len, found)) == [4, 5] and [len(p) for p in assemble(found)] == [2]
+    # two holes that touch each other
+    holes = [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)], [(2.0, 2.0), (3.0, 2.0), (3.0, 3.0), (2.0, 3.0)]
+    found = chain_rings(*edges_of(outline, *holes))
+    assert sorted(map(len, found)) == [5, 5, 5] and [len(p) for p in assemble(found)] == [3]
+
+
+def test_ways_out_that_are_nearly_one_are_told_apart():
+    """Two slivers that meet in a corner where angles differ by less than a cosine can tell."""
+    one, two = [(0.0, 0.0), (8.0, 4e-9), (8.0, 3e-9)], [(0.0, 0.0), (8.0, 2e-9), (8.0, 1e-9)]
+    before = [(-8.0, 1.0), (0.0, 0.0), (-8.0, -1.0)]
+    found = chain_rings(*edges_of(before, one, two))
+    assert sorted(sorted(set(r)) for r in found) == sorted(sorted(r) for r in (before, one, two))
+
+
+#: Nearly on one line: cuts move edges over corners beside them, which the first cuts didn't know of.
+NEAR_A_LINE = [
+    (8.236381035683019, 3.0473840553514764),
+    (6.294487810273049, 2.3289604898078835),
+    (3.720648999846853, 1.376640129939392),
+    (2.4639675660370717, 0.9116679994341564),
+    (9.280617067835262, 3.4338283150982742),
+    (3.6785538162231624, 1.3610649120024632),
+    (1.8623064832411518, 0.6890533987983538),
+    (1.0617368472159516, 0.3928426335461413),
+    (8.259327462242803, 3.0559511610291126),
+    (8.888100878189704, 3.2885966454329423),
+]
+
+
+def test_a_repair_has_all_of_its_borders(spark):
+    """Cuts are repeated until nothing meets; the area is that between the edges, worked out in fractions."""
+    done = overlay.with_soundness(overlay.repaired(raw(spark, [("line", [NEAR_A_LINE])])), "after")
+    row = done.select("after", shapes.area(F.col("geometry")).alias("area"), "geometry.polygons").first()
+    assert row.after and row.area == pytest.approx(even_odd_area(NEAR_A_LINE), abs=1e-9)
+    for polygon in row.polygons:
+        for r in polygon:
+            corners = [(p.x, p.y) for p in r]
+            assert corners[0] == corners[-1] and len(set(corners)) == len(corners) - 1
+
+
+def even_odd_area(points):
+    """What an odd number of edges lie above, strip by strip between all corners and crossings."""
+    points = [(Fraction(x), Fraction(y)) for x, y in points]
+    lines = [(a, b) if a < b else (b, a) for a, b in zip(points, [*points[1:], points[0]], strict=True) if a[0] != b[0]]
+    slope = lambda e: (e[1][1] - e[0][1]) / (e[1][0] - e[0][0])
+    at = lambda e, x: e[0][1] + (x - e[0][0]) * slope(e)
+    places = {x for x, _ in points}
+    for e in lines:
+        for f in lines:
+            if slope(e) != slope(f):
+                places.add(e[0][0] + (at(f, e[0][0]) - e[0][1]) / (slope(e) - slope(f)))
+    total, places = Fraction(0), sorted(places)
+    for low, high in zip(places, places[1:], strict=False):
+        heights = sorted(at(e, (low + high) / 2) for e in lines if e[0][0] <= low and high <= e[1][0])
+        total += (high - low) * sum((b - a for a, b in zip(heights[::2], heights[1::2], strict=True)), Fraction(0))
+    return float(total)
+
+
+def test_parts_of_a_repair_are_counted(spark, data_dir):
+    """Two squares less what both have meet in corners only: two parts, and no number that is given beforehand."""
+    from evenground.plans import catalogue
+
+    rows = catalogue.queries()["repaired_crossings"](spark, data_dir).where("p_partkey % 4 = 2").select("parts").distinct().collect()
+    assert [r.parts for r in rows] == [2]
