@@ -101,3 +101,17 @@ def test_rows_of_a_large_unit_are_dealt_over_copies_of_its_list(spark, monkeypat
     assert sorted(map(str, ((r.x, r.y) for r in got))) == sorted(map(str, rows))
     assert {r.common_id for r in got if r.x != "a"} == {"0"} and {r.common_uid for r in got if r.x == "a"} == {"x:a y:b,c"}
     assert {r.common_uid for r in got if r.x != "a"} == {"x:" + ",".join(sorted(map(str, range(20)))) + " y:"}
+
+
+def test_copies_of_a_list_are_not_made_at_once(spark, monkeypatch):
+    """An explode holds all that it makes of a row: it makes numbers, and as many as the cores need, not one for so many rows."""
+    monkeypatch.setattr(correspondence, "UNIT_ROWS", 1)
+    monkeypatch.setattr(correspondence, "COPIES_PER_CORE", 2, raising=False)
+    most = 2 * spark.sparkContext.defaultParallelism
+    rows = [(f"{i}", None) for i in range(3 * most)] + [("a", "b"), ("a", "c"), ("a", None)]
+    done = correspondence.close_correspondence(spark.createDataFrame(rows, "x string, y string"), "literal")
+    made = [line for line in done._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode" in line]
+    assert made and not any("common_uid" in line for line in made)
+    got = done.collect()
+    assert sorted(map(str, ((r.x, r.y) for r in got))) == sorted(map(str, rows))
+    assert {r.common_uid for r in got} == {"x:" + ",".join(sorted([*map(str, range(3 * most)), "a"])) + " y:b,c"}
