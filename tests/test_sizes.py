@@ -214,3 +214,19 @@ def test_edges_are_not_compared_in_the_loop_of_a_join(spark, monkeypatch):
     found = overlap.overlaps(one, two, "a", "b")
     assert sorted(map(tuple, found.where("overlap > 0").collect())) == sorted([(i, i, 0.75) for i in range(30)] + [(i, i - 1, 0.25) for i in range(1, 30)])
     assert len(seen) == 1 and "Join" not in seen[0]
+
+
+def test_pairs_have_as_many_tasks_as_they_need(spark, monkeypatch):
+    """Their number says how many, not the few bytes that are shuffled; missing keys match nothing, missing values and repeated rows stay."""
+    monkeypatch.setattr(reshape, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(reshape, "TASK_PAIRS", 200, raising=False)
+    left = spark.range(20).selectExpr("id as a", "nullif(id % 3, 2) as k")
+    right = spark.range(600).selectExpr("nullif(id div 2 % 3, 2) as k", "if(id % 5 = 0, null, id div 10) as b")
+    found = reshape.all_matches(left, right, "k")
+    assert found.columns == ["k", "a", "b"]
+    mine, theirs = left.collect(), right.collect()
+    expected = [(x.k, x.a, y.b) for x in mine for y in theirs if x.k is not None and x.k == y.k]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+    assert found.rdd.getNumPartitions() == len(expected) // 200
+    keys = reshape.all_matches(left, right.select("k"), "k")
+    assert keys.columns == ["k", "a"] and keys.count() == len(expected)
